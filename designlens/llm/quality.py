@@ -31,7 +31,7 @@ BASE_RULES = {
 RULES = BASE_RULES | {
     "symbols": "10 * n_symbols > n_words",
     "word_length": "word_chars < 2 * n_words or word_chars > 15 * n_words",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "repeated_lines": "100 * n_dup_lines > 50 * n_lines",
     "shouting": "10 * n_shouts > n_words",
     "capitals": "10 * n_capitals > 3 * word_chars",
 }

@@ -93,7 +93,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-            OR 100 * n_dup_lines > 30 * n_lines OR 10 * n_shouts > n_words OR 10 * n_capitals > 3 * word_chars) AS kept
+            OR 100 * n_dup_lines > 50 * n_lines OR 10 * n_shouts > n_words OR 10 * n_capitals > 3 * word_chars) AS kept
 FROM b
 """
 
