@@ -5,26 +5,30 @@ linked when the Jaccard similarity of their sets reaches ``threshold``; the
 groups are the connected components of those links.
 
 Method. Equal sets are first joined to one representative, by a grouped
-minimum. Every representative then walks ``trees`` independent trees. At a node
-the documents branch by minwise tokens: a coordinate of the MinHash signature
-that the node's own hash selects, one at the root of each tree and ``branch``
-below it; documents that share the token go on together. A node is compared
-exhaustively once it holds at most ``leaf`` documents. Larger nodes branch
+minimum. Every representative then walks ``TREES`` independent trees, each with
+coordinates of its own. At a node the documents branch by minwise tokens: those
+that share the token of the node's coordinate go on together. The first
+``ROOT`` levels, whose nodes are large in any corpus, are walked at once; below
+them a node chooses ``BRANCH`` coordinates by its own hash. A node is compared
+exhaustively once it holds at most ``LEAF`` documents. Larger nodes branch
 again, unless all their documents are in one group already, where no further
-link can change the result. Nodes that are still large at ``depth`` are
-compared in blocks of ``leaf`` documents, so no link is given up there either.
+link can change the result. In nodes that are still large after ``DEPTH``
+levels, the documents outside the largest group are compared, in blocks, with
+all documents of the node, so no link is given up there either.
 
-A pair of similarity s is missed by the roots with probability (1 - s)^trees:
-2^-28 at 0.8 and twelve trees, before what deeper levels lose.
+A pair of similarity s is missed by the roots with probability
+(1 - s^ROOT)^TREES: 3e-8 at 0.8, before what deeper levels lose.
 
 Candidates must agree in enough signature coordinates (a bound that loses a
 pair at the threshold with probability under 1e-6), and every link is then
 confirmed on the full sets.
 
 Data with hot groups: equal sets meet only in partial aggregates and in joins
-whose skewed side Spark splits; each member of a large near group is compared
-with one pivot of its nodes first, so a group of n documents costs n
-comparisons, not n * n.
+whose skewed side Spark splits. Near groups grow by ``ROUNDS`` rounds before
+nodes are compared exhaustively: every document names the likeliest member of
+another group in its nodes (nodes dealt into blocks of ``LEAF``), and those
+links are confirmed. So a group of n documents costs n links a round, not n * n;
+the last comparison only sees pairs of groups that are still apart.
 
 Defined results: null text and text without words have the empty set, form
 their own component and are linked with nothing. A text with fewer words than a
@@ -43,11 +47,15 @@ from pyspark.sql import functions as F
 
 from designlens.llm.columns import Words, hash_strings, mix, slices
 from designlens.llm.components import connected_components
-from designlens.shared import forget, materialize
+from designlens.shared import materialize
 
-#: Signature coordinates, and how many must agree for the threshold 0.8 (see agreement_bound).
-COORDINATES = 64
-TREES, BRANCH, LEAF, DEPTH = 12, 2, 48, 6
+TREES, ROOT, BRANCH, DEPTH = 24, 3, 2, 4
+#: Signature coordinates: no two trees share one. Beyond the roots a byte of each is kept.
+COORDINATES = TREES * ROOT
+#: Documents of a node that are compared exhaustively; documents of a block in larger nodes.
+LEAF, BLOCK = 1024, 256
+#: Rounds in which each document names its likeliest partner.
+ROUNDS = 3
 
 
 def agreement_bound(threshold: float, coordinates: int = COORDINATES, loss: float = 1e-6) -> int:
@@ -94,11 +102,20 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-FEATURES = "doc_id long, n_shingles long, set_key binary, sig array<int>"
+FEATURES = "doc_id long, n_shingles long, set_key binary, roots array<long>, sig binary"
+
+
+def paths(sig: np.ndarray) -> np.ndarray:
+    """The node of each tree that a signature reaches by its first levels."""
+    h = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(sig), 1))
+    tokens = sig.view(np.uint32).astype(np.uint64).reshape(len(sig), TREES, ROOT)
+    for level in range(ROOT):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + tokens[:, :, level] + np.uint64(1))
+    return h.view(np.int64)
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, size of the shingle set, 128-bit key of the whole set, MinHash signature (null for the empty set)."""
+    """doc_id, size of the shingle set, 128-bit key of the whole set, root nodes and a byte of each MinHash value (null for the empty set)."""
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -106,13 +123,19 @@ def features(docs: DataFrame, words: int) -> DataFrame:
             n = np.diff(bounds)
             sig = signatures(sets, bounds)
             keys = [xxhash.xxh3_128_digest(sets[a:b].tobytes()) if b > a else None for a, b in zip(bounds[:-1], bounds[1:])]
-            offsets = np.concatenate(([0], np.cumsum((n > 0) * COORDINATES))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.ravel(), pa.int32()), mask=pa.array(n == 0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "sig"])
+            offsets = np.concatenate(([0], np.cumsum((n > 0) * TREES))).astype(np.int32)
+            roots = pa.ListArray.from_arrays(pa.array(offsets), pa.array(paths(sig).ravel(), pa.int64()), mask=pa.array(n == 0))
+            low = iter((sig & 0xFF).astype(np.uint8))
+            shown = [next(low).tobytes() if k else None for k in n]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), roots, pa.array(shown, pa.binary())], ["doc_id", "n_shingles", "set_key", "roots", "sig"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FEATURES)
 
 
+def _matrix(signatures: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """The full sets of the documents in ``wanted`` (rep), as sorted 64-bit hashes."""
 
@@ -127,10 +150,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, hashes binary")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = materialize(_sets_of(docs, ids, words), "near-sets")
+def confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different documents whose full sets reach the threshold."""
 
     def run(batches):
         for batch in slices(batches, "set_b"):
@@ -143,32 +164,41 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) ->
 
     joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("set_a")), "a")
     joined = joined.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    out = materialize(joined.mapInArrow(run, "a long, b long").distinct(), "near-links")
-    forget(sets)
-    return out
+    return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose sizes and signatures allow the threshold."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    at_least = agreement_bound(threshold)
+def _nearest(nodes: DataFrame, seed: int, threshold: float) -> DataFrame:
+    """For each document (rep, label, n, sig) the likeliest partner of another group in its nodes, as a pair (a, b), if signatures allow one."""
+    at_least, ratio = agreement_bound(threshold), round(100 * threshold)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                x, y = (batch.column(c).flatten().to_numpy().reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
-                yield batch.filter(pa.array((x == y).sum(1) >= at_least)).select(["a", "b"])
-
-    out = pairs.join(side("a"), "a").join(side("b"), "b").where(_size_ratio("n_a", "n_b", threshold))
-    return out.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
-
-
-def _size_ratio(x: str, y: str, threshold: float):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * round(100 * threshold)
-
-
-def _node_pairs(nodes: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of different groups within each node (node, rep, label), by their signatures."""
+            for members in batch.column("members"):
+                m = members.values
+                rep, label, n = (m.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "n"))
+                sig = _matrix(m.field("sig"))
+                agree = np.zeros((len(rep), len(rep)), np.int16)
+                for j in range(COORDINATES):
+                    agree += sig[:, j, None] == sig[None, :, j]
+                agree[label[:, None] == label[None, :]] = 0
+                agree[np.minimum(n[:, None], n[None, :]) * 100 < np.maximum(n[:, None], n[None, :]) * ratio] = 0
+                best = agree.argmax(1)
+                most = agree[np.arange(len(rep)), best]
+                ok = most >= at_least
+                yield pa.RecordBatch.from_arrays([pa.array(rep[ok]), pa.array(rep[best[ok]]), pa.array(most[ok].astype(np.int32))], ["a", "b", "agree"])
+
+    # larger nodes are dealt into blocks, anew in each round
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    dealt = nodes.join(sizes.select("node", F.ceil(F.col("size") / LEAF).cast("int").alias("of")), "node")
+    block = F.pmod(F.xxhash64("rep", "node", F.lit(seed)), F.col("of"))
+    grouped = dealt.groupBy("node", block.alias("block")).agg(F.collect_list(F.struct("rep", "label", "n", "sig")).alias("members"))
+    named = grouped.select("members").mapInArrow(run, "a long, b long, agree int")
+    best = named.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("minus"))).alias("x"))
+    return best.select(F.greatest("a", -F.col("x.minus")).alias("a"), F.least("a", -F.col("x.minus")).alias("b")).distinct()
+
+
+def _node_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different groups within each node (node, rep, label, n, sig, asks) that their signatures allow; one of each pair asks."""
     at_least, ratio = agreement_bound(threshold), round(100 * threshold)
 
     def run(batches):
@@ -176,74 +206,99 @@ def _node_pairs(nodes: DataFrame, reps: DataFrame, threshold: float) -> DataFram
             a, b = [], []
             for members in batch.column("members"):
                 m = members.values
-                rep, label, n = (m.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "n"))
-                sig = m.field("sig").flatten().to_numpy().reshape(len(rep), COORDINATES)
-                for i in range(len(rep) - 1):
-                    ok = (sig[i + 1 :] == sig[i]).sum(1) >= at_least
-                    ok &= (label[i + 1 :] != label[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * ratio)
-                    for j in np.flatnonzero(ok) + i + 1:
-                        a.append(max(rep[i], rep[j]))
-                        b.append(min(rep[i], rep[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    grouped = nodes.join(reps.select("rep", "n", "sig"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "label", "n", "sig")).alias("members"))
+                rep, label, n, asks = (m.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "n", "asks"))
+                sig = _matrix(m.field("sig"))
+                order = np.argsort(~asks, kind="stable")
+                rep, label, n, sig = rep[order], label[order], n[order], sig[order]
+                for i in range(int(asks.sum())):
+                    other = (label[i + 1 :] != label[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * ratio)
+                    near = np.flatnonzero(other) + i + 1
+                    near = near[(sig[near] == sig[i]).sum(1) >= at_least]
+                    a.append(np.maximum(rep[near], rep[i]))
+                    b.append(np.minimum(rep[near], rep[i]))
+            pairs = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
+
+    grouped = nodes.groupBy("node").agg(F.collect_list(F.struct("rep", "label", "n", "sig", "asks")).alias("members"))
     return grouped.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
-def _branch(nodes: DataFrame, reps: DataFrame, level: int, branch: int) -> DataFrame:
+def _branch(nodes: DataFrame, level: int) -> DataFrame:
     """The children of every node: its documents by the minwise token of each coordinate that the node selects."""
     j = lambda b: F.pmod(F.xxhash64("node", F.lit(level), F.lit(b)), F.lit(COORDINATES)).cast("int")
-    child = lambda b: F.xxhash64("node", F.lit(level), F.lit(b), F.element_at("sig", j(b) + 1))
-    out = nodes.join(reps.select("rep", "sig"), "rep")
-    return out.select("rep", "label", F.explode(F.array(*[child(b) for b in range(branch)])).alias("node"))
+    child = lambda b: F.xxhash64("node", F.lit(level), F.lit(b), F.substring("sig", j(b) + 1, F.lit(1)))
+    return nodes.select("rep", "label", "n", "sig", F.explode(F.array(*[child(b) for b in range(BRANCH)])).alias("node"))
+
+
+def _block_pairs(large: DataFrame) -> DataFrame:
+    """Nodes that stay large: blocks of the documents outside a node's largest group meet blocks of all its documents."""
+    by_label = large.groupBy("node", "label").agg(F.count("*").alias("k"))
+    most = by_label.groupBy("node").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("size"))
+    most = most.select("node", F.col("m.label").alias("main"), F.col("size"), (F.col("size") - F.col("m.k")).alias("rest"))
+    parts = lambda c, per: F.ceil(F.col(c) / F.lit(per)).cast("int")
+    dealt = large.join(most, "node").withColumns({"asking": parts("rest", BLOCK), "asked": parts("size", LEAF), "h": F.xxhash64("rep")})
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.col("h"), F.col(c)).cast("int")
+    keep = ["node", "rep", "label", "n", "sig"]
+    asks = dealt.where("label <> main").select(*keep, own("asking").alias("x"), each("asked").alias("y"), F.lit(True).alias("asks"))
+    answers = dealt.select(*keep, each("asking").alias("x"), own("asked").alias("y"), F.lit(False).alias("asks"))
+    return asks.union(answers).withColumn("node", F.xxhash64("node", "x", "y")).drop("x", "y")
 
 
 def links(docs: DataFrame, feats: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The representatives (rep, n, sig, set_key) of equal sets, and confirmed links (a, b) that connect every group of them."""
     reps = materialize(
-        feats.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")),
+        feats.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("roots").alias("roots")),
         "near-reps",
     )
-    # the roots: one coordinate for each tree
-    coordinates = np.random.default_rng(7).permutation(COORDINATES)[:TREES]
-    roots = F.array(*[F.xxhash64(F.lit(t), F.element_at("sig", int(c) + 1)) for t, c in enumerate(coordinates)])
-    walked = reps.select("rep", F.explode(roots).alias("node"))
-    stats = walked.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    nodes = materialize(walked.join(stats, "node"), "near-nodes")
-    # first each document against one pivot: the one it shares most nodes with
-    best = nodes.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("shared"))
-    best = best.groupBy("rep").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("minus"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.minus")).alias("b"))
-    first = confirm(docs, materialize(_estimated(best, reps, threshold), "near-pairs"), words, threshold)
-    groups = connected_components(first)
-    # then the pairs of different groups that meet in a small node
-    nodes = nodes.select("node", "rep").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("label"))
+    walked = reps.select("rep", F.explode("roots").alias("node"))
+    stats = walked.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
+    nodes = materialize(walked.join(stats, "node").join(reps.select("rep", "n", "sig"), "rep"), "near-nodes")
+    # first the likeliest partners; every document with a possible partner gets its full set read once
+    here, first, tried, sets = nodes.withColumn("label", F.col("rep")), None, None, None
+    for seed in range(ROUNDS):
+        pairs = _nearest(here, seed, threshold)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        sets = _with_sets(docs, pairs, sets, words)
+        new = materialize(confirm(pairs, sets, threshold), "near-links")
+        first = new if first is None else first.union(new)
+        groups = connected_components(first)
+        here = nodes.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", "rep", "n", "sig", F.coalesce("component", "rep").alias("label"))
+    # then all pairs of different groups that meet in a node
+    mixed = here.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "size")
+    here = here.join(mixed, "node")
     found: list[DataFrame] = []
-    for level in range(1, DEPTH + 1):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "size")
-        mixed = materialize(nodes.join(sizes, "node").select("node", "rep", "label", "size"), "near-mixed")
-        found.append(_node_pairs(mixed.where(F.col("size") <= LEAF).drop("size"), reps, threshold))
-        large = mixed.where(F.col("size") > LEAF).drop("size")
+    for level in range(DEPTH + 1):
+        here = materialize(here, "near-mixed")
+        leaf = here.where(F.col("size") <= LEAF).withColumn("asks", F.lit(True))
+        found.append(_node_pairs(leaf, threshold))
+        large = here.where(F.col("size") > LEAF).drop("size")
         if large.isEmpty():
             break
         if level == DEPTH:
-            found.append(_block_pairs(large, sizes, reps, threshold))
+            found.append(_node_pairs(_block_pairs(large), threshold))
             break
-        nodes = _branch(large, reps, level, BRANCH)
+        below = _branch(large, level)
+        mixed = below.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "size")
+        here = below.join(mixed, "node")
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.union(x)
-    second = confirm(docs, materialize(pairs.distinct(), "near-pairs"), words, threshold)
+    pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    second = materialize(confirm(pairs, _with_sets(docs, pairs, sets, words), threshold), "near-links")
     return reps, first.union(second)
 
 
-def _block_pairs(large: DataFrame, sizes: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Nodes that stay large: every two blocks of their documents meet as one small node."""
-    blocks = F.ceil(F.col("size") / F.lit(LEAF // 2)).cast("int")
-    dealt = large.join(sizes, "node").select("node", "rep", "label", blocks.alias("of"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
-    met = dealt.select("node", "rep", "label", "own", other)
-    cell = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node")
-    return _node_pairs(met.select(cell, "rep", "label"), reps, threshold)
+def _with_sets(docs: DataFrame, pairs: DataFrame, sets: DataFrame | None, words: int) -> DataFrame:
+    """``sets`` and the full sets of the documents in ``pairs`` that it lacks."""
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    if sets is not None:
+        ids = ids.join(sets.select("rep"), "rep", "left_anti")
+        if ids.isEmpty():
+            return sets
+    more = materialize(_sets_of(docs, ids, words), "near-sets")
+    return more if sets is None else sets.union(more)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
