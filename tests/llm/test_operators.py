@@ -1,0 +1,210 @@
+"""Operators for training text on small tables with nulls, empty texts, ties, repeats and clashing columns."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from designlens.llm import decontaminate, html_text, language_id, near_dedup, quality, token_store, unigram, url_filter, warc
+from designlens.llm.components import connected_components
+from designlens.llm.queries import tokenizer_file
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+TEXTS = [None, "", " \n\t", "one", "a  b", "Hello world.\nHello world.\n", "a b c a b c a b c", "x" * 3000, "日本語 é 🙂　z\x1c q", "tail space ", "  lead", "###"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, a repeated row, a null key, and columns whose names the operators use themselves."""
+    rows = [(i, t, "en", "src.de", 7, True) for i, t in enumerate(TEXTS)] + [(3, "one", "en", None, 7, False), (None, "no key", None, "h", 1, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, kept boolean")
+
+
+def empty(df):
+    return df.where("1 = 0")
+
+
+def repeat_words(words):
+    seen, at = {}, set()
+    for i in range(len(words) - 2):
+        seen.setdefault(tuple(words[i : i + 3]), []).append(i)
+    for places in seen.values():
+        if len(places) > 1:
+            at.update(i + k for i in places for k in range(3))
+    return len(at)
+
+
+def test_quality_measures_equal_brute_force(spark, odd):
+    for r in quality.judged(odd).select("text", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect():
+        words = WORD.findall(r.text or "")
+        lines = [x for x in (r.text or "").split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(lines) - len(set(lines)), repeat_words(words)), r
+        assert r.base_failed and not r.kept
+    assert quality.filter_quality(empty(odd)).columns == odd.columns
+    good = " ".join(f"word{i}" for i in range(60))
+    kept = spark.createDataFrame([(1, good, 0)], "doc_id long, text string, n_words int")
+    assert [tuple(r) for r in quality.filter_quality(kept).collect()] == [(1, good, 0)]
+
+
+def test_unigram_equals_the_library_lattice(spark, odd):
+    import sentencepiece as spm
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    model = pb.ModelProto()
+    model.ParseFromString(open(path, "rb").read())
+    model.trainer_spec.model_type = 1  # read the same pieces as a unigram model
+    lib, vocab = spm.SentencePieceProcessor(model_proto=model.SerializeToString()), unigram.Vocabulary(path)
+    random.seed(2)
+    # scores of these are exact as 32-bit floats in any order of summing
+    words = ["▁" + random.choice("abcdethrs") + "".join(random.choice("abcdethrsé日.,!01") for _ in range(random.randint(0, 13))) for _ in range(600)] + ["▁the", "▁hested"]
+    solved = vocab.segment(words)
+    for w in words:
+        assert list(solved[w]) == lib.nbest_encode(w[1:], nbest_size=3)[0]
+        assert vocab.count(w) == len(solved[w])
+    back = {(r.doc_id, r.text) for r in unigram.decode(unigram.encode(odd, path), path).collect()}
+    assert back == {(r.doc_id, r.text or "") for r in odd.collect()}
+    counts = sorted((r.doc_id or -1, r.n_tokens) for r in unigram.token_counts(odd, path).collect())
+    digest = unigram.encoded_digest(odd, path).collect()
+    assert counts == sorted((r.doc_id or -1, r.n_pieces) for r in digest) and all(r.round_trip for r in digest)
+    assert unigram.token_counts(empty(odd), path).count() == 0
+
+
+def test_token_store_equals_the_library(spark, odd):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(["a   b \n c\n\n d", "\n ", " \n \n", "it's 'll 12 3a", "<|endoftext|> b", "Ab.\nCd, ., .a ,b"])], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").union(more)
+    expected, start = [], 0
+    for doc_id, text in sorted((r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None):
+        ids = [*lib.encode(text, add_special_tokens=False).ids, 2]
+        expected.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_store.stored_documents(docs, path).collect())) == sorted(expected)
+    store, buckets = token_store.store_tokens(docs, path)
+    keys = spark.createDataFrame([(3, 1), (4, 0), (999, 0)], "doc_id long, copy int")
+    got = {(r.doc_id, r.copy): r.ids for r in token_store.fetch(spark, store, keys, buckets).collect()}
+    assert set(got) == {(3, 1), (4, 0)} and got[4, 0] == [*lib.encode("a  b", add_special_tokens=False).ids, 2]
+    assert token_store.stored_documents(empty(docs), path).count() == 0
+
+
+def test_perfect_hash_is_minimal():
+    h = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
+    seeds, slot = token_store.perfect_hash(h)
+    assert sorted(slot) == list(range(len(h)))
+
+
+def brute_components(rows, words, threshold):
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
+    label = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_near_duplicates_equal_brute_force(spark, odd):
+    random.seed(4)
+    base = [f"w{random.randrange(400)}" for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    for k in range(40):
+        copy = list(base)
+        for _ in range(random.randrange(5)):
+            copy[random.randrange(60)] = f"z{random.randrange(9)}"
+        rows.append((100 + k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 4, 0.8).collect()}
+    assert got == brute_components(rows, 4, 0.8)
+    assert near_dedup.near_duplicates(odd).count() == odd.count()
+    assert near_dedup.near_duplicates(empty(odd)).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
+    got = {r.id: r.component for r in connected_components(links).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_decontamination_finds_edited_copies(spark, odd):
+    random.seed(6)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
+    items = [" ".join(word() for _ in range(40)) for _ in range(5)]
+    edited = items[1].split()
+    edited[::8] = ["changed"] * len(edited[::8])
+    fill = " ".join(word() for _ in range(200))
+    docs = spark.createDataFrame([(1, f"{fill} {items[0].upper()} {fill}"), (2, f"{fill}, {' '.join(edited)}! {fill}"), (3, fill), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (9, "too short"), (10, None), (None, items[2])], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, 0), (2, 1)}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {3, 4}
+    assert decontaminate.decontaminate(odd, bench).count() == odd.count()
+    assert decontaminate.contaminated(docs, empty(bench)).count() == 0
+
+
+def test_alignment_equals_the_textbook():
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        a, b = rng.integers(1, 5, rng.integers(1, 12)), rng.integers(1, 5, rng.integers(1, 15))
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
+        assert decontaminate.align(a, b)[0] == h.max()
+
+
+def test_warc_audit_finds_every_changed_record(spark, tmp_path):
+    rows = [(i, f"http://x/{i}" if i % 7 else None, None if i % 11 == 0 else f"<p>page {i}</p>" * (i % 50)) for i in range(1500)] + [(None, "u", "h"), (5, "http://x/5", "again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    warc.write_warc(pages, a)
+    assert warc.audit(spark, a, a).count() == 0
+    warc.damaged_copy(spark, a, b)
+    read = lambda p: {r.shard: bytes(r.content) for r in warc._files(spark, p).collect()}
+    first, second = read(a), read(b)
+    expected = {(s, o) for s, data in first.items() for o, n in warc.members(memoryview(data)) if second[s][o : o + n] != data[o : o + n]}
+    found = warc.audit(spark, a, b).collect()
+    assert expected and {(r.shard, r.offset) for r in found} == expected and all(r.sound_a and not r.sound_b for r in found)
+    e = f"file://{tmp_path}/e"
+    warc.write_warc(empty(pages), e)
+
+
+def test_url_rules_and_ratio(spark):
+    urls = ["http://a.example.com/en/7?x", "https://Example.NET/de/81", "ftp://x.net/de/", "http://org/es/", "http://notcom/en/1", None, "no scheme", "http://h#f", "http://xexample.com/en/7"]
+    urls += [f"http://good{i % 9}.site.info/page/{i}" for i in range(200)] + [f"http://casino-{i % 5}.site.info/win/{i}" for i in range(60)]
+    out = url_filter.filter_urls(spark.createDataFrame([*enumerate(urls)], "page_id long, url string")).collect()
+    by = {r.page_id: r for r in out}
+    assert [(by[i].host, by[i].rule, by[i].verdict) for i in range(5)] == [("a.example.com", "example.com/en/7", "allow"), ("example.net", "example.net/de/8", "block"), ("x.net", "net/de/", "block"), ("org", "org/es/", "block"), ("notcom", None, "allow")]
+    assert (by[5].host, by[5].path, by[6].host, by[7].host, by[7].path) == ("", "", "", "h", "") and by[8].rule == "com/en/"
+    assert {r.verdict for r in out if r.host.startswith("casino")} == {"block"} and {r.verdict for r in out if r.host.startswith("good")} == {"allow"}
+    assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_html_main_text(spark):
+    page = "<html><head><title>x</title></head><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>One <b>two\n</b> three.<br>Four<p>Five<div class='comments'>rude</div><aside>side</aside></article><footer>f</footer>"
+    assert html_text.main_text(page) == "A & B One two three. Four Five"
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p>only"), (5, "u", "<<>< <script>x"), (1, "u", page)]
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [(r.page_id, r.n_chars == len(r.text)) for r in out] == [(r[0], True) for r in rows]
+    assert out[1].text == out[2].text == "" and out[3].text == "only"
+
+
+def test_language_of_held_out_documents(spark, odd):
+    words = {"en": "the and with house river".split(), "de": "der und mit haus fluss schön".split(), "fr": "le et avec maison rivière été".split()}
+    random.seed(8)
+    rows = [(i, " ".join(random.choices(words[l], k=30)), l if i % 10 else "en", f"h{i % 4}.{l}", 1) for i, l in enumerate(random.choices(list(words), k=300))]
+    truth = [l for l in (r[3].split(".")[1] for r in rows)]
+    out = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, lid_extra int")).collect()}
+    assert sum(out[i].lid_lang == l for i, l in enumerate(truth)) >= 0.99 * len(rows)
+    judged = language_id.identify(odd).collect()
+    assert len(judged) == odd.count() and {r.lid_lang for r in judged if not (r.text or "").strip() or r.text == "###"} == {"und"}
+    assert language_id.identify(empty(odd)).count() == 0
