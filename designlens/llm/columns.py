@@ -58,6 +58,33 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
+    def times(self) -> np.ndarray:
+        """How often each distinct word occurs."""
+        return np.bincount(self.codes, minlength=len(self.distinct))
+
+
+class Memo:
+    """Results of words that a worker has solved before.
+
+    Only words that occur twice in a slice are kept, since most others never come
+    again, and ``room`` of them at most: frequent words come early.
+    """
+
+    def __init__(self, room: int):
+        self.room, self.known = room, {}
+
+    def solve(self, words: Words, solver) -> list:
+        """The result of each distinct word; ``solver`` takes and returns a list."""
+        strings = words.distinct.to_pylist()
+        out = list(map(self.known.get, strings))
+        missing = [i for i, x in enumerate(out) if x is None]
+        often = words.times() > 1
+        for i, x in zip(missing, solver([strings[i] for i in missing])):
+            out[i] = x
+            if often[i] and len(self.known) < self.room:
+                self.known[strings[i]] = x
+        return out
+
 
 def hash_strings(strings: pa.Array) -> np.ndarray:
     """64-bit hashes, the same in every process."""

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -34,11 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designlens.llm.columns import Words, gather, run_sums, slices
+from designlens.llm.columns import Memo, Words, gather, run_sums, slices
 
 MARK = "▁"
 #: Distinct words that a worker remembers.
-CACHE = 300_000
+CACHE = 250_000
 #: Below the least score of a piece, for a character without one.
 UNKNOWN_PENALTY = 10.0
 MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -71,8 +72,7 @@ class Vocabulary:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = found
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.counts: dict[str, int] = {}
+        self.ids, self.counts = Memo(CACHE), Memo(CACHE)
         self._automaton = None
 
     def automaton(self):
@@ -165,24 +165,13 @@ class Vocabulary:
             return [word]
         return [u for u in re.split("(\n)", word) if u]
 
-    def learn_ids(self, words: list[str]) -> None:
-        known = self.ids
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE:
-            known = self.ids = {}
-            new = words
-        solved = self.segment(list({u for w in new for u in self.units(w)}))
-        for w in new:
-            known[w] = solved[w] if w in solved else tuple(i for u in self.units(w) for i in solved[u])
-
-    def learn_counts(self, words: list[str]) -> None:
-        known = self.counts
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE:
-            known = self.counts = {}
-            new = words
-        for w in new:
-            known[w] = sum(map(self.count, self.units(w)))
+    def solve_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of marked words, as bytes of unsigned 32-bit integers."""
+        solved = self.segment(list({u for w in words for u in self.units(w)}))
+        return [array("I", solved[w] if w in solved else [i for u in self.units(w) for i in solved[u]]).tobytes() for w in words]
+
+    def solve_counts(self, words: list[str]) -> list[int]:
+        return [sum(map(self.count, self.units(w))) for w in words]
 
     def decode(self, ids: list[int]) -> str:
         out, raw = [], bytearray()
@@ -227,11 +216,9 @@ def marked_words(texts: pa.Array) -> Words:
 def encode_slice(vocab: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts end to end, and the bounds of each text's run."""
     w = marked_words(texts)
-    words = w.distinct.to_pylist()
-    vocab.learn_ids(words)
-    runs = [vocab.ids[x] for x in words]
-    lengths = np.fromiter(map(len, runs), np.int64, len(runs))
-    flat = np.fromiter((i for r in runs for i in r), np.int32, int(lengths.sum()))
+    runs = vocab.ids.solve(w, vocab.solve_ids)
+    lengths = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+    flat = np.frombuffer(b"".join(runs), np.int32)
     ids = gather(flat, np.cumsum(lengths) - lengths, lengths, w.codes)
     return ids, np.concatenate(([0], np.cumsum(run_sums(lengths[w.codes], w.bounds))))
 
@@ -289,9 +276,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
         vocab = vocabulary(model)
         for batch in slices(batches, "text"):
             w = marked_words(batch.column("text"))
-            words = w.distinct.to_pylist()
-            vocab.learn_counts(words)
-            counts = np.fromiter((vocab.counts[x] for x in words), np.int64, len(words))
+            counts = np.array(vocab.counts.solve(w, vocab.solve_counts), np.int64)
             cols = [batch.column("doc_id"), pa.array(run_sums(counts[w.codes], w.bounds)), pa.array(w.counts().astype(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_marked_words"])
 
