@@ -21,7 +21,10 @@ A pair of similarity s is missed by the roots with probability
 
 Candidates must agree in enough signature coordinates (a bound that loses a
 pair at the threshold with probability under 1e-6), and every link is then
-confirmed on the full sets.
+confirmed on the full sets. In the last comparison this happens inside the
+node: the full sets of its documents that have a candidate meet there, and only
+links leave it, no more than connect the groups that it holds. So a node whose
+documents are similar but stay under the threshold emits rows by its size.
 
 Data with hot groups: equal sets meet only in partial aggregates and in joins
 whose skewed side Spark splits. Near groups grow by ``ROUNDS`` rounds before
@@ -54,6 +57,8 @@ TREES, ROOT, BRANCH, DEPTH = 24, 3, 2, 4
 COORDINATES = TREES * ROOT
 #: Documents of a node that are compared exhaustively; documents of a block in larger nodes.
 LEAF, BLOCK = 1024, 256
+#: Tokens of a part of a node whose full sets are compared, and columns of a product at once.
+PART_TOKENS, TOKENS_AT_ONCE = 1 << 19, 2048
 #: Rounds in which each document names its likeliest partner.
 ROUNDS = 3
 
@@ -197,30 +202,92 @@ def _nearest(nodes: DataFrame, seed: int, threshold: float) -> DataFrame:
     return best.select(F.greatest("a", -F.col("x.minus")).alias("a"), F.least("a", -F.col("x.minus")).alias("b")).distinct()
 
 
-def _node_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different groups within each node (node, rep, label, n, sig, asks) that their signatures allow; one of each pair asks."""
+def _possible(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Rows (node, rep, label, n) of ``nodes`` (with sig, asks) that their signatures let reach a document of another group of the node, if one of both asks."""
     at_least, ratio = agreement_bound(threshold), round(100 * threshold)
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
-            for members in batch.column("members"):
+            for node, members in zip(batch.column("node"), batch.column("members")):
                 m = members.values
                 rep, label, n, asks = (m.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "n", "asks"))
                 sig = _matrix(m.field("sig"))
                 order = np.argsort(~asks, kind="stable")
                 rep, label, n, sig = rep[order], label[order], n[order], sig[order]
+                met = np.zeros(len(rep), bool)
                 for i in range(int(asks.sum())):
                     other = (label[i + 1 :] != label[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * ratio)
                     near = np.flatnonzero(other) + i + 1
                     near = near[(sig[near] == sig[i]).sum(1) >= at_least]
-                    a.append(np.maximum(rep[near], rep[i]))
-                    b.append(np.minimum(rep[near], rep[i]))
-            pairs = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
+                    met[near] = True
+                    met[i] |= len(near) > 0
+                k = int(met.sum())
+                if k:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, node.as_py(), np.int64)), pa.array(rep[met]), pa.array(label[met]), pa.array(n[met])], ["node", "rep", "label", "n"])
 
     grouped = nodes.groupBy("node").agg(F.collect_list(F.struct("rep", "label", "n", "sig", "asks")).alias("members"))
-    return grouped.select("members").mapInArrow(run, "a long, b long").distinct()
+    return grouped.mapInArrow(run, "node long, rep long, label long, n long")
+
+
+def spanning_links(sets: list[np.ndarray], label: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links of similarity ``threshold`` or more between sets of different labels, as few as connect the labels that all such links connect."""
+    ratio, label = round(100 * threshold), np.unique(label, return_inverse=True)[1]
+    n = np.array([len(x) for x in sets], np.int64)
+    left = np.arange(len(sets))
+    while len(left):
+        tokens, owner = np.concatenate([sets[i] for i in left]), np.repeat(np.arange(len(left)), n[left])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        of = label[left][owner]
+        # a token of one label only is in no intersection of two
+        shared = np.minimum.reduceat(of, starts) < np.maximum.reduceat(of, starts)
+        code = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(tokens))))
+        keep = shared[code]
+        common = np.bincount(owner[keep], minlength=len(left))
+        can = 100 * common >= ratio * n[left]
+        if can.all():
+            break
+        left = left[can]
+    if len(left) < 2:
+        return []
+    code, owner = (np.cumsum(shared) - 1)[code[keep]], owner[keep]
+    names, n = label[left], n[left]
+    asks = np.flatnonzero(names != np.bincount(names).argmax())
+    both = np.zeros((len(asks), len(left)), np.float32)
+    for first in range(0, int(shared.sum()), TOKENS_AT_ONCE):
+        a, b = np.searchsorted(code, (first, first + TOKENS_AT_ONCE))
+        has = np.zeros((len(left), TOKENS_AT_ONCE), np.float32)
+        has[owner[a:b], code[a:b] - first] = 1
+        both += has[asks] @ has.T
+    linked = (100 * both >= ratio * (n[asks, None] + n[None, :] - both)) & (names[asks, None] != names[None, :])
+    out, root = [], np.arange(names.max() + 1)
+    for row, i in enumerate(asks):
+        near = np.flatnonzero(linked[row])
+        for other, at in zip(*np.unique(root[names[near]], return_index=True)):
+            if other != root[names[i]]:
+                out.append((int(left[i]), int(left[near[at]])))
+                root[root == other] = root[names[i]]
+    return out
+
+
+def _node_links(possible: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the groups that meet in a node, by the full sets of its documents; of each node, no more than connect its groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
+        links = spanning_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")], label, threshold)
+        ends = [(max(reps[i], reps[j]), min(reps[i], reps[j])) for i, j in links]
+        return pa.table({"a": pa.array([x for x, _ in ends], pa.int64()), "b": pa.array([x for _, x in ends], pa.int64())})
+
+    # nodes of many tokens are dealt into parts, and each two parts of a node meet in a block
+    weights = possible.groupBy("node").agg(F.sum("n").alias("weight"))
+    parts = F.when(F.col("weight") <= 2 * PART_TOKENS, 1).otherwise(F.ceil(F.col("weight") / PART_TOKENS)).cast("int")
+    dealt = possible.join(weights.select("node", parts.alias("parts")), "node").withColumn("x", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or x <> y")
+    dealt = dealt.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("node"), "rep", "label")
+    full = dealt.join(sets.groupBy("rep").agg(F.first("hashes").alias("hashes")), "rep")
+    return full.groupBy("node").applyInArrow(run, "a long, b long").distinct()
 
 
 def _branch(nodes: DataFrame, level: int) -> DataFrame:
@@ -260,7 +327,7 @@ def links(docs: DataFrame, feats: DataFrame, words: int, threshold: float) -> tu
         pairs = _nearest(here, seed, threshold)
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        sets = _with_sets(docs, pairs, sets, words)
+        sets = _with_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), sets, words)
         new = materialize(confirm(pairs, sets, threshold), "near-links")
         first = new if first is None else first.union(new)
         groups = connected_components(first)
@@ -272,27 +339,28 @@ def links(docs: DataFrame, feats: DataFrame, words: int, threshold: float) -> tu
     for level in range(DEPTH + 1):
         here = materialize(here, "near-mixed")
         leaf = here.where(F.col("size") <= LEAF).withColumn("asks", F.lit(True))
-        found.append(_node_pairs(leaf, threshold))
+        found.append(_possible(leaf, threshold))
         large = here.where(F.col("size") > LEAF).drop("size")
         if large.isEmpty():
             break
         if level == DEPTH:
-            found.append(_node_pairs(_block_pairs(large), threshold))
+            found.append(_possible(_block_pairs(large), threshold))
             break
         below = _branch(large, level)
         mixed = below.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "size")
         here = below.join(mixed, "node")
-    pairs = found[0]
+    possible = found[0]
     for x in found[1:]:
-        pairs = pairs.union(x)
-    pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    second = materialize(confirm(pairs, _with_sets(docs, pairs, sets, words), threshold), "near-links")
+        possible = possible.union(x)
+    possible = materialize(possible, "near-possible")
+    sets = _with_sets(docs, possible.select("rep"), sets, words)
+    second = materialize(_node_links(possible, sets, threshold), "near-links")
     return reps, first.union(second)
 
 
-def _with_sets(docs: DataFrame, pairs: DataFrame, sets: DataFrame | None, words: int) -> DataFrame:
-    """``sets`` and the full sets of the documents in ``pairs`` that it lacks."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+def _with_sets(docs: DataFrame, ids: DataFrame, sets: DataFrame | None, words: int) -> DataFrame:
+    """``sets`` and the full sets of the documents ``ids`` (rep) that it lacks."""
+    ids = ids.distinct()
     if sets is not None:
         ids = ids.join(sets.select("rep"), "rep", "left_anti")
         if ids.isEmpty():

@@ -130,6 +130,54 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert near_dedup.near_duplicates(empty(odd)).count() == 0
 
 
+def test_links_within_a_node_connect_what_all_links_connect():
+    rng = np.random.default_rng(5)
+    for trial in range(40):
+        core, sets = rng.permutation(200)[:40], []
+        for _ in range(30):
+            x = core.copy()
+            x[rng.permutation(40)[: rng.integers(12)]] = rng.integers(200, 230 if trial % 2 else 10**6, 1)
+            sets.append(np.unique(x).astype(np.uint64))
+        label = rng.integers(0, 12, 30)
+        root = {int(x): int(x) for x in label}
+
+        def join(i, j, root):
+            a, b = root[int(label[i])], root[int(label[j])]
+            for k, v in root.items():
+                root[k] = a if v == b else v
+
+        for i in range(30):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    join(i, j, root)
+        got = {int(x): int(x) for x in label}
+        links = near_dedup.spanning_links(sets, label, 0.8)
+        for i, j in links:
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both)
+            join(i, j, got)
+        groups = lambda r: {frozenset(k for k in r if r[k] == v) for v in r.values()}
+        assert groups(got) == groups(root)
+        assert len(links) == len(root) - len(groups(root))
+
+
+def test_parts_and_rounds_of_large_nodes(spark, monkeypatch):
+    random.seed(6)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(48):
+        copy = list(base)
+        for _ in range(random.randrange(9)):
+            copy[random.randrange(80)] = f"z{k}-{random.randrange(99)}"
+        rows.append((k, " ".join(copy)))
+    for name, value in (("LEAF", 20), ("BLOCK", 10), ("PART_TOKENS", 1000), ("DEPTH", 1), ("ROUNDS", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 4, 0.8).collect()}
+    assert got == brute_components(rows, 4, 0.8)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r.id: r.component for r in connected_components(links).collect()}
