@@ -24,18 +24,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points once at most, and none to a node that points on."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("points")), F.struct(F.col("v").alias("id"), F.lit(0).alias("points")))).alias("e")).select("e.*")
+    return ends.groupBy("id").agg(F.sum("points").alias("points"), F.min("points").alias("least")).where("points > 1 or (points = 1 and least = 0)").isEmpty()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component): each id of ``links`` (a, b) with the least id it reaches.
 
     Null ends and loops link nothing. Ids without a link are not in the result.
     """
     pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b")
-    edges, before = materialize(pairs.distinct(), "edges"), None
+    edges = materialize(pairs.distinct(), "edges")
     for _ in range(MAX_ROUNDS):
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        if _settled(edges):
             break
-        before = state
         edges = materialize(_star(_star(edges, True), False), "edges")
     else:
         raise RuntimeError("the components did not settle")

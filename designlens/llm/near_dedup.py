@@ -42,6 +42,8 @@ and is not kept unless the whole group has no doc_id.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -312,8 +314,8 @@ def _block_pairs(large: DataFrame) -> DataFrame:
     return asks.union(answers).withColumn("node", F.xxhash64("node", "x", "y")).drop("x", "y")
 
 
-def links(docs: DataFrame, feats: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The representatives (rep, n, sig, set_key) of equal sets, and confirmed links (a, b) that connect every group of them."""
+def linked_groups(docs: DataFrame, feats: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The representatives (rep, n, sig, set_key) of equal sets, and the component of each that has a link (id, component)."""
     reps = materialize(
         feats.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("roots").alias("roots")),
         "near-reps",
@@ -322,15 +324,14 @@ def links(docs: DataFrame, feats: DataFrame, words: int, threshold: float) -> tu
     stats = walked.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
     nodes = materialize(walked.join(stats, "node").join(reps.select("rep", "n", "sig"), "rep"), "near-nodes")
     # first the likeliest partners; every document with a possible partner gets its full set read once
-    here, first, tried, sets = nodes.withColumn("label", F.col("rep")), None, None, None
+    here, groups, tried, sets = nodes.withColumn("label", F.col("rep")), None, None, None
     for seed in range(ROUNDS):
         pairs = _nearest(here, seed, threshold)
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.union(pairs)
         sets = _with_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), sets, words)
         new = materialize(confirm(pairs, sets, threshold), "near-links")
-        first = new if first is None else first.union(new)
-        groups = connected_components(first)
+        groups = _merged(groups, new)
         here = nodes.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", "rep", "n", "sig", F.coalesce("component", "rep").alias("label"))
     # then all pairs of different groups that meet in a node
     mixed = here.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "size")
@@ -355,7 +356,13 @@ def links(docs: DataFrame, feats: DataFrame, words: int, threshold: float) -> tu
     possible = materialize(possible, "near-possible")
     sets = _with_sets(docs, possible.select("rep"), sets, words)
     second = materialize(_node_links(possible, sets, threshold), "near-links")
-    return reps, first.union(second)
+    return reps, _merged(groups, second)
+
+
+def _merged(groups: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The components (id, component) of ``groups`` once the links ``found`` (a, b) join some of them."""
+    known = [] if groups is None else [groups.select(F.col("id").alias("a"), F.col("component").alias("b"))]
+    return connected_components(functools.reduce(DataFrame.union, known, found))
 
 
 def _with_sets(docs: DataFrame, ids: DataFrame, sets: DataFrame | None, words: int) -> DataFrame:
@@ -372,8 +379,7 @@ def _with_sets(docs: DataFrame, ids: DataFrame, sets: DataFrame | None, words: i
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
     feats = materialize(features(docs, words), "near-features")
-    reps, found = links(docs, feats, words, threshold)
-    groups = connected_components(found)
+    reps, groups = linked_groups(docs, feats, words, threshold)
     of_set = reps.select("set_key", "rep").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
     of_set = of_set.select("set_key", F.coalesce("component", "rep").alias("component"))
     out = feats.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
