@@ -37,3 +37,27 @@ def tier_counts(designs: DataFrame, size: str, group: str, score: str) -> DataFr
     top = [F.count_if(F.col(score) >= F.col(f"top_{t:02d}")).alias(f"n_top_{t:02d}") for t in TIERS]
     bottom = [F.count_if(F.col(score) <= F.col(f"bot_{t:02d}")).alias(f"n_bot_{t:02d}") for t in TIERS]
     return joined.groupBy(size, group).agg(F.count("*").alias("n_designs"), *top, *bottom)
+
+
+def percentile_sweep(designs: DataFrame, group: list[str], score: str, steps: int) -> DataFrame:
+    """group, percent, value: the least score that percent of the rows do not exceed, at ``steps`` + 1 even anchors.
+
+    Works on the counts of distinct scores, which are summed before they meet.
+    """
+    counts = designs.groupBy(*group, F.col(score).alias("value")).agg(F.count("*").alias("n"))
+    upto = counts.withColumns({"upto": F.sum("n").over(Window.partitionBy(*group).orderBy("value")), "total": F.sum("n").over(Window.partitionBy(*group))})
+    # anchor a asks for the row of rank max(1, ceil(a * total / steps)): those whose rank falls among a value's own rows
+    first = F.when(F.col("upto") == F.col("n"), F.lit(0)).otherwise(F.expr(f"(upto - n) * {steps} div total") + 1)
+    last = F.expr(f"upto * {steps} div total")
+    asked = upto.select(*group, "value", first.cast("bigint").alias("lo"), last.cast("bigint").alias("hi")).where("lo <= hi")
+    each = asked.select(*group, "value", F.explode(F.sequence("lo", "hi")).alias("anchor"))
+    return each.select(*group, (F.col("anchor") * F.lit(100.0) / F.lit(steps)).alias("percent"), "value")
+
+
+def percentile_rank(rows: DataFrame, sweep: DataFrame, group: list[str], key: str, score: str, steps: int) -> DataFrame:
+    """The percentile of each row's score in the sweep of its group, linear between anchors, 0 below and 100 above all."""
+    met = rows.join(F.broadcast(sweep), group)
+    reached = F.col("value") <= F.col(score)
+    at = met.groupBy(key, score).agg(F.max(F.when(reached, F.col("percent"))).alias("lo"), F.max(F.when(reached, F.col("value"))).alias("vlo"), F.min(F.when(~reached, F.col("value"))).alias("vhi"))
+    between = F.col("lo") + F.lit(100.0 / steps) * (F.col(score) - F.col("vlo")) / (F.col("vhi") - F.col("vlo"))
+    return at.select(key, score, F.round(F.when(F.col("lo").isNull(), 0.0).when(F.col("vhi").isNull(), 100.0).otherwise(between), 6).alias("percent"))
