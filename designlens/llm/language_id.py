@@ -10,16 +10,26 @@ Evidence for each language l of a document:
 * the host: a prior from grouped counts of declared languages, smoothed level by
   level: host towards the address suffix, suffix towards the whole corpus.
 
-The trigram counts come from all documents, by declared language, as grouped
-partial counts: at most ``FEATURES`` rows for each language reach the driver,
-whatever the size of the corpus. Languages are the declared ones that at least
-``MIN_SHARE`` of the documents declare, so there are 1 / MIN_SHARE at most.
+An unknown class stands beside the languages, so that texts in none of them can
+be rejected: each trigram comes half from the mean of all languages and half from
+any slot alike, and the class has ``UNKNOWN`` of the prior. Random letters fit
+the even half better than any language, and a text in a further language fits the
+mean of several better than one of them, by an amount that grows with its length.
+So that texts with passages in several of the languages stay, the class is held
+against the best language of each ``PASSAGE`` words, not of the whole text.
+
+The trigram counts come from all documents, by declared language, as a grouped
+table. Languages are the declared ones of at least ``MIN_DOCUMENTS`` documents,
+whatever their share. They are scored in blocks of ``BLOCK_LANGUAGES``, each block
+in a pass of its own that carries the best language and the sum so far, so what is
+on the driver and sent to tasks at once has a fixed bound.
 
 A document is rejected if it has no letters, or if its best language has a
-posterior under ``min_posterior``.
+posterior under ``min_posterior`` among all languages and the unknown class.
 
 Defined results: null, empty and letterless texts get language "und", posterior
-0 and are rejected; a null or unknown declared language says nothing; a null
+0 and are rejected; a text that the unknown class fits best gets "und" and the
+posterior of its best language; a null or unknown declared language says nothing; a null
 host takes the suffix's prior (none, then the corpus's); without any declared
 language in the table every document is "und". Rows are judged one by one, so
 repeated rows get equal results; further columns are passed through.
@@ -34,10 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from designlens.llm.columns import Words, run_sums, slices
+from designlens.shared import materialize
 
 FEATURES = 1 << 15
-MIN_SHARE = 1 / 256
-TRUST, TEMPER, MIN_POSTERIOR = 0.9, 0.5, 0.5
+MIN_DOCUMENTS = 5
+#: Languages whose scores are sent to the tasks at once.
+BLOCK_LANGUAGES = 128
+TRUST, TEMPER, MIN_POSTERIOR, UNKNOWN = 0.9, 0.5, 0.5, 1e-3
+PASSAGE = 16
 #: Weight of the level above, in documents.
 SUFFIX_WEIGHT, HOST_WEIGHT = 50.0, 20.0
 #: A table of host priors goes to all tasks up to this many hosts; a larger one is joined.
@@ -69,34 +83,38 @@ def _host_columns(host: str):
 def languages(docs: DataFrame, declared: str) -> list[tuple[str, int]]:
     """Declared languages with enough documents, and their documents."""
     counts = docs.groupBy(F.col(declared).alias("l")).agg(F.count("*").alias("n"))
-    total = docs.count()
-    return [(r.l, r.n) for r in counts.where(F.col("l").isNotNull() & (F.col("n") >= max(1, MIN_SHARE * total))).orderBy("l").collect()]
+    return [(r.l, r.n) for r in counts.where(F.col("l").isNotNull() & (F.col("n") >= MIN_DOCUMENTS)).orderBy("l").collect()]
+
+
+def likelihoods(counts: np.ndarray) -> np.ndarray:
+    """Trigram probabilities of each language, smoothed by the number of its distinct trigrams (Witten-Bell)."""
+    kinds = (counts > 0).sum(1, keepdims=True) + 1
+    return (counts + kinds / FEATURES) / (counts.sum(1, keepdims=True) + kinds)
 
 
 class TextModel:
-    """Log-likelihoods of hashed trigrams in each language."""
+    """Log-likelihoods of hashed trigrams in each class."""
 
-    def __init__(self, counts: np.ndarray):
-        smooth = counts + 0.5
-        self.scores = np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float64)
+    def __init__(self, probabilities: np.ndarray):
+        self.scores = np.log(probabilities)
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood of each text in each language, and its number of trigrams."""
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihood of each passage in each class, the bounds of each text's passages, and its number of trigrams."""
         w = letter_words(texts)
         if not len(w.distinct):
-            return np.zeros((len(texts), self.scores.shape[1])), np.zeros(len(texts), np.int64)
+            return np.zeros((0, len(self.scores))), np.zeros(len(texts) + 1, np.int64), np.zeros(len(texts), np.int64)
         h, bounds = trigrams(w.distinct)
-        sums = np.add.reduceat(self.scores[h], bounds[:-1], axis=0)
-        out = np.stack([run_sums(sums[w.codes, l], w.bounds) for l in range(sums.shape[1])], 1)
-        return out, run_sums(np.diff(bounds)[w.codes], w.bounds)
+        place = np.arange(len(w.codes)) - w.bounds[w.rows]
+        starts = np.flatnonzero(place % PASSAGE == 0)
+        out = np.stack([np.add.reduceat(np.add.reduceat(scores[h], bounds[:-1])[w.codes], starts) for scores in self.scores], 1)
+        return out, np.searchsorted(starts, w.bounds), run_sums(np.diff(bounds)[w.codes], w.bounds)
 
 
-def fit_text(docs: DataFrame, names: list[str], declared: str = "lang") -> TextModel:
-    """Trigram counts of all documents, by declared language."""
+def count_trigrams(docs: DataFrame, names: list[str], declared: str = "lang") -> DataFrame:
+    """l (place in ``names``), f (trigram), n, over all documents with a declared language of ``names``."""
     place = {name: i for i, name in enumerate(names)}
 
     def run(batches):
-        total = np.zeros((len(names), FEATURES), np.int64)
         for batch in slices(batches, "text"):
             label = np.array([place.get(x, -1) for x in batch.column("label").to_pylist()])
             w = letter_words(batch.column("text"))
@@ -104,52 +122,96 @@ def fit_text(docs: DataFrame, names: list[str], declared: str = "lang") -> TextM
                 continue
             h, bounds = trigrams(w.distinct)
             per_word = label[w.rows]
-            for l in range(len(names)):
+            for l in np.unique(per_word[per_word >= 0]):
                 words = np.bincount(w.codes[per_word == l], minlength=len(w.distinct))
-                total[l] += np.bincount(h, weights=np.repeat(words, np.diff(bounds)), minlength=FEATURES).astype(np.int64)
-        l, f = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(l, pa.int32()), pa.array(f, pa.int32()), pa.array(total[l, f])], ["l", "f", "n"])
+                total = np.bincount(h, weights=np.repeat(words, np.diff(bounds)), minlength=FEATURES).astype(np.int64)
+                f = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), l), pa.int32()), pa.array(f, pa.int32()), pa.array(total[f])], ["l", "f", "n"])
 
     rows = docs.select(F.col(declared).alias("label"), F.col("text").cast("string"))
-    counted = rows.mapInArrow(run, "l int, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(names), FEATURES))
-    counts[counted.column("l").to_numpy(), counted.column("f").to_numpy()] = counted.column("n").to_numpy()
-    return TextModel(counts)
+    return rows.mapInArrow(run, "l int, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
+
+
+def block_likelihoods(counted: DataFrame, first: int, last: int) -> np.ndarray:
+    """Trigram probabilities of the languages ``first`` to ``last - 1``."""
+    rows = counted.where(F.col("l").between(first, last - 1)).toArrow()
+    counts = np.zeros((last - first, FEATURES))
+    counts[rows.column("l").to_numpy() - first, rows.column("f").to_numpy()] = rows.column("n").to_numpy()
+    return likelihoods(counts)
 
 
-def host_priors(docs: DataFrame, names: list[str], declared: str, host: str, overall: np.ndarray) -> DataFrame:
-    """host, prior (array<double> over ``names``): counts smoothed towards the suffix's, and those towards the corpus's."""
+def host_counts(docs: DataFrame, names: list[str], declared: str, host: str) -> DataFrame:
+    """host, and documents by place in ``names`` (l, n) of it and of its suffix."""
     h, suffix = _host_columns(host)
-    label = F.col(declared)
-    counted = docs.select(h.alias("host"), suffix.alias("suffix"), label.alias("l")).where(label.isin(names)).groupBy("host", "suffix", "l").agg(F.count("*").alias("n"))
-    per_host = [F.sum(F.when(F.col("l") == x, F.col("n")).otherwise(0)).alias(f"h{i}") for i, x in enumerate(names)]
-    by_host = counted.groupBy("host", "suffix").agg(*per_host)
-    by_suffix = by_host.groupBy("suffix").agg(*[F.sum(f"h{i}").alias(f"s{i}") for i in range(len(names))])
-    total = lambda c: sum((F.col(f"{c}{i}") for i in range(len(names))), F.lit(0))
-    both = by_host.join(by_suffix, by_host["suffix"].eqNullSafe(by_suffix["suffix"])).select("host", *[f"h{i}" for i in range(len(names))], *[f"s{i}" for i in range(len(names))])
-    of_suffix = lambda i: (F.col(f"s{i}") + SUFFIX_WEIGHT * F.lit(float(overall[i]))) / (total("s") + SUFFIX_WEIGHT)
-    return both.where("host is not null").select("host", F.array(*[(F.col(f"h{i}") + HOST_WEIGHT * of_suffix(i)) / (total("h") + HOST_WEIGHT) for i in range(len(names))]).alias("prior"))
+    places = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(names)), "l int, name string"))
+    label = docs.select(h.alias("host"), suffix.alias("suffix"), F.col(declared).alias("name")).groupBy("host", "suffix", "name").agg(F.count("*").alias("n"))
+    counted = label.join(places, "name")
+    listed = F.collect_list(F.struct("l", "n"))
+    by_host = counted.where("host is not null").groupBy("host", "suffix").agg(listed.alias("of_host"))
+    by_suffix = counted.groupBy("suffix", "l").agg(F.sum("n").alias("n")).groupBy("suffix").agg(listed.alias("of_suffix"))
+    both = by_host.join(by_suffix, by_host["suffix"].eqNullSafe(by_suffix["suffix"]))
+    return both.select("host", "of_host", "of_suffix")
+
+
+def _block_counts(lists: pa.ListArray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's counts, those of places ``first`` to ``last - 1`` and the sum of all."""
+    row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    place, n = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+    out, use = np.zeros((len(lists), last - first)), (place >= first) & (place < last)
+    out[row[use], place[use] - first] = n[use]
+    return out, np.bincount(row, weights=n, minlength=len(lists))[:, None]
 
 
 class Fusion:
-    """Posterior of each language from text, declared language and host prior."""
-
-    def __init__(self, model: TextModel, names: list[str], overall: np.ndarray, trust: float, min_posterior: float):
-        self.model, self.names, self.overall, self.min_posterior = model, names, overall, min_posterior
-        wrong = (1 - trust) / max(len(names) - 1, 1)
-        self.declared = {x: np.log([trust if y == x else wrong for y in names]) for x in names}
-        self.silent = np.zeros(len(names))
-
-    def judge(self, texts: pa.Array, declared: list, priors: list) -> tuple[list[str], np.ndarray, np.ndarray]:
-        text, n = self.model.score(texts)
-        said = np.stack([self.declared.get(x, self.silent) for x in declared]) if declared else np.zeros((0, len(self.names)))
-        prior = np.log(np.stack([self.overall if p is None else np.asarray(p) for p in priors])) if priors else said
-        post = TEMPER * text + said + prior
-        post = np.exp(post - post.max(1, keepdims=True)) if len(post) else post
-        post /= post.sum(1, keepdims=True)
+    """Scores of a block of languages from text, declared language and host prior.
+
+    The block from place 0 has the unknown class as well, last in its model.
+    """
+
+    def __init__(self, model: TextModel, first: int, last: int, names: list[str], overall: np.ndarray, trust: float):
+        self.model, self.first, self.last, self.overall = model, first, last, overall[first:last]
+        self.place, self.trust = {x: i for i, x in enumerate(names)}, trust
+        self.wrong, self.languages = (1 - trust) / max(len(names) - 1, 1), len(names)
+
+    def judge(self, texts: pa.Array, declared: list, of_host: pa.ListArray, of_suffix: pa.ListArray) -> tuple[np.ndarray, ...]:
+        """The best language's place and score, the log of the sum of all scores, the unknown class's score, the number of trigrams,
+        and of each passage the best language's text score, end to end, and the bounds of each text's run."""
+        passages, bounds, n = self.model.score(texts)
+        width = self.last - self.first
+        text = np.stack([run_sums(x, bounds) for x in passages.T], 1)
+        place = np.array([self.place.get(x, -1) for x in declared], np.int64)
+        said = np.repeat(np.where(place < 0, 0.0, np.log(self.wrong))[:, None], width, 1)
+        own = np.flatnonzero((place >= self.first) & (place < self.last))
+        said[own, place[own] - self.first] = np.log(self.trust)
+        (h, all_h), (s, all_s) = (_block_counts(x, self.first, self.last) for x in (of_host, of_suffix))
+        prior = (h + HOST_WEIGHT * (s + SUFFIX_WEIGHT * self.overall) / (all_s + SUFFIX_WEIGHT)) / (all_h + HOST_WEIGHT)
+        post = text[:, :width] * TEMPER + said + np.log(prior) + np.log(1 - UNKNOWN)
         best = post.argmax(1)
-        sure = np.where(n > 0, post[np.arange(len(post)), best], 0.0)
-        return [self.names[b] if k else "und" for b, k in zip(best, n)], sure, (n > 0) & (sure >= self.min_posterior)
+        unknown = np.zeros(len(post))
+        if not self.first:
+            unknown = TEMPER * text[:, -1] + np.where(place < 0, 0.0, -np.log(self.languages)) + np.log(UNKNOWN)
+        rows = np.arange(len(post))
+        return best + self.first, post[rows, best], np.logaddexp.reduce(post, 1), unknown, n, text[rows, best], passages[:, :width].max(1), bounds
+
+
+def _judged(rows: DataFrame, fusion: Fusion, declared: str) -> DataFrame:
+    """``rows`` with what ``judge`` finds, on top of what the blocks before have found."""
+    state = ["lid_place", "lid_top", "lid_sum", "lid_unknown", "lid_n", "lid_text", "lid_passages"]
+    own = [c for c in rows.columns if c not in state]
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            place, top, total, unknown, n, text, passages, bounds = fusion.judge(batch.column("text"), batch.column(declared).to_pylist(), batch.column("lid_of_host"), batch.column("lid_of_suffix"))
+            if fusion.first:
+                place0, top0, total0, unknown, _, text0 = (batch.column(c).to_numpy(zero_copy_only=False) for c in state[:6])
+                text = np.where(top > top0, text, text0)
+                place, top, total = np.where(top > top0, place, place0), np.maximum(top, top0), np.logaddexp(total, total0)
+                passages = np.maximum(passages, batch.column("lid_passages").flatten().to_numpy(zero_copy_only=False))
+            found = [pa.array(place, pa.int32()), pa.array(top), pa.array(total), pa.array(unknown), pa.array(n, pa.int64()), pa.array(text), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(passages))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + found, own + state)
+
+    types = dict(zip(state, (F.lit(0), *[F.lit(0.0)] * 3, F.lit(0).cast("long"), F.lit(0.0), F.array(F.lit(0.0)))))
+    return rows.mapInArrow(run, rows.select(*own).withColumns(types).schema)
 
 
 def identify(docs: DataFrame, declared: str = "lang", host: str = "source", trust: float = TRUST, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
@@ -160,19 +222,32 @@ def identify(docs: DataFrame, declared: str = "lang", host: str = "source", trus
     names = [x for x, _ in known]
     overall = np.array([n for _, n in known], float)
     overall = (overall + 1) / (overall + 1).sum()
-    fusion = Fusion(fit_text(docs, names, declared), names, overall, trust, min_posterior)
-    priors = host_priors(docs, names, declared, host, overall).cache()
+    bounds = [(k, min(k + BLOCK_LANGUAGES, len(names))) for k in range(0, len(names), BLOCK_LANGUAGES)]
+    counted = count_trigrams(docs, names, declared)
+    counted = materialize(counted, "trigrams") if len(bounds) > 1 else counted
+    block = block_likelihoods(counted, *bounds[0])
+    total = block.sum(0) + sum(block_likelihoods(counted, *b).sum(0) for b in bounds[1:])
+    block = np.vstack([block, 0.5 * total / len(names) + 0.5 / FEATURES])
+    priors = host_counts(docs, names, declared, host).cache()
     small = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     priors = F.broadcast(priors) if small else priors
     kept = docs.columns
     keyed = docs.withColumn("lid_host", _host_columns(host)[0])
-    joined = keyed.join(priors.withColumnRenamed("host", "lid_host"), "lid_host", "left").select(*kept, F.col("prior").alias("lid_prior"))
-
-    def run(batches):
-        for batch in slices(batches, "text"):
-            lang, sure, keep = fusion.judge(batch.column("text"), batch.column(declared).to_pylist(), batch.column("lid_prior").to_pylist())
-            cols = [batch.column(c) for c in kept] + [pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(keep, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, [*kept, "lid_lang", "lid_posterior", "lid_kept"])
-
-    schema = docs.withColumns({"lid_lang": F.lit(""), "lid_posterior": F.lit(0.0), "lid_kept": F.lit(True)}).schema
-    return joined.mapInArrow(run, schema)
+    rows = keyed.join(priors.withColumnRenamed("host", "lid_host"), "lid_host", "left").select(*kept, F.col("of_host").alias("lid_of_host"), F.col("of_suffix").alias("lid_of_suffix"))
+    for first, last in bounds:
+        rows = materialize(rows, "languages") if first else rows
+        block = block_likelihoods(counted, first, last) if first else block
+        rows = _judged(rows, Fusion(TextModel(block), first, last, names, overall, trust), declared)
+    place, top = F.col("lid_place"), F.col("lid_top")
+    composite = F.aggregate("lid_passages", F.lit(0.0), lambda a, x: a + x)
+    # a text in several languages fits none as a whole: what it gains by a language for each passage is taken from the unknown class
+    unknown = F.col("lid_unknown") - TEMPER * (composite - F.col("lid_text"))
+    sure = 1 / (F.exp(F.col("lid_sum") - top) + F.exp(F.least(unknown - top, F.lit(700.0))))
+    lettered = F.col("lid_n") > 0
+    name = F.get(F.array(*map(F.lit, names)), place)
+    return rows.select(
+        *kept,
+        F.when(lettered & (unknown <= top), name).otherwise("und").alias("lid_lang"),
+        F.when(lettered, sure).otherwise(0.0).alias("lid_posterior"),
+        (lettered & (sure >= min_posterior)).alias("lid_kept"),
+    )

@@ -256,3 +256,25 @@ def test_language_of_held_out_documents(spark, odd):
     judged = language_id.identify(odd).collect()
     assert len(judged) == odd.count() and {r.lid_lang for r in judged if not (r.text or "").strip() or r.text == "###"} == {"und"}
     assert language_id.identify(empty(odd)).count() == 0
+
+
+def test_language_rejects_unknown_texts_and_keeps_small_languages(spark, monkeypatch):
+    random.seed(9)
+    syllables = {"en": "the and wi th ho use ri ver".split(), "de": "der und mit haus flu schö ein".split(), "fr": "le et av ec mai son été".split(), "it": "gli che per città più zio".split()}
+    text = lambda l: " ".join("".join(random.choices(syllables[l], k=2)) for _ in range(40))
+    noise = lambda letters: " ".join("".join(random.choices(letters, k=6)) for _ in range(30))
+    # few documents of one language beside very many of the others
+    labels = ["en"] * 1500 + ["de"] * 1000 + ["fr"] * 7
+    rows = [(i, text(l), l, f"h.{l}") for i, l in enumerate(labels)]
+    strange = [(5000 + i, x, None, None) for i in range(20) for x in (noise("abcdefghijklmnopqrstuvwxyz"), noise("αβγδεζηθικλμνξοπρστυφχψω"), text("it"))]
+    # passages in two of the languages are no unknown text
+    rows.append((4000, text("en") + " " + text("de"), "en", "h.en"))
+    labels.append("en")
+    docs = spark.createDataFrame(rows + strange, "doc_id long, text string, lang string, source string")
+    one = sorted(map(tuple, language_id.identify(docs).select("doc_id", "lid_lang", F.round("lid_posterior", 6), "lid_kept").collect()))
+    known = [r for r in one if r[0] < 5000]
+    assert [r[1] for r in known] == labels and all(r[3] for r in known)
+    assert not any(r[3] for r in one if r[0] >= 5000)
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 2)
+    two = sorted(map(tuple, language_id.identify(docs).select("doc_id", "lid_lang", F.round("lid_posterior", 6), "lid_kept").collect()))
+    assert one == two
