@@ -3,8 +3,11 @@
 Words are runs of letters and digits, lower-cased, so case and punctuation do
 not hide a copy. One pass over the corpus counts, for every ``n``-word sequence
 of the benchmark, the documents that hold it. An item's seeds are its sequences
-that at most ``RARE`` of all documents hold, and in any case the rarer half of
-its own, so that an item that many documents copy keeps seeds. A second pass
+that at most ``RARE`` of all documents hold, and in any case those that are at
+most ``FAR`` times as frequent as its median one. The sequences of an item that
+many documents copy are about as frequent as each other, so it keeps all of them,
+also the ones that edited copies keep most; only sequences that are common apart
+from the item go. A second pass
 joins the seeds to the documents' words, gathers hits on neighbouring diagonals
 and aligns the item with the words around them (match +2, mismatch -1, gap -1).
 A document is contaminated by an item if the alignment's score reaches
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from designlens.llm.columns import Words, slices
 
-N, MIN_SCORE, RARE = 3, 0.4, 1e-4
+N, MIN_SCORE, RARE, FAR = 3, 0.4, 1e-4, 8
 #: Words of the benchmark that are sent to the tasks at once.
 BLOCK_WORDS = 1_000_000
 
@@ -111,14 +114,14 @@ class Block:
         return np.bincount(pairs % max(len(self.keys), 1), minlength=len(self.keys))
 
     def choose(self, frequency: np.ndarray, documents: int, rare: float) -> None:
-        """Keep an item's rare sequences, and its rarer half at least."""
+        """Keep an item's rare sequences, and those that are not far more frequent than its median one."""
         keep = frequency <= rare * documents
         gram = np.repeat(np.arange(len(self.keys)), np.diff(self.starts))
         order = np.lexsort((frequency[gram], self.item_of))
         items, grams = self.item_of[order], gram[order]
-        rank = np.arange(len(order)) - np.searchsorted(items, items)
-        total = np.bincount(items, minlength=len(self.items))[items]
-        keep[grams[2 * rank < total]] = True
+        first, last = (np.searchsorted(items, items, side=x) for x in ("left", "right"))
+        median = frequency[grams[(first + last) // 2]] if len(grams) else frequency[:0]
+        keep[grams[frequency[grams] <= FAR * np.maximum(median, 1)]] = True
         self.seed = keep
 
     def matches(self, texts: pa.Array, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:

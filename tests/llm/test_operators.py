@@ -199,6 +199,25 @@ def test_decontamination_finds_edited_copies(spark, odd):
     assert decontaminate.contaminated(docs, empty(bench)).count() == 0
 
 
+def test_decontamination_finds_edited_copies_of_an_item_that_many_copy(spark):
+    random.seed(10)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    item = [word() for _ in range(16)]
+    rows, expected = [], set()
+    for k in range(300):
+        copy = [word() if random.random() < 0.3 else w for w in item]
+        rows.append((k, " ".join([word() for _ in range(20)] + copy + [word() for _ in range(20)])))
+        places = [i for i in range(14) if copy[i : i + 3] == item[i : i + 3]]
+        codes = np.array([item.index(w) + 1 if w in item else 0 for w in copy])
+        if len(places) > 1 and decontaminate.align(np.arange(1, 17), codes)[0] >= 0.4 * 32:
+            expected.add(k)
+    # a sequence of the item that is common apart from it is not a seed, and another item's phrase is not a copy
+    rows += [(1000 + k, " ".join([word(), *item[:3], word()])) for k in range(50)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert len(expected) > 150 and found == expected
+
+
 def test_alignment_equals_the_textbook():
     rng = np.random.default_rng(0)
     for _ in range(40):
