@@ -16,8 +16,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules; short ones may stay if they are clean otherwise."""
-    return quality.filter_quality(docs, quality.RULES | {"few_words": "n_words < 10"})
+    """Documents that pass the quality rules; by length only those without words go, as short ones may be clean."""
+    return quality.filter_quality(docs, quality.RULES | {"few_words": "n_words < 1"})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

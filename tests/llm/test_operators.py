@@ -297,3 +297,15 @@ def test_language_rejects_unknown_texts_and_keeps_small_languages(spark, monkeyp
     monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 2)
     two = sorted(map(tuple, language_id.identify(docs).select("doc_id", "lid_lang", F.round("lid_posterior", 6), "lid_kept").collect()))
     assert one == two
+
+
+def test_pipeline_quality_rules_keep_clean_short_texts(spark):
+    import corpus_pipeline
+
+    rows = [(1, "Eser thed nt of."), (2, ""), (3, None), (4, "### $$$"), (5, "WOW!! NOW!!")]
+    short = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, short, "").collect()} == {1}
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    clean = docs.join(labels.where("quality = 1"), "doc_id", "left_semi")
+    assert corpus_pipeline.quality_rules(spark, clean, folder).count() >= 0.99 * clean.count()
