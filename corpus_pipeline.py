@@ -17,7 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; by length only those without words go, as short ones may be clean."""
-    return quality.filter_quality(docs, quality.RULES | {"few_words": "n_words < 1"})
+    return quality.filter_quality(docs, quality.RULES | {"few_words": (lambda m: m.n_words < 1, ("n_words",))})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,15 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
+#: Bytes of a batch on its way to a task's worker; a longer row stands alone.
+BATCH_BYTES = 8 << 20
 #: Text that is worked on at once in a task; a longer single text stands alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+
+
+def give_back() -> None:
+    """Hand memory that this process no longer uses back to the machine; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def releasing(run: Callable) -> Callable:
+    """``run`` (a function of record batches) that gives memory back when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches of a bounded number of bytes (long texts count), with memory given back after each task.
+
+    The bound is a setting of the session, which this sets.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(releasing(run), schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -67,9 +104,12 @@ class Memo:
     """Results of words that a worker has solved before.
 
     Only words that occur twice in a slice are kept, since most others never come
-    again, and ``room`` of them at most: frequent words come early.
+    again, and as many as ``room`` bytes hold: frequent words come early.
     """
 
+    #: Bytes of an entry besides its word and result.
+    ENTRY = 200
+
     def __init__(self, room: int):
         self.room, self.known = room, {}
 
@@ -81,8 +121,10 @@ class Memo:
         often = words.times() > 1
         for i, x in zip(missing, solver([strings[i] for i in missing])):
             out[i] = x
-            if often[i] and len(self.known) < self.room:
+            size = self.ENTRY + 4 * len(strings[i]) + (len(x) if isinstance(x, bytes) else 0)
+            if often[i] and size <= self.room:
                 self.known[strings[i]] = x
+                self.room -= size
         return out
 
 

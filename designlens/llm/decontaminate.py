@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designlens.llm.columns import Words, slices
+from designlens.llm.columns import Words, arrow_map, slices
 
 N, MIN_SCORE, RARE, FAR = 3, 0.4, 1e-4, 8
 #: Words of the benchmark that are sent to the tasks at once.
@@ -183,7 +183,7 @@ def seeded_blocks(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float
             yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(total[k], documents))], ["k", "n"])
 
         # a row for each sequence of the block at most, whatever the size of the corpus
-        counts = texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+        counts = arrow_map(texts, run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
         k, c = counts.column("k").to_numpy(), counts.column("n").to_numpy()
         frequency = np.zeros(len(block.keys), np.int64)
         frequency[k[k >= 0]] = c[k >= 0]
@@ -207,7 +207,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, min_score: f
                 cols = [batch.column("doc_id").take(pa.array(row)), pa.array([block.ids[i] for i in item], pa.int64()), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "score", "first_word", "last_word"])
 
-        out = out.union(rows.mapInArrow(run, schema))
+        out = out.union(arrow_map(rows, run, schema))
     best = F.max(F.struct("score", "first_word", "last_word")).alias("x")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
 
@@ -224,5 +224,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_score:
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = arrow_map(out, run, docs.schema)
     return out

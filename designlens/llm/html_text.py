@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designlens.llm.columns import slices
+from designlens.llm.columns import arrow_map, slices
 
 # Element names, and words of class, id and role attributes.
 DROPPED = set("aside audio button canvas datalist dialog embed footer form head header iframe input map math menu nav noscript object option script select style svg template textarea video".split())
@@ -183,4 +183,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col(html).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return arrow_map(rows, run, "page_id long, url string, text string, n_chars long")

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designlens.llm.columns import Words, run_sums, slices
+from designlens.llm.columns import Words, arrow_map, run_sums, slices
 from designlens.shared import materialize
 
 FEATURES = 1 << 15
@@ -129,7 +129,7 @@ def count_trigrams(docs: DataFrame, names: list[str], declared: str = "lang") ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), l), pa.int32()), pa.array(f, pa.int32()), pa.array(total[f])], ["l", "f", "n"])
 
     rows = docs.select(F.col(declared).alias("label"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "l int, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
+    return arrow_map(rows, run, "l int, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
 
 
 def block_likelihoods(counted: DataFrame, first: int, last: int) -> np.ndarray:
@@ -211,7 +211,7 @@ def _judged(rows: DataFrame, fusion: Fusion, declared: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + found, own + state)
 
     types = dict(zip(state, (F.lit(0), *[F.lit(0.0)] * 3, F.lit(0).cast("long"), F.lit(0.0), F.array(F.lit(0.0)))))
-    return rows.mapInArrow(run, rows.select(*own).withColumns(types).schema)
+    return arrow_map(rows, run, rows.select(*own).withColumns(types).schema)
 
 
 def identify(docs: DataFrame, declared: str = "lang", host: str = "source", trust: float = TRUST, min_posterior: float = MIN_POSTERIOR) -> DataFrame:

@@ -33,11 +33,17 @@ another group in its nodes (nodes dealt into blocks of ``LEAF``), and those
 links are confirmed. So a group of n documents costs n links a round, not n * n;
 the last comparison only sees pairs of groups that are still apart.
 
-Defined results: null text and text without words have the empty set, form
-their own component and are linked with nothing. A text with fewer words than a
-shingle has its whole word sequence as its only shingle. Rows that repeat a
-doc_id are one document. A null doc_id belongs to the component of its group
-and is not kept unless the whole group has no doc_id.
+Defined results: every row is a document, also rows that repeat a doc_id; a
+component_id is the least doc_id of all rows in the component, so one doc_id with
+two texts may be in two components. Null text and text without words have the
+empty set, form their own component and are linked with nothing. A text with
+fewer words than a shingle has its whole word sequence as its only shingle. Rows
+without a doc_id are linked like others; a component of such rows alone has a
+null component_id. Texts of any length are taken whole, a long one in a slice of
+its own. An empty table gives an empty one. Only ``doc_id`` and ``text`` are
+read, so further columns and their names have no effect; ``one_of_each_group``
+returns them as they are. Of equal candidates for the row that stays it keeps
+the least doc_id, then the least hash of the text, then any one of equal rows.
 """
 
 from __future__ import annotations
@@ -47,10 +53,10 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from designlens.llm.columns import Words, hash_strings, mix, slices
+from designlens.llm.columns import Words, arrow_map, hash_strings, mix, slices
 from designlens.llm.components import connected_components
 from designlens.shared import materialize
 
@@ -59,8 +65,8 @@ TREES, ROOT, BRANCH, DEPTH = 24, 3, 2, 4
 COORDINATES = TREES * ROOT
 #: Documents of a node that are compared exhaustively; documents of a block in larger nodes.
 LEAF, BLOCK = 1024, 256
-#: Tokens of a part of a node whose full sets are compared, and columns of a product at once.
-PART_TOKENS, TOKENS_AT_ONCE = 1 << 19, 2048
+#: Tokens and documents of a part of a node whose full sets are compared, and columns of a product at once.
+PART_TOKENS, PART_DOCUMENTS, TOKENS_AT_ONCE = 1 << 19, 2048, 2048
 #: Rounds in which each document names its likeliest partner.
 ROUNDS = 3
 
@@ -109,7 +115,7 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-FEATURES = "doc_id long, n_shingles long, set_key binary, roots array<long>, sig binary"
+FEATURES = "doc_id long, text_key long, n_shingles long, set_key binary, roots array<long>, sig binary"
 
 
 def paths(sig: np.ndarray) -> np.ndarray:
@@ -122,7 +128,7 @@ def paths(sig: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, size of the shingle set, 128-bit key of the whole set, root nodes and a byte of each MinHash value (null for the empty set)."""
+    """doc_id, hash of the text, size of the shingle set, 128-bit key of the whole set, root nodes and a byte of each MinHash value (null for the empty set)."""
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -134,9 +140,18 @@ def features(docs: DataFrame, words: int) -> DataFrame:
             roots = pa.ListArray.from_arrays(pa.array(offsets), pa.array(paths(sig).ravel(), pa.int64()), mask=pa.array(n == 0))
             low = iter((sig & 0xFF).astype(np.uint8))
             shown = [next(low).tobytes() if k else None for k in n]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), roots, pa.array(shown, pa.binary())], ["doc_id", "n_shingles", "set_key", "roots", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), roots, pa.array(shown, pa.binary())], [c.split()[0] for c in FEATURES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FEATURES)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key(docs).alias("text_key")), run, FEATURES)
+
+
+def _text_key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
+
+
+def _row_key(doc_id: Column, text_key: Column) -> tuple[Column, Column]:
+    """What a row is looked up by: its doc_id, or the hash of its text where it has none."""
+    return doc_id.isNull().alias("keyless"), F.coalesce(doc_id.cast("long"), text_key).alias("row_key")
 
 
 def _matrix(signatures: pa.Array) -> np.ndarray:
@@ -144,17 +159,18 @@ def _matrix(signatures: pa.Array) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """The full sets of the documents in ``wanted`` (rep), as sorted 64-bit hashes."""
+    """The full sets of the representatives in ``wanted`` (rep, keyless, row_key, set_key), as sorted 64-bit hashes."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             sets, bounds = shingle_sets(batch.column("text"), words)
             blobs = [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(blobs, pa.binary())], ["rep", "hashes"])
+            # a doc_id may be on several rows, of other sets as well
+            own = pa.array([xxhash.xxh3_128_digest(x) == k for x, k in zip(blobs, batch.column("set_key").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(blobs, pa.binary())], ["rep", "hashes"]).filter(own)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
-    # a doc_id may be on several rows; the row whose set stands for the document is picked below
-    return texts.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, hashes binary")
+    texts = docs.select(*_row_key(F.col("doc_id"), _text_key(docs)), F.col("text").cast("string"))
+    return arrow_map(texts.join(wanted, ["keyless", "row_key"]).select("rep", "set_key", "text"), run, "rep long, hashes binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -171,7 +187,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("set_a")), "a")
     joined = joined.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(joined, run, "a long, b long").distinct()
 
 
 def _nearest(nodes: DataFrame, seed: int, threshold: float) -> DataFrame:
@@ -199,7 +215,7 @@ def _nearest(nodes: DataFrame, seed: int, threshold: float) -> DataFrame:
     dealt = nodes.join(sizes.select("node", F.ceil(F.col("size") / LEAF).cast("int").alias("of")), "node")
     block = F.pmod(F.xxhash64("rep", "node", F.lit(seed)), F.col("of"))
     grouped = dealt.groupBy("node", block.alias("block")).agg(F.collect_list(F.struct("rep", "label", "n", "sig")).alias("members"))
-    named = grouped.select("members").mapInArrow(run, "a long, b long, agree int")
+    named = arrow_map(grouped.select("members"), run, "a long, b long, agree int")
     best = named.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("minus"))).alias("x"))
     return best.select(F.greatest("a", -F.col("x.minus")).alias("a"), F.least("a", -F.col("x.minus")).alias("b")).distinct()
 
@@ -228,7 +244,7 @@ def _possible(nodes: DataFrame, threshold: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(k, node.as_py(), np.int64)), pa.array(rep[met]), pa.array(label[met]), pa.array(n[met])], ["node", "rep", "label", "n"])
 
     grouped = nodes.groupBy("node").agg(F.collect_list(F.struct("rep", "label", "n", "sig", "asks")).alias("members"))
-    return grouped.mapInArrow(run, "node long, rep long, label long, n long")
+    return arrow_map(grouped, run, "node long, rep long, label long, n long")
 
 
 def spanning_links(sets: list[np.ndarray], label: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -283,8 +299,8 @@ def _node_links(possible: DataFrame, sets: DataFrame, threshold: float) -> DataF
         return pa.table({"a": pa.array([x for x, _ in ends], pa.int64()), "b": pa.array([x for _, x in ends], pa.int64())})
 
     # nodes of many tokens are dealt into parts, and each two parts of a node meet in a block
-    weights = possible.groupBy("node").agg(F.sum("n").alias("weight"))
-    parts = F.when(F.col("weight") <= 2 * PART_TOKENS, 1).otherwise(F.ceil(F.col("weight") / PART_TOKENS)).cast("int")
+    weights = possible.groupBy("node").agg(F.greatest(F.sum("n") / PART_TOKENS, F.count("*") / PART_DOCUMENTS).alias("weight"))
+    parts = F.when(F.col("weight") <= 2, 1).otherwise(F.ceil("weight")).cast("int")
     dealt = possible.join(weights.select("node", parts.alias("parts")), "node").withColumn("x", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or x <> y")
     dealt = dealt.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("node"), "rep", "label")
@@ -315,11 +331,12 @@ def _block_pairs(large: DataFrame) -> DataFrame:
 
 
 def linked_groups(docs: DataFrame, feats: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The representatives (rep, n, sig, set_key) of equal sets, and the component of each that has a link (id, component)."""
-    reps = materialize(
-        feats.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("roots").alias("roots")),
-        "near-reps",
-    )
+    """The representatives (rep, least, n, sig, set_key) of equal sets, and the component of each that has a link (id, component)."""
+    row = F.struct(*_row_key(F.col("doc_id"), F.col("text_key")))
+    by_set = feats.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min(row).alias("row"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("roots").alias("roots"))
+    # numbers are given as the table is written, so they stay as they are
+    reps = materialize(by_set.select(F.monotonically_increasing_id().alias("rep"), "least", "row.keyless", "row.row_key", "n", "sig", "roots", "set_key"), "near-reps")
+    known = reps.select("rep", "keyless", "row_key", "set_key")
     walked = reps.select("rep", F.explode("roots").alias("node"))
     stats = walked.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
     nodes = materialize(walked.join(stats, "node").join(reps.select("rep", "n", "sig"), "rep"), "near-nodes")
@@ -329,7 +346,7 @@ def linked_groups(docs: DataFrame, feats: DataFrame, words: int, threshold: floa
         pairs = _nearest(here, seed, threshold)
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        sets = _with_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), sets, words)
+        sets = _with_sets(docs, known, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), sets, words)
         new = materialize(confirm(pairs, sets, threshold), "near-links")
         groups = _merged(groups, new)
         here = nodes.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", "rep", "n", "sig", F.coalesce("component", "rep").alias("label"))
@@ -354,7 +371,7 @@ def linked_groups(docs: DataFrame, feats: DataFrame, words: int, threshold: floa
     for x in found[1:]:
         possible = possible.union(x)
     possible = materialize(possible, "near-possible")
-    sets = _with_sets(docs, possible.select("rep"), sets, words)
+    sets = _with_sets(docs, known, possible.select("rep"), sets, words)
     second = materialize(_node_links(possible, sets, threshold), "near-links")
     return reps, _merged(groups, second)
 
@@ -365,23 +382,50 @@ def _merged(groups: DataFrame | None, found: DataFrame) -> DataFrame:
     return connected_components(functools.reduce(DataFrame.union, known, found))
 
 
-def _with_sets(docs: DataFrame, ids: DataFrame, sets: DataFrame | None, words: int) -> DataFrame:
-    """``sets`` and the full sets of the documents ``ids`` (rep) that it lacks."""
+def _with_sets(docs: DataFrame, known: DataFrame, ids: DataFrame, sets: DataFrame | None, words: int) -> DataFrame:
+    """``sets`` and the full sets of the representatives ``ids`` (rep) that it lacks."""
     ids = ids.distinct()
     if sets is not None:
         ids = ids.join(sets.select("rep"), "rep", "left_anti")
         if ids.isEmpty():
             return sets
-    more = materialize(_sets_of(docs, ids, words), "near-sets")
+    more = materialize(_sets_of(docs, known.join(ids, "rep", "left_semi"), words), "near-sets")
     return more if sets is None else sets.union(more)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
+def grouped_rows(docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """doc_id, text_key, n_shingles, set_group (null for the empty set) and the group's least doc_id of each row of ``docs``."""
     feats = materialize(features(docs, words), "near-features")
     reps, groups = linked_groups(docs, feats, words, threshold)
-    of_set = reps.select("set_key", "rep").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    of_set = of_set.select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = feats.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    of_set = reps.select("set_key", "rep", "least").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    of_set = of_set.select("set_key", "least", F.coalesce("component", "rep").alias("set_group"))
+    joined = groups.select(F.col("component").alias("set_group")).distinct().join(of_set, "set_group").groupBy("set_group").agg(F.min("least").alias("of_all"))
+    named = of_set.join(joined, "set_group", "left").select("set_key", "set_group", F.when(F.col("of_all").isNull(), F.col("least")).otherwise(F.col("of_all")).alias("group_id"))
+    return feats.select("doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key", "left").drop("set_key")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
+    out = grouped_rows(docs, words, threshold)
+    component = F.when(F.col("n_shingles") > 0, F.col("group_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each group of near duplicates; rows with the empty set all stay."""
+    rows = materialize(grouped_rows(docs, words, threshold).where("n_shingles > 0").select("set_group", *_row_key(F.col("doc_id"), F.col("text_key")), "text_key"), "near-rows")
+    first = rows.groupBy("set_group").agg(F.min(F.struct("keyless", "row_key", "text_key")).alias("x"), F.count("*").alias("k")).where("k > 1")
+    staying = first.select("set_group", F.col("x").alias("stays"))
+    own = F.struct("keyless", "row_key", "text_key")
+    in_groups = rows.join(staying, "set_group").select("keyless", "row_key", "text_key", (own == F.col("stays")).alias("stays"))
+    # the row that stays may be there more than once
+    ruled = in_groups.groupBy("keyless", "row_key", "text_key").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("times"))
+    ruled = materialize(ruled.where("not stays or times > 1").select(*[F.col(c).alias(f"near_{c}") for c in ("keyless", "row_key", "text_key", "stays")]), "near-ruled")
+    keyless, row_key = _row_key(F.col("doc_id"), _text_key(docs))
+    same = lambda r: (keyless == r["near_keyless"]) & (row_key == r["near_row_key"]) & (_text_key(docs) == r["near_text_key"])
+    out = docs.join(ruled, same(ruled), "left_anti").select(*docs.columns)
+    repeated = ruled.where("near_stays")
+    if repeated.isEmpty():
+        return out
+    one = docs.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.unionByName(one.select(*docs.columns))

@@ -1,56 +1,48 @@
 """Quality rules over documents, with DataFrame and SQL functions only.
 
-``measures`` gives the counts that the rules need; ``RULES`` are conditions
-under which a document fails. ``ordered_rules`` runs every rule on a sample of
-at most ``SAMPLE`` rows, takes its time as its cost and the share of failing rows
-as its selectivity, and orders the rules by rejections per cost. ``judged``
-applies them as a short-circuit cascade: one CASE whose later branches are not
-evaluated once a rule has failed. The order changes the work, never the verdict.
+A rule is a condition on the measures of a text (``Measures``) under which the
+document fails. ``ordered_rules`` measures a sample of at most ``SAMPLE`` rows
+and takes from it each rule's selectivity (the rows that fail it) and its cost:
+the stated costs of its measures (``COST``, in nanoseconds) for the sample's
+characters, words and lines. Rules are then put in order one by one: next comes
+the rule that rejects most per cost among the sampled rows that the rules before
+it leave, so rules that reject the same rows do not count twice. Costs come from
+counts, not from a clock, so the order of a table is the same in each run.
+
+``failed_rule`` applies the rules as a short-circuit cascade: one CASE whose
+later branches, with the measures that only they use, are not evaluated once a
+rule has failed. The words of a text are split once, as a variable of a lambda.
+The order changes the work, never the verdict.
 
 Defined results: null text counts as the empty text, which has no words and
 fails the rule on the number of words. Rows are judged one by one, so repeated
-rows get equal results. Columns of the input that have the name of a measure
-are replaced in ``measures`` and left alone by ``filter_quality``.
+rows get equal results, and of rules that fail together the first in order is
+named. Texts of any length are measured whole. An empty table gives an empty
+one. ``judged`` puts its own columns after those of the input and leaves out
+input columns of the same names; ``filter_quality`` returns the input's columns,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import time
+import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 2_000
+#: Rows that are measured for the order of the rules, and one row in how many is taken, from the first partitions that hold enough.
+SAMPLE, SAMPLE_SHARE = 2_000, 0.1
 SPACE = r"[\x20\x09-\x0D]"
 
-#: Name, and the condition under which a document fails. Base rules first.
-BASE_RULES = {
-    "few_words": "n_words < 50",
-    "repeated_words": "100 * n_repeat_words > 50 * n_words",
-}
-RULES = BASE_RULES | {
-    "symbols": "10 * n_symbols > n_words",
-    "word_length": "word_chars < 2 * n_words or word_chars > 15 * n_words",
-    "repeated_lines": "100 * n_dup_lines > 50 * n_lines",
-    "shouting": "10 * n_shouts > n_words",
-    "capitals": "10 * n_capitals > 3 * word_chars",
-}
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is evaluated once: as the variable of a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Counts over a whole text, by name."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    words = F.filter(F.split(t, SPACE + "+"), lambda w: w != "")
-    lines = F.split(t, "\n")
-    worded = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return {
-        "words": words,
-        "worded_lines": worded,
-        "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "n_lines": F.size(worded).cast("long"),
-        "n_shouts": F.regexp_count(t, F.lit("!!")).cast("long"),
-        "n_capitals": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
-    }
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
 
 def repeat_words(words: Column) -> Column:
@@ -66,61 +58,125 @@ def repeat_words(words: Column) -> Column:
         same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
         return F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
 
-    # a lambda variable holds the sorted array, so it is made once
-    repeated = F.element_at(F.transform(F.array(F.sort_array(windows)), twice), 1)
+    repeated = let(F.sort_array(windows), twice)
     places = F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
     return F.when(n >= 2, F.size(F.array_distinct(places))).otherwise(0).cast("long")
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the counts of ``measures`` and what follows from them."""
-    found = docs.withColumns(measures(F.col(text)))
-    return found.withColumns({
-        "n_words": F.size("words").cast("long"),
-        "word_chars": F.length(F.array_join("words", "")).cast("long"),
-        "n_dup_lines": (F.size("worded_lines") - F.size(F.array_distinct("worded_lines"))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("words")),
-    }).drop("words", "worded_lines")
+class Measures:
+    """Counts over a whole text, as expressions of the text and of its words."""
+
+    def __init__(self, text: Column, words: Column):
+        self.text, self.words = text, words
+        self.lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        self.n_words = F.size(words).cast("long")
+        self.word_chars = F.length(F.array_join(words, "")).cast("long")
+        self.n_symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long")
+        self.n_repeat_words = repeat_words(words)
+        self.n_shouts = F.regexp_count(text, F.lit("!!")).cast("long")
+        self.n_capitals = F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long")
+
+    @staticmethod
+    def dup_lines(lines: Column) -> Column:
+        return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+
+
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+#: Name, the condition under which a document fails, and what it measures. Base rules first.
+Rule = tuple[Callable[[Measures], Column], tuple[str, ...]]
+BASE_RULES: dict[str, Rule] = {
+    "few_words": (lambda m: m.n_words < 50, ("n_words",)),
+    "repeated_words": (lambda m: 100 * m.n_repeat_words > 50 * m.n_words, ("n_repeat_words",)),
+}
+RULES: dict[str, Rule] = BASE_RULES | {
+    "symbols": (lambda m: 10 * m.n_symbols > m.n_words, ("n_symbols",)),
+    "word_length": (lambda m: let(m.word_chars, lambda c: (c < 2 * m.n_words) | (c > 15 * m.n_words)), ("word_chars",)),
+    "repeated_lines": (lambda m: let(m.lines, lambda x: 100 * Measures.dup_lines(x) > 50 * F.size(x)), ("lines",)),
+    "shouting": (lambda m: 10 * m.n_shouts > m.n_words, ("n_shouts",)),
+    "capitals": (lambda m: 10 * m.n_capitals > 3 * m.word_chars, ("n_capitals", "word_chars")),
+}
+#: Nanoseconds for a character, for a word, for a word and each doubling of the number of words, and for a line.
+COST = {
+    "n_words": (0, 0, 0, 0),
+    "word_chars": (2, 20, 0, 0),
+    "n_symbols": (8, 0, 0, 0),
+    "n_repeat_words": (0, 600, 150, 0),
+    "lines": (6, 0, 0, 200),
+    "n_shouts": (8, 0, 0, 0),
+    "n_capitals": (10, 0, 0, 0),
+}
+
+
+def rule_cost(measures: tuple[str, ...], chars: float, words: float, lines: float) -> float:
+    """Stated nanoseconds of a rule for a text of so many characters, words and lines."""
+    size = (chars, words, words * math.log2(words + 2), lines)
+    return 10 + sum(c * x for m in measures for c, x in zip(COST[m], size))
+
 
+def greedy_order(costs: dict[str, float], failed: list[dict[str, bool]]) -> list[str]:
+    """Rule names by rejections per cost, each among the rows that the rules before it leave; by name where they are equal."""
+    left, order, rest = failed, [], set(costs)
+    while rest:
+        name = min(rest, key=lambda n: (-sum(r[n] for r in left) / costs[n], costs[n], n))
+        order.append(name)
+        rest.remove(name)
+        left = [r for r in left if not r[name]]
+    return order
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouts", "n_capitals"]
 
+def ordered_rules(docs: DataFrame, rules: dict[str, Rule] = RULES, text: str = "text") -> list[str]:
+    """Names of ``rules``, the most rejecting per cost first, by a sample.
 
-def ordered_rules(docs: DataFrame, rules: dict[str, str] = RULES, text: str = "text") -> list[str]:
-    """Names of ``rules`` by rejections per second on a sample, best first."""
-    sample = docs.select(F.col(text).alias("text")).limit(SAMPLE).cache()
-    rows = max(sample.count(), 1)
-    worth = {}
-    for name, condition in rules.items():
-        began = time.perf_counter()
-        failed = measured(sample).where(condition).count()
-        worth[name] = failed / rows / max(time.perf_counter() - began, 1e-3)
-    sample.unpersist()
-    return sorted(rules, key=lambda name: (-worth[name], name))
+    Only verdicts and sizes of at most ``SAMPLE`` rows reach the driver, and only as many partitions are read as hold them.
+    """
+    t = F.coalesce(F.col("t"), F.lit(""))
+    seen = docs.select(F.col(text).cast("string").alias("t")).sample(SAMPLE_SHARE, 7)
+    m = Measures(t, words_of(t))
+    facts = [F.length(t).alias("_chars"), m.n_words.alias("_words"), F.size(m.lines).alias("_lines")]
+    rows = [r.asDict() for r in seen.select(*facts, *[rule(m).alias(name) for name, (rule, _) in rules.items()]).take(SAMPLE)]
+    n = max(len(rows), 1)
+    chars, words, lines = (sum(r[c] for r in rows) / n for c in ("_chars", "_words", "_lines"))
+    return greedy_order({name: rule_cost(needs, chars, words, lines) for name, (_, needs) in rules.items()}, rows)
 
 
-def cascade(order: list[str], rules: dict[str, str] = RULES) -> Column:
+def cascade(order: list[str], rules: dict[str, Rule], measures: Measures) -> Column:
     """The first rule that fails, in the given order; null for a document that passes all."""
     out = F.lit(None).cast("string")
     for name in reversed(order):
-        out = F.when(F.expr(rules[name]), name).otherwise(out)
+        out = F.when(rules[name][0](measures), name).otherwise(out)
     return out
 
 
-def judged(docs: DataFrame, rules: dict[str, str] = RULES, text: str = "text") -> DataFrame:
-    """``docs`` with the measures, ``failed_rule``, ``base_failed`` and ``kept``."""
+def failed_rule(text: Column, order: list[str], rules: dict[str, Rule] = RULES) -> Column:
+    """The first rule that the text fails, evaluated lazily over words that are split once."""
+    return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(words_of(t), lambda w: cascade(order, rules, Measures(t, w))))
+
+
+def judged(docs: DataFrame, rules: dict[str, Rule] = RULES, text: str = "text") -> DataFrame:
+    """``docs`` with ``MEASURES``, ``failed_rule``, ``base_failed`` and ``kept``."""
     order = ordered_rules(docs, rules, text)
-    base = F.lit(False)
-    for name in BASE_RULES:
-        base = base | F.expr(BASE_RULES[name])
-    failed = cascade(order, rules)
-    return measured(docs, text).withColumns({"failed_rule": failed, "base_failed": base}).withColumn("kept", F.col("failed_rule").isNull() & ~F.col("base_failed"))
+    own = [c for c in docs.columns if c not in {*MEASURES, "failed_rule", "base_failed", "kept"}]
 
+    def facts(t: Column, w: Column) -> Column:
+        m = Measures(t, w)
+        base = F.struct(m.n_words.alias("n_words"), m.n_repeat_words.alias("n_repeat_words"))
 
-def filter_quality(docs: DataFrame, rules: dict[str, str] = RULES, text: str = "text") -> DataFrame:
+        def verdict(b: Column) -> Column:
+            known = Measures(t, w)
+            known.n_words, known.n_repeat_words = b["n_words"], b["n_repeat_words"]
+            failed = known.n_words < 0
+            for rule, _ in BASE_RULES.values():
+                failed = failed | rule(known)
+            return F.struct(b["n_words"].alias("n_words"), m.word_chars.alias("word_chars"), m.n_symbols.alias("n_symbols"), let(m.lines, Measures.dup_lines).alias("n_dup_lines"), b["n_repeat_words"].alias("n_repeat_words"), cascade(order, rules, known).alias("failed_rule"), failed.alias("base_failed"))
+
+        return let(base, verdict)
+
+    found = let(F.coalesce(F.col(text).cast("string"), F.lit("")), lambda t: let(words_of(t), lambda w: facts(t, w)))
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], found.alias("_found")).select(*[F.col(f"`{c}`") for c in own], "_found.*")
+    return rows.withColumn("kept", F.col("failed_rule").isNull() & ~F.col("base_failed"))
+
+
+def filter_quality(docs: DataFrame, rules: dict[str, Rule] = RULES, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass all rules, with their own columns."""
-    order = ordered_rules(docs, rules, text)
-    # the rules see the text alone, so columns of the same names do not clash
-    own = F.struct(*docs.columns).alias("_row")
-    rows = measured(docs.select(own, F.col(text).alias("_text")), "_text")
-    return rows.where(cascade(order, rules).isNull()).select("_row.*")
+    return docs.where(failed_rule(F.col(text), ordered_rules(docs, rules, text), rules).isNull())

@@ -19,7 +19,11 @@ walks them as the paths of a trie, depth first: the forward scores of a word's
 prefix are those of the word before it as far as the two agree.
 
 Defined results: null and empty texts have no pieces. A U+2581 in a text is
-decoded as a space; every other text is decoded exactly.
+decoded as a space; every other text is decoded exactly. Rows are judged one by
+one, so repeated rows and null keys get results of their own; an empty table
+gives an empty one. Words and texts of any length are solved whole, a long text
+in a slice of its own. Only ``doc_id`` and ``text`` (or ``ids``) are read, so
+further columns and their names have no effect.
 """
 
 from __future__ import annotations
@@ -35,11 +39,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designlens.llm.columns import Memo, Words, gather, run_sums, slices
+from designlens.llm.columns import Memo, Words, arrow_map, gather, run_sums, slices
 
 MARK = "▁"
-#: Distinct words that a worker remembers.
-CACHE = 250_000
+#: Bytes of solved words that a worker remembers.
+CACHE = 32 << 20
 #: Below the least score of a piece, for a character without one.
 UNKNOWN_PENALTY = 10.0
 MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -173,6 +177,10 @@ class Vocabulary:
     def solve_counts(self, words: list[str]) -> list[int]:
         return [sum(map(self.count, self.units(w))) for w in words]
 
+    def piece_bytes(self) -> np.ndarray:
+        """The bytes that each piece stands for."""
+        return np.array([self.names[i].encode() if i not in self.bytes_of else bytes([self.bytes_of[i]]) for i in range(len(self.names))], object)
+
     def decode(self, ids: list[int]) -> str:
         out, raw = [], bytearray()
         for i in ids:
@@ -232,7 +240,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             ids, bounds = encode_slice(vocab, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -244,7 +252,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             texts = [vocab.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return arrow_map(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def encoded_digest(docs: DataFrame, model: str) -> DataFrame:
@@ -252,21 +260,21 @@ def encoded_digest(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         vocab = vocabulary(model)
-        pieces = np.array([vocab.names[i].encode() if i not in vocab.bytes_of else bytes([vocab.bytes_of[i]]) for i in range(len(vocab.names))], object)
+        pieces = vocab.piece_bytes()
         for batch in slices(batches, "text"):
             texts = batch.column("text").fill_null("")
             ids, bounds = encode_slice(vocab, texts)
-            wide, shown = ids.astype("<u4"), pieces[ids]
+            wide = ids.astype("<u4")
             crc, same = [], []
             for text, a, b in zip(texts.to_pylist(), bounds[:-1], bounds[1:]):
                 crc.append(zlib.crc32(wide[a:b].tobytes()))
                 # the bytes of the pieces, in order, are what decode() turns into text
-                same.append(b"".join(shown[a:b]).decode(errors="replace").replace(MARK, " ")[1:] == text)
+                same.append(b"".join(pieces.take(ids[a:b]).tolist()).decode(errors="replace").replace(MARK, " ")[1:] == text)
             cols = [batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return arrow_map(rows, run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
@@ -281,4 +289,4 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_marked_words"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_marked_words long")
+    return arrow_map(rows, run, "doc_id long, n_tokens long, n_marked_words long")

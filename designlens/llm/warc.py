@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from designlens.llm.columns import slices
+from designlens.llm.columns import arrow_map, slices
 from designlens.shared import materialize, shared_path
 
 #: Packed bytes after which a task begins a new shard.
@@ -81,7 +81,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([shard], pa.int64())], ["block", "shard"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    _write(rows.mapInArrow(run, "block binary, shard long"), path)
+    _write(arrow_map(rows, run, "block binary, shard long"), path)
 
 
 def _write(blocks: DataFrame, path: str) -> None:
@@ -126,7 +126,7 @@ def leaves(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((shard, offset, length, page, text is not None, hashlib.sha256(member).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()))], [c.split()[0] for c in LEAVES.split(", ")])
 
-    return _files(spark, path).mapInArrow(run, LEAVES)
+    return arrow_map(_files(spark, path), run, LEAVES)
 
 
 def tree(found: DataFrame) -> list[DataFrame]:
@@ -206,7 +206,7 @@ def damaged_copy(spark: SparkSession, source: str, path: str) -> None:
                     del data[found[-1][0] + found[-1][1] // 2 :]
                 yield pa.RecordBatch.from_arrays([pa.array([bytes(data)], pa.binary()), pa.array([shard], pa.int64())], ["block", "shard"])
 
-    _write(_files(spark, source).mapInArrow(run, "block binary, shard long"), path)
+    _write(arrow_map(_files(spark, source), run, "block binary, shard long"), path)
 
 
 def audited_pages(pages: DataFrame) -> DataFrame:
