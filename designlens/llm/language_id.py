@@ -2,7 +2,7 @@
 
 Evidence for each language l of a document:
 
-* text: a naive Bayes score of hashed character trigrams of its words, each word
+* text: a naive Bayes score of the character trigrams of its words, each word
   once for each time it occurs, tempered because neighbouring trigrams are not
   independent;
 * the declared language (the markup's ``lang``, or a table's label): right with
@@ -12,17 +12,21 @@ Evidence for each language l of a document:
 
 An unknown class stands beside the languages, so that texts in none of them can
 be rejected: each trigram comes half from the mean of all languages and half from
-any slot alike, and the class has ``UNKNOWN`` of the prior. Random letters fit
+any trigram alike, and the class has ``UNKNOWN`` of the prior. Random letters fit
 the even half better than any language, and a text in a further language fits the
 mean of several better than one of them, by an amount that grows with its length.
 So that texts with passages in several of the languages stay, the class is held
 against the best language of each ``PASSAGE`` words, not of the whole text.
 
 The trigram counts come from all documents, by declared language, as a grouped
-table. Languages are the declared ones of at least ``MIN_DOCUMENTS`` documents,
-whatever their share. They are scored in blocks of ``BLOCK_LANGUAGES``, each block
-in a pass of its own that carries the best language and the sum so far, so what is
-on the driver and sent to tasks at once has a fixed bound.
+table of exact trigrams, so it grows with the corpus. Documents fall into two
+halves by a hash of their text; the text of a document is scored with the counts
+of the other half, so no document, nor an exact copy of it, is judged by a model
+that holds its own label. Languages are the declared ones of at least
+``MIN_DOCUMENTS`` documents, whatever their share. The table goes to the tasks in
+blocks of about ``BLOCK_CELLS`` counts; a larger one takes further passes, each
+carrying on the scores of the passages, so what is on the driver and sent to
+tasks at once has a fixed bound and nothing is left out.
 
 A document is rejected if it has no letters, or if its best language has a
 posterior under ``min_posterior`` among all languages and the unknown class.
@@ -31,8 +35,11 @@ Defined results: null, empty and letterless texts get language "und", posterior
 0 and are rejected; a text that the unknown class fits best gets "und" and the
 posterior of its best language; a null or unknown declared language says nothing; a null
 host takes the suffix's prior (none, then the corpus's); without any declared
-language in the table every document is "und". Rows are judged one by one, so
-repeated rows get equal results; further columns are passed through.
+language in the table every document is "und". Of languages with equal scores
+the first by name wins. Rows are judged one by one, so repeated rows get equal
+results. Texts of any length are scored whole. An empty table gives an empty one.
+Further columns are passed through under any name; input columns named
+``lid_lang``, ``lid_posterior`` or ``lid_kept`` are replaced.
 """
 
 from __future__ import annotations
@@ -40,22 +47,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from designlens.llm.columns import Words, arrow_map, run_sums, slices
 from designlens.shared import materialize
 
-FEATURES = 1 << 15
 MIN_DOCUMENTS = 5
-#: Languages whose scores are sent to the tasks at once.
-BLOCK_LANGUAGES = 128
+#: Counts of the trigram table that are sent to the tasks at once, and languages that are scored at once in a task.
+BLOCK_CELLS, LANGUAGES_AT_ONCE = 1_000_000, 64
 TRUST, TEMPER, MIN_POSTERIOR, UNKNOWN = 0.9, 0.5, 0.5, 1e-3
 PASSAGE = 16
 #: Weight of the level above, in documents.
 SUFFIX_WEIGHT, HOST_WEIGHT = 50.0, 20.0
 #: A table of host priors goes to all tasks up to this many hosts; a larger one is joined.
 BROADCAST_HOSTS = 50_000
+FOLDS = 2
 
 
 def letter_words(texts: pa.Array) -> Words:
@@ -63,21 +70,22 @@ def letter_words(texts: pa.Array) -> Words:
 
 
 def trigrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of each word, with its borders as spaces, end to end, and the bounds of each word's run."""
+    """Trigrams of each word, with its borders as spaces, as 63-bit numbers end to end, and the bounds of each word's run."""
     lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    points = np.frombuffer((" " + " ".join(words.to_pylist()) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    h = points[:-2] * np.uint64(0x9E3779B1) + points[1:-1] * np.uint64(0x85EBCA77) + points[2:] * np.uint64(0xC2B2AE3D)
-    h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
-    h = (h % np.uint64(FEATURES)).astype(np.int64)
+    points = np.frombuffer((" " + " ".join(words.to_pylist()) + " ").encode("utf-32-le"), np.uint32).astype(np.int64)
+    t = (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
     starts = np.cumsum(lengths + 1) - (lengths + 1)
-    keep = np.ones(len(h), bool)
+    keep = np.ones(len(t), bool)
     keep[starts[1:] - 1] = False  # a trigram around the space between two words
-    return h[keep], np.concatenate(([0], np.cumsum(lengths)))
+    return t[keep], np.concatenate(([0], np.cumsum(lengths)))
 
 
-def _host_columns(host: str):
-    h = F.lower(F.col(host))
-    return h, F.when(h.contains("."), F.element_at(F.split(h, r"\."), -1))
+def suffix_of(host: Column) -> Column:
+    return F.when(host.contains("."), F.element_at(F.split(host, r"\."), -1))
+
+
+def fold_of(text: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
 
 
 def languages(docs: DataFrame, declared: str) -> list[tuple[str, int]]:
@@ -86,32 +94,8 @@ def languages(docs: DataFrame, declared: str) -> list[tuple[str, int]]:
     return [(r.l, r.n) for r in counts.where(F.col("l").isNotNull() & (F.col("n") >= MIN_DOCUMENTS)).orderBy("l").collect()]
 
 
-def likelihoods(counts: np.ndarray) -> np.ndarray:
-    """Trigram probabilities of each language, smoothed by the number of its distinct trigrams (Witten-Bell)."""
-    kinds = (counts > 0).sum(1, keepdims=True) + 1
-    return (counts + kinds / FEATURES) / (counts.sum(1, keepdims=True) + kinds)
-
-
-class TextModel:
-    """Log-likelihoods of hashed trigrams in each class."""
-
-    def __init__(self, probabilities: np.ndarray):
-        self.scores = np.log(probabilities)
-
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log-likelihood of each passage in each class, the bounds of each text's passages, and its number of trigrams."""
-        w = letter_words(texts)
-        if not len(w.distinct):
-            return np.zeros((0, len(self.scores))), np.zeros(len(texts) + 1, np.int64), np.zeros(len(texts), np.int64)
-        h, bounds = trigrams(w.distinct)
-        place = np.arange(len(w.codes)) - w.bounds[w.rows]
-        starts = np.flatnonzero(place % PASSAGE == 0)
-        out = np.stack([np.add.reduceat(np.add.reduceat(scores[h], bounds[:-1])[w.codes], starts) for scores in self.scores], 1)
-        return out, np.searchsorted(starts, w.bounds), run_sums(np.diff(bounds)[w.codes], w.bounds)
-
-
-def count_trigrams(docs: DataFrame, names: list[str], declared: str = "lang") -> DataFrame:
-    """l (place in ``names``), f (trigram), n, over all documents with a declared language of ``names``."""
+def count_trigrams(docs: DataFrame, names: list[str]) -> DataFrame:
+    """fold, l (place in ``names``), f (trigram), n, over all documents (text, label, fold) with a label of ``names``."""
     place = {name: i for i, name in enumerate(names)}
 
     def run(batches):
@@ -120,32 +104,87 @@ def count_trigrams(docs: DataFrame, names: list[str], declared: str = "lang") ->
             w = letter_words(batch.column("text"))
             if not len(w.distinct):
                 continue
-            h, bounds = trigrams(w.distinct)
-            per_word = label[w.rows]
-            for l in np.unique(per_word[per_word >= 0]):
-                words = np.bincount(w.codes[per_word == l], minlength=len(w.distinct))
-                total = np.bincount(h, weights=np.repeat(words, np.diff(bounds)), minlength=FEATURES).astype(np.int64)
+            found, bounds = trigrams(w.distinct)
+            keys, code = np.unique(found, return_inverse=True)
+            group = np.where(label < 0, -1, label * FOLDS + batch.column("fold").to_numpy())[w.rows]
+            for g in np.unique(group[group >= 0]):
+                words = np.bincount(w.codes[group == g], minlength=len(w.distinct))
+                total = np.bincount(code, weights=np.repeat(words, np.diff(bounds)), minlength=len(keys)).astype(np.int64)
                 f = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), l), pa.int32()), pa.array(f, pa.int32()), pa.array(total[f])], ["l", "f", "n"])
+                cols = [pa.array(np.full(len(f), x), pa.int32()) for x in (g % FOLDS, g // FOLDS)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(keys[f]), pa.array(total[f])], ["fold", "l", "f", "n"])
 
-    rows = docs.select(F.col(declared).alias("label"), F.col("text").cast("string"))
-    return arrow_map(rows, run, "l int, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.select("text", "label", "fold"), run, "fold int, l int, f long, n long").groupBy("fold", "l", "f").agg(F.sum("n").alias("n"))
 
 
-def block_likelihoods(counted: DataFrame, first: int, last: int) -> np.ndarray:
-    """Trigram probabilities of the languages ``first`` to ``last - 1``."""
-    rows = counted.where(F.col("l").between(first, last - 1)).toArrow()
-    counts = np.zeros((last - first, FEATURES))
-    counts[rows.column("l").to_numpy() - first, rows.column("f").to_numpy()] = rows.column("n").to_numpy()
-    return likelihoods(counts)
+class TextModel:
+    """Log-likelihoods of passages in each language and, last, in the unknown class, by a block of the trigram table.
 
+    The model of a half is smoothed by the number of its distinct trigrams
+    (Witten-Bell) towards any of ``kinds`` trigrams alike. Scores of a block are
+    what its trigrams add to those of passages of unseen trigrams.
+    """
 
-def host_counts(docs: DataFrame, names: list[str], declared: str, host: str) -> DataFrame:
-    """host, and documents by place in ``names`` (l, n) of it and of its suffix."""
-    h, suffix = _host_columns(host)
-    places = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(names)), "l int, name string"))
-    label = docs.select(h.alias("host"), suffix.alias("suffix"), F.col(declared).alias("name")).groupBy("host", "suffix", "name").agg(F.count("*").alias("n"))
-    counted = label.join(places, "name")
+    def __init__(self, cells: pa.Table, totals: np.ndarray, distinct: np.ndarray, kinds: int, first: bool):
+        # totals, distinct: by fold and language, of the whole table
+        self.first, self.even = first, 1.0 / max(kinds, 1)
+        keys, code = np.unique(cells.column("f").to_numpy(), return_inverse=True)
+        fold, l, n = (cells.column(c).to_numpy() for c in ("fold", "l", "n"))
+        self.keys, self.languages = keys, totals.shape[1]
+        self.models = []
+        for k in range(FOLDS):
+            use = fold != k
+            own = (totals.sum(0) - totals[k], distinct.sum(0) - distinct[k] + 1)
+            unseen = own[1] * self.even / (own[0] + own[1])
+            order = np.lexsort((l[use], code[use]))
+            at, lang, count = code[use][order], l[use][order], n[use][order].astype(float)
+            more = count / (own[0] + own[1])[lang]
+            mean = (unseen.sum() + np.bincount(at, weights=more, minlength=len(keys))) / self.languages
+            none = 0.5 * unseen.mean() + 0.5 * self.even
+            unknown = np.log((0.5 * mean + 0.5 * self.even) / none)
+            add = np.log1p(more / unseen[lang]).astype(np.float32)
+            self.models.append((np.log(np.append(unseen, none)), np.searchsorted(at, np.arange(len(keys) + 1)), lang.astype(np.int32), add, unknown.astype(np.float32)))
+
+    def score(self, texts: pa.Array, folds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score of each passage in each class, the bounds of each text's passages, and its number of trigrams."""
+        w = letter_words(texts)
+        classes = self.languages + 1
+        if not len(w.distinct):
+            return np.zeros((0, classes)), np.zeros(len(texts) + 1, np.int64), np.zeros(len(texts), np.int64)
+        found, bounds = trigrams(w.distinct)
+        own, code = np.unique(found, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, own), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == own if len(self.keys) else np.zeros(len(own), bool)
+        length = np.diff(bounds)
+        starts = np.flatnonzero((np.arange(len(w.codes)) - w.bounds[w.rows]) % PASSAGE == 0)
+        passage_fold = folds[w.rows[starts]]
+        out = np.zeros((len(starts), classes))
+        for k, (unseen, begin, lang, add, unknown) in enumerate(self.models):
+            if not (passage_fold == k).any():
+                continue
+            many = np.where(known, np.diff(begin)[at] if len(self.keys) else 0, 0)
+            cell = np.repeat(begin[at], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            trigram = np.repeat(np.arange(len(own)), many)
+            here = lang[cell]
+            for first in range(0, classes, LANGUAGES_AT_ONCE):
+                last = min(first + LANGUAGES_AT_ONCE, classes)
+                table = np.zeros((len(own), last - first), np.float32)
+                use = (here >= first) & (here < last)
+                table[trigram[use], here[use] - first] = add[cell[use]]
+                if last == classes and len(self.keys):
+                    table[known, -1] = unknown[at[known]]
+                for j in range(first, last):
+                    word = np.add.reduceat(table[code, j - first].astype(float), bounds[:-1])
+                    word += unseen[j] * length if self.first else 0
+                    x = np.add.reduceat(word[w.codes], starts)
+                    out[passage_fold == k, j] = x[passage_fold == k]
+        return out, np.searchsorted(starts, w.bounds), run_sums(length[w.codes], w.bounds)
+
+
+def host_counts(labelled: DataFrame, names: list[str]) -> DataFrame:
+    """host, and documents by place in ``names`` (l, n) of it and of its suffix, from (host, label)."""
+    places = F.broadcast(labelled.sparkSession.createDataFrame(list(enumerate(names)), "l int, label string"))
+    counted = labelled.groupBy("host", "label").agg(F.count("*").alias("n")).join(places, "label").select("host", suffix_of(F.col("host")).alias("suffix"), "l", "n")
     listed = F.collect_list(F.struct("l", "n"))
     by_host = counted.where("host is not null").groupBy("host", "suffix").agg(listed.alias("of_host"))
     by_suffix = counted.groupBy("suffix", "l").agg(F.sum("n").alias("n")).groupBy("suffix").agg(listed.alias("of_suffix"))
@@ -153,101 +192,88 @@ def host_counts(docs: DataFrame, names: list[str], declared: str, host: str) ->
     return both.select("host", "of_host", "of_suffix")
 
 
-def _block_counts(lists: pa.ListArray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row's counts, those of places ``first`` to ``last - 1`` and the sum of all."""
+def _counts(lists: pa.ListArray, languages: int) -> np.ndarray:
+    """Each row's counts by place."""
     row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
     place, n = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
-    out, use = np.zeros((len(lists), last - first)), (place >= first) & (place < last)
-    out[row[use], place[use] - first] = n[use]
-    return out, np.bincount(row, weights=n, minlength=len(lists))[:, None]
+    out = np.zeros((len(lists), languages))
+    out[row, place] = n
+    return out
 
 
 class Fusion:
-    """Scores of a block of languages from text, declared language and host prior.
+    """The verdict from text scores, declared language and host prior."""
 
-    The block from place 0 has the unknown class as well, last in its model.
-    """
+    def __init__(self, names: list[str], overall: np.ndarray, trust: float, min_posterior: float):
+        self.names, self.place, self.overall = names, {x: i for i, x in enumerate(names)}, overall
+        self.trust, self.wrong, self.min_posterior = trust, (1 - trust) / max(len(names) - 1, 1), min_posterior
 
-    def __init__(self, model: TextModel, first: int, last: int, names: list[str], overall: np.ndarray, trust: float):
-        self.model, self.first, self.last, self.overall = model, first, last, overall[first:last]
-        self.place, self.trust = {x: i for i, x in enumerate(names)}, trust
-        self.wrong, self.languages = (1 - trust) / max(len(names) - 1, 1), len(names)
-
-    def judge(self, texts: pa.Array, declared: list, of_host: pa.ListArray, of_suffix: pa.ListArray) -> tuple[np.ndarray, ...]:
-        """The best language's place and score, the log of the sum of all scores, the unknown class's score, the number of trigrams,
-        and of each passage the best language's text score, end to end, and the bounds of each text's run."""
-        passages, bounds, n = self.model.score(texts)
-        width = self.last - self.first
-        text = np.stack([run_sums(x, bounds) for x in passages.T], 1)
+    def judge(self, passages: np.ndarray, bounds: np.ndarray, n: np.ndarray, declared: list, of_host: pa.ListArray, of_suffix: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, posterior and whether it is kept, of each text."""
+        many = len(self.names)
+        text = np.stack([run_sums(x, bounds) for x in passages.T], 1) if len(passages) else np.zeros((len(n), many + 1))
         place = np.array([self.place.get(x, -1) for x in declared], np.int64)
-        said = np.repeat(np.where(place < 0, 0.0, np.log(self.wrong))[:, None], width, 1)
-        own = np.flatnonzero((place >= self.first) & (place < self.last))
-        said[own, place[own] - self.first] = np.log(self.trust)
-        (h, all_h), (s, all_s) = (_block_counts(x, self.first, self.last) for x in (of_host, of_suffix))
-        prior = (h + HOST_WEIGHT * (s + SUFFIX_WEIGHT * self.overall) / (all_s + SUFFIX_WEIGHT)) / (all_h + HOST_WEIGHT)
-        post = text[:, :width] * TEMPER + said + np.log(prior) + np.log(1 - UNKNOWN)
+        said = np.repeat(np.where(place < 0, 0.0, np.log(self.wrong or 1.0))[:, None], many, 1)
+        own = np.flatnonzero(place >= 0)
+        said[own, place[own]] = np.log(self.trust)
+        h, s = _counts(of_host, many), _counts(of_suffix, many)
+        prior = (h + HOST_WEIGHT * (s + SUFFIX_WEIGHT * self.overall) / (s.sum(1, keepdims=True) + SUFFIX_WEIGHT)) / (h.sum(1, keepdims=True) + HOST_WEIGHT)
+        post = text[:, :many] * TEMPER + said + np.log(prior) + np.log(1 - UNKNOWN)
         best = post.argmax(1)
-        unknown = np.zeros(len(post))
-        if not self.first:
-            unknown = TEMPER * text[:, -1] + np.where(place < 0, 0.0, -np.log(self.languages)) + np.log(UNKNOWN)
-        rows = np.arange(len(post))
-        return best + self.first, post[rows, best], np.logaddexp.reduce(post, 1), unknown, n, text[rows, best], passages[:, :width].max(1), bounds
-
-
-def _judged(rows: DataFrame, fusion: Fusion, declared: str) -> DataFrame:
-    """``rows`` with what ``judge`` finds, on top of what the blocks before have found."""
-    state = ["lid_place", "lid_top", "lid_sum", "lid_unknown", "lid_n", "lid_text", "lid_passages"]
-    own = [c for c in rows.columns if c not in state]
-
-    def run(batches):
-        for batch in slices(batches, "text"):
-            place, top, total, unknown, n, text, passages, bounds = fusion.judge(batch.column("text"), batch.column(declared).to_pylist(), batch.column("lid_of_host"), batch.column("lid_of_suffix"))
-            if fusion.first:
-                place0, top0, total0, unknown, _, text0 = (batch.column(c).to_numpy(zero_copy_only=False) for c in state[:6])
-                text = np.where(top > top0, text, text0)
-                place, top, total = np.where(top > top0, place, place0), np.maximum(top, top0), np.logaddexp(total, total0)
-                passages = np.maximum(passages, batch.column("lid_passages").flatten().to_numpy(zero_copy_only=False))
-            found = [pa.array(place, pa.int32()), pa.array(top), pa.array(total), pa.array(unknown), pa.array(n, pa.int64()), pa.array(text), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(passages))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + found, own + state)
-
-    types = dict(zip(state, (F.lit(0), *[F.lit(0.0)] * 3, F.lit(0).cast("long"), F.lit(0.0), F.array(F.lit(0.0)))))
-    return arrow_map(rows, run, rows.select(*own).withColumns(types).schema)
+        top = post[np.arange(len(post)), best]
+        # a text in several languages fits none as a whole: what it gains by a language for each passage is taken from the unknown class
+        gain = run_sums(passages[:, :many].max(1) if len(passages) else np.zeros(0), bounds) - text[np.arange(len(text)), best]
+        unknown = TEMPER * text[:, -1] + np.where(place < 0, 0.0, -np.log(many)) + np.log(UNKNOWN) - TEMPER * gain
+        sure = np.where(n > 0, 1 / (np.exp(np.logaddexp.reduce(post, 1) - top) + np.exp(np.minimum(unknown - top, 700.0))), 0.0)
+        name = [self.names[b] if k and u <= t else "und" for b, k, u, t in zip(best, n > 0, unknown, top)]
+        return name, sure, (n > 0) & (sure >= self.min_posterior)
 
 
-def identify(docs: DataFrame, declared: str = "lang", host: str = "source", trust: float = TRUST, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
+def identify(docs: DataFrame, declared: str = "lang", host: str = "source", text: str = "text", trust: float = TRUST, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """The rows of ``docs`` with all their columns and, after them, ``lid_lang``, ``lid_posterior``, ``lid_kept``."""
+    found = ["lid_lang", "lid_posterior", "lid_kept"]
+    passed = [c for c in docs.columns if c not in found]
     known = languages(docs, declared)
     if not known:
-        return docs.withColumns({"lid_lang": F.lit("und"), "lid_posterior": F.lit(0.0), "lid_kept": F.lit(False)})
+        return docs.select(*[F.col(f"`{c}`") for c in passed], F.lit("und").alias("lid_lang"), F.lit(0.0).alias("lid_posterior"), F.lit(False).alias("lid_kept"))
     names = [x for x, _ in known]
     overall = np.array([n for _, n in known], float)
-    overall = (overall + 1) / (overall + 1).sum()
-    bounds = [(k, min(k + BLOCK_LANGUAGES, len(names))) for k in range(0, len(names), BLOCK_LANGUAGES)]
-    counted = count_trigrams(docs, names, declared)
-    counted = materialize(counted, "trigrams") if len(bounds) > 1 else counted
-    block = block_likelihoods(counted, *bounds[0])
-    total = block.sum(0) + sum(block_likelihoods(counted, *b).sum(0) for b in bounds[1:])
-    block = np.vstack([block, 0.5 * total / len(names) + 0.5 / FEATURES])
-    priors = host_counts(docs, names, declared, host).cache()
-    small = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    priors = F.broadcast(priors) if small else priors
-    kept = docs.columns
-    keyed = docs.withColumn("lid_host", _host_columns(host)[0])
-    rows = keyed.join(priors.withColumnRenamed("host", "lid_host"), "lid_host", "left").select(*kept, F.col("of_host").alias("lid_of_host"), F.col("of_suffix").alias("lid_of_suffix"))
-    for first, last in bounds:
-        rows = materialize(rows, "languages") if first else rows
-        block = block_likelihoods(counted, first, last) if first else block
-        rows = _judged(rows, Fusion(TextModel(block), first, last, names, overall, trust), declared)
-    place, top = F.col("lid_place"), F.col("lid_top")
-    composite = F.aggregate("lid_passages", F.lit(0.0), lambda a, x: a + x)
-    # a text in several languages fits none as a whole: what it gains by a language for each passage is taken from the unknown class
-    unknown = F.col("lid_unknown") - TEMPER * (composite - F.col("lid_text"))
-    sure = 1 / (F.exp(F.col("lid_sum") - top) + F.exp(F.least(unknown - top, F.lit(700.0))))
-    lettered = F.col("lid_n") > 0
-    name = F.get(F.array(*map(F.lit, names)), place)
-    return rows.select(
-        *kept,
-        F.when(lettered & (unknown <= top), name).otherwise("und").alias("lid_lang"),
-        F.when(lettered, sure).otherwise(0.0).alias("lid_posterior"),
-        (lettered & (sure >= min_posterior)).alias("lid_kept"),
-    )
+    fusion = Fusion(names, (overall + 1) / (overall + 1).sum(), trust, min_posterior)
+    # own names inside, so that no column of the input can clash
+    plain = [F.col(text).cast("string").alias("text"), F.col(declared).cast("string").alias("label"), F.lower(F.col(host).cast("string")).alias("host"), fold_of(F.col(text).cast("string")).alias("fold")]
+    counted = materialize(count_trigrams(docs.select(*plain), names), "trigrams")
+    sums = counted.groupBy("fold", "l").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()
+    totals, distinct = np.zeros((2, FOLDS, len(names)))
+    for r in sums:
+        totals[r.fold, r.l], distinct[r.fold, r.l] = r.n, r.kinds
+    kinds = counted.select("f").distinct().count()
+    blocks = max(1, -(-int(distinct.sum()) // BLOCK_CELLS))
+    priors = materialize(host_counts(docs.select(*plain), names), "host-priors")
+    # a row for each host
+    small = priors.count() <= BROADCAST_HOSTS
+    others = [c for c in passed if c != text]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)], *plain)
+    rows = rows.join(F.broadcast(priors) if small else priors, "host", "left").drop("host")
+    own = rows.columns
+    for b in range(blocks):
+        cells = counted.where(F.pmod(F.xxhash64("f"), F.lit(blocks)) == b).toArrow()
+        model, last = TextModel(cells, totals, distinct, kinds, b == 0), b == blocks - 1
+
+        def run(batches, model=model, first=b == 0, last=last):
+            for batch in slices(batches, "text"):
+                passages, bounds, n = model.score(batch.column("text"), batch.column("fold").to_numpy())
+                if not first:
+                    passages = passages + batch.column("passages").flatten().to_numpy(zero_copy_only=False).reshape(passages.shape)
+                kept = [batch.column(c) for c in own]
+                if last:
+                    lang, sure, keep = fusion.judge(passages, bounds, n, batch.column("label").to_pylist(), batch.column("of_host"), batch.column("of_suffix"))
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(keep, pa.bool_())], [*own, *found])
+                else:
+                    ends = pa.array(bounds * passages.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(ends, pa.array(passages.ravel()))], [*own, "passages"])
+
+        types = {"lid_lang": F.lit(""), "lid_posterior": F.lit(0.0), "lid_kept": F.lit(True)} if last else {"passages": F.array(F.lit(0.0))}
+        rows = arrow_map(rows, run, rows.select(*own).withColumns(types).schema)
+        rows = rows if last else materialize(rows, "languages")
+    back = {c: F.col(f"_{i}").alias(c) for i, c in enumerate(others)} | {text: F.col("text").cast(docs.schema[text].dataType).alias(text)}
+    return rows.select(*[back[c] for c in passed], *found)
