@@ -10,6 +10,7 @@ also the ones that edited copies keep most; only sequences that are common apart
 from the item go. A second pass
 joins the seeds to the documents' words, gathers hits on neighbouring diagonals
 and aligns the item with the words around them (match +2, mismatch -1, gap -1).
+One hit is enough for an alignment, which alone decides.
 A document is contaminated by an item if the alignment's score reaches
 ``min_score`` of a perfect one.
 
@@ -18,9 +19,14 @@ the tasks in blocks of at most ``BLOCK_WORDS`` words, each block in passes of
 its own, so what is sent at once has a fixed bound for a benchmark of any size.
 
 Defined results: null and empty texts hit nothing; an item with fewer than
-``n`` words has no seeds and is never matched; items that repeat an item_id are
-separate items with one id, the best score counts; rows that repeat a document
-are judged one by one; items without an item_id are not used.
+``n`` words has no seeds and is never matched, since one or two words are no
+evidence of a copy; items that repeat an item_id are separate items with one id,
+the best score counts, of equal scores the later passage; ``decontaminate`` judges
+rows that repeat a document one by one, ``contaminated`` names a doc_id and item
+once; items without an item_id are not used. Texts of any length are read whole,
+a long one in a slice of its own; empty tables contaminate nothing. Of ``docs``
+only ``doc_id`` and ``text`` are read; further columns are passed through by
+``decontaminate`` under any name.
 """
 
 from __future__ import annotations
@@ -144,9 +150,6 @@ class Block:
         for a, b in zip(starts, np.append(starts[1:], len(row))):
             r, i = int(row[a]), int(item[a])
             words = self.items[i]
-            needed = min(2, max(len(words) - self.n + 1, 1))
-            if b - a < needed or len(np.unique(own[a:b])) < needed:
-                continue
             slack = len(words) // 4 + 4
             lo, hi = max(int(bounds[r]), int(diagonal[a]) - slack), min(int(bounds[r + 1]), int(diagonal[b - 1]) + len(words) + slack)
             score, first, last = align(words, codes[lo:hi])

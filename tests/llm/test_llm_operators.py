@@ -209,7 +209,7 @@ def test_decontamination_finds_edited_copies_of_an_item_that_many_copy(spark):
         rows.append((k, " ".join([word() for _ in range(20)] + copy + [word() for _ in range(20)])))
         places = [i for i in range(14) if copy[i : i + 3] == item[i : i + 3]]
         codes = np.array([item.index(w) + 1 if w in item else 0 for w in copy])
-        if len(places) > 1 and decontaminate.align(np.arange(1, 17), codes)[0] >= 0.4 * 32:
+        if places and decontaminate.align(np.arange(1, 17), codes)[0] >= 0.4 * 32:
             expected.add(k)
     # a sequence of the item that is common apart from it is not a seed, and another item's phrase is not a copy
     rows += [(1000 + k, " ".join([word(), *item[:3], word()])) for k in range(50)]
@@ -218,6 +218,35 @@ def test_decontamination_finds_edited_copies_of_an_item_that_many_copy(spark):
     assert len(expected) > 150 and found == expected
 
 
+def test_decontamination_equals_brute_force(spark):
+    """Every document against every item by a whole-text alignment, where they share three words in a row."""
+    random.seed(21)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(k, " ".join(random.choices(vocabulary, k=random.randrange(3, 25)))) for k in range(12)]
+    items += [(20, items[0][1]), (0, items[1][1]), (21, ""), (22, "v1 v2"), (None, items[2][1]), (23, None)]
+    rows = [(0, None), (1, ""), (2, "v1"), (3, items[3][1]), (3, items[3][1]), (4, " ".join(random.choices(vocabulary, k=60_000)) + " " + items[5][1])]
+    for k in range(150):
+        copy = [w if random.random() > k / 200 else random.choice(vocabulary) for w in items[k % 12][1].split()]
+        rows.append((100 + k, " ".join(random.choices(vocabulary, k=random.randrange(30)) + copy + random.choices(vocabulary, k=random.randrange(30)))))
+    docs = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "doc_id long, text string, item_id string, score double")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), rare=1.0).collect()}
+    codes, expected = {w: i + 1 for i, w in enumerate(vocabulary)}, {}
+    for doc_id, text in rows:
+        words = (text or "").split()
+        own = {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+        for item_id, item in items:
+            w = (item or "").split()
+            if item_id is not None and own & {tuple(w[i : i + 3]) for i in range(len(w) - 2)}:
+                best = decontaminate.align(np.array([codes[x] for x in w]), np.array([codes[x] for x in words]))[0] / (2 * len(w))
+                if best >= decontaminate.MIN_SCORE:
+                    expected[doc_id, item_id] = max(best, expected.get((doc_id, item_id), 0))
+    assert len(expected) > 60 and got == pytest.approx(expected)
+    left = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), rare=1.0)
+    assert left.columns == docs.columns
+    bad = {d for d, _ in expected}
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == sorted((d, t or "") for d, t in rows if d not in bad)
+
+
 def test_alignment_equals_the_textbook():
     rng = np.random.default_rng(0)
     for _ in range(40):
