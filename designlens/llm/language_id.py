@@ -66,7 +66,9 @@ FOLDS = 2
 
 
 def letter_words(texts: pa.Array) -> Words:
-    return Words(pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("")), r"[^\pL]+", " "))
+    """Runs of letters; those with digits among them (numbers, keys, hashes) say nothing about a language."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("")), r"\pL*\pN[\pL\pN]*", " ")
+    return Words(pc.replace_substring_regex(plain, r"[^\pL]+", " "))
 
 
 def trigrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
