@@ -3,22 +3,36 @@
 A streaming parser turns a page into lines: the text between two block-level
 tags. Each line has its ratio of characters to tags inside it (at least one).
 Ratios are smoothed along the page with a Gaussian, and their values are split
-into two clusters (content and rest) by iterated means. Content regions are the
-runs of content lines; a region grows to the lines of the innermost ``article``
-or ``main`` element around it, or, in pages without such an element, to all
-neighbouring lines that are not mostly links. Lines inside menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are never part of a region.
+into two clusters (content and rest) by iterated means. The clusters decide
+
+* which containers are content regions, in pages without an ``article`` or
+  ``main``: those that directly hold a content line that is not mostly links;
+  their other lines (titles, short paragraphs) come with them;
+* which runs of links inside an article are menus: three or more lines in a row
+  that are links alone and lie in the rest;
+* whether an element whose class looks like boilerplate is the page's frame: one
+  that holds more than half of the page's content is kept.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments,
+by element name, class, id or role, are dropped, but not an element around the
+page's only articles (a frame of class ``no-sidebar``, a page-wide form, a menu
+that is never closed). All articles of a page are kept, and what stands in
+``main`` outside of them.
 
 Defined results: null and empty pages have empty text. Markup that is cut off,
 wrongly nested or never closed is read as far as it goes; an end tag closes the
-elements opened after its start tag.
+elements opened after its start tag. Pages are judged one by one, so repeated
+rows get equal results, whole and at any length; of equal ratios all lie in one
+cluster, and a page whose lines all have one ratio is content. An empty table
+gives an empty one. Only ``page_id``, ``url`` and ``html`` are read, so further
+columns and their names have no effect.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +42,53 @@ from pyspark.sql import functions as F
 from designlens.llm.columns import arrow_map, slices
 
 # Element names, and words of class, id and role attributes.
-DROPPED = set("aside audio button canvas datalist dialog embed footer form head header iframe input map math menu nav noscript object option script select style svg template textarea video".split())
+SILENT = set("audio button canvas datalist embed head iframe input map math noscript object option script select style svg template textarea video".split())
+FRAMES = set("aside dialog footer form header menu nav".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SCOPES = {"article", "main"}
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|replies|reply|respond)(?:$|[\s_-])", re.I)
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|byline|comment|comments|consent|cookie|cookies|dialog|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promoted|related|reply|replies|respond|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|byline|consent|cookie|cookies|dialog|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promoted|related|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
 ROLES = {"banner", "navigation", "complementary", "contentinfo", "search", "form", "dialog", "alert", "menu"}
 #: Paragraphs that a start tag ends.
 ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements that hold one line of their container.
+LEAVES = set("blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr li ol p pre table tbody td tfoot th thead tr ul".split())
+
+#: Link lines in a row that make a menu, and the share of a page's content that makes an element its frame.
+MENU_LINES, FRAME_SHARE = 3, 0.5
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int
+    container: int
+    frames: tuple[int, ...]  # elements around it that look like boilerplate
+    scopes: tuple[int, ...]  # articles around it
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags inside, whether it is boilerplate, its scope."""
+    """Lines of a page, and the elements around them that matter."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[Line] = []
+        #: Of each frame: whether its class alone says so, whether it holds reader comments, and the articles in it.
+        self.by_class: list[bool] = []
+        self.comments: list[bool] = []
+        self.around: list[tuple[int, ...]] = []
         self._open: list[str] = []
-        self._dropped_at: list[int] = []
+        self._silent: list[int] = []
+        self._frames: list[tuple[int, int]] = []
         self._scopes: list[tuple[int, int]] = []
+        self._containers: list[tuple[int, int]] = [(-1, 0)]
+        self._known: tuple[tuple[int, ...], tuple[int, ...]] = ((), ())
         self._text: list[str] = []
-        self._tags, self._scope_count, self._linked = 0, 0, 0
+        self._tags, self._linked, self._count, self._made = 0, 0, 0, 0
 
     def updatepos(self, i, j):
         return j  # line numbers are not used
@@ -59,17 +96,38 @@ class Lines(HTMLParser):
     def cut(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
-            if text and not self._dropped_at:
-                self.lines.append((text, self._tags or 1, self._scopes[-1][1] if self._scopes else 0, self._linked))
+            if text and not self._silent:
+                self.lines.append(Line(text, self._tags or 1, self._linked, self._containers[-1][1], *self._known))
             self._text = []
         self._tags = self._linked = 0
 
     def _close(self, depth: int) -> None:
         del self._open[depth:]
-        while self._dropped_at and self._dropped_at[-1] >= depth:
-            self._dropped_at.pop()
-        while self._scopes and self._scopes[-1][0] >= depth:
-            self._scopes.pop()
+        changed = False
+        for stack in (self._frames, self._scopes, self._containers):
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+                changed = True
+        while self._silent and self._silent[-1] >= depth:
+            self._silent.pop()
+        if changed:
+            self._note()
+
+    def _note(self) -> None:
+        self._known = (tuple(i for _, i in self._frames), tuple(i for _, i in self._scopes))
+
+    def _frame(self, tag: str, attrs) -> tuple[bool, bool, bool]:
+        """Whether a start tag opens a frame, whether its class or role alone says so, and whether it holds comments."""
+        said = comments = False
+        for k, v in attrs:
+            if k in ("class", "id") and v:
+                comments |= COMMENTS.search(v) is not None
+                said |= BOILERPLATE.search(v) is not None
+            elif k == "role" and v:
+                said |= v.lower() in ROLES
+            elif k == "hidden" or k == "aria-hidden" and v == "true":
+                said = True
+        return tag in FRAMES or said or comments, tag not in FRAMES, comments
 
     def handle_starttag(self, tag, attrs) -> None:
         if tag in INLINE:
@@ -89,14 +147,26 @@ class Lines(HTMLParser):
             return
         depth = len(self._open)
         self._open.append(tag)
-        if tag in DROPPED or any(v and (k in ("class", "id") and BOILERPLATE.search(v) or k == "role" and v.lower() in ROLES or k == "aria-hidden" and v == "true") or k == "hidden" for k, v in attrs):
-            if tag not in SCOPES and tag not in ("html", "body"):
-                if tag in INLINE:
-                    self.cut()
-                self._dropped_at.append(depth)
-        if tag in SCOPES:
-            self._scope_count += 1
-            self._scopes.append((depth, self._scope_count))
+        if tag in SILENT:
+            self._silent.append(depth)
+            return
+        frame, by_class, comments = self._frame(tag, attrs) if attrs or tag in FRAMES else (False, False, False)
+        if frame and tag not in ("html", "body") and (tag not in SCOPES or comments):
+            if tag in INLINE:
+                self.cut()
+            self._frames.append((depth, len(self.around)))
+            self.by_class.append(by_class)
+            self.comments.append(comments)
+            self.around.append(())
+        elif tag in SCOPES:
+            self._count += 1
+            self._scopes.append((depth, self._count))
+            for _, i in self._frames:
+                self.around[i] += (self._count,)
+        if tag not in INLINE and tag not in LEAVES:
+            self._made += 1
+            self._containers.append((depth, self._made))
+        self._note()
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -105,9 +175,7 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag) -> None:
         if tag in INLINE:
             self._tags += 1
-            if self._dropped_at:
-                self._end(tag)
-            elif self._open and self._open[-1] == tag:
+            if self._open and self._open[-1] == tag and not self._frames and not self._silent:
                 self._open.pop()
             else:
                 self._end(tag)
@@ -118,7 +186,7 @@ class Lines(HTMLParser):
     def _end(self, tag: str) -> None:
         if tag in self._open:
             depth = len(self._open) - 1 - self._open[::-1].index(tag)
-            if self._dropped_at and self._dropped_at[-1] >= depth:
+            if (self._frames and self._frames[-1][0] >= depth) or (self._silent and self._silent[-1] >= depth):
                 self.cut()
             self._close(depth)
 
@@ -148,29 +216,52 @@ def split_threshold(values: np.ndarray) -> float:
     return bound
 
 
+def kept_frames(page: Lines, content: np.ndarray) -> set[int]:
+    """Elements that look like boilerplate but are frames of the page's content."""
+    every = {i for line in page.lines for i in line.scopes}
+    free = {i for line in page.lines for i in line.scopes if not line.frames} | (every - {i for x in page.around for i in x})
+    out = set()
+    if not free:
+        # all articles are inside such elements: those around them are no boilerplate, of comments only if nothing else is left
+        plain = every - {i for x, c in zip(page.around, page.comments) if c for i in x}
+        out = {k for k, x in enumerate(page.around) if (plain or every).intersection(x) and not (page.comments[k] and plain)}
+    weight: dict[int, int] = {}
+    total = 0
+    for line, c in zip(page.lines, content):
+        if c and all(page.by_class[i] for i in line.frames):
+            total += len(line.text)
+            for i in line.frames:
+                weight[i] = weight.get(i, 0) + len(line.text)
+    return out | {i for i, n in weight.items() if n > FRAME_SHARE * total and not page.comments[i]}
+
+
 def main_text(html: str) -> str:
     """The main text of one page."""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.cut()
-    lines = parser.lines
+    page = Lines()
+    page.feed(html)
+    page.close()
+    page.cut()
+    lines = page.lines
     if not lines:
         return ""
-    ratio = smoothed(np.log1p(np.array([len(t) / tags for t, tags, _, _ in lines])))
+    ratio = smoothed(np.log1p(np.array([len(x.text) / x.tags for x in lines])))
     content = ratio >= split_threshold(ratio)
-    scope = np.array([s for _, _, s, _ in lines])
-    if scope.any():
-        # the page marks its articles: those that have a content line, whole
-        keep = np.isin(scope, np.unique(scope[content & (scope > 0)]) if (content & (scope > 0)).any() else np.unique(scope[scope > 0]))
-        keep &= scope > 0
+    kept = kept_frames(page, content)
+    open_ = [kept.issuperset(x.frames) for x in lines]
+    if any(x.scopes and o for x, o in zip(lines, open_)):
+        keep = [bool(x.scopes) and o for x, o in zip(lines, open_)]
+        links = [k and not c and 10 * x.linked >= 9 * len(x.text) for x, k, c in zip(lines, keep, content)]
+        first = 0
+        for i in range(len(lines) + 1):
+            if i == len(lines) or not links[i]:
+                if i - first >= MENU_LINES:
+                    keep[first:i] = [False] * (i - first)
+                first = i + 1
     else:
-        plain = np.array([2 * linked < len(t) for t, _, _, linked in lines])
-        keep = content & plain
-        # runs of lines that are not mostly links, where a content line is among them
-        run = np.cumsum(~plain)
-        keep = plain & np.isin(run, run[keep])
-    return " ".join(t for (t, *_), k in zip(lines, keep) if k)
+        plain = [o and 2 * x.linked < len(x.text) for x, o in zip(lines, open_)]
+        regions = {x.container for x, p, c in zip(lines, plain, content) if p and c}
+        keep = [p and x.container in regions for x, p in zip(lines, plain)]
+    return " ".join(x.text for x, k in zip(lines, keep) if k)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

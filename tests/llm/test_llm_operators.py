@@ -294,6 +294,51 @@ def test_html_main_text(spark):
     assert out[1].text == out[2].text == "" and out[3].text == "only"
 
 
+@pytest.mark.parametrize("page", ['<div class="layout no-sidebar">{}</div>', '<div class="header-fixed">{}</div>', '<div class="social-science">{}</div>', '<div id="search-page">{}</div>', "<form><nav>x</nav>{}</form>", "<nav><ul><li><a href=x>home</a>{}", '<header class="menu">{}</header><div class="comments"><article>rude words here</article></div>'])
+def test_html_articles_inside_frames(page):
+    assert html_text.main_text(page.format("<article>A b.</article>")) == "A b."
+
+
+def test_html_scopes_menus_and_odd_pages(spark):
+    assert html_text.main_text("<main><article>Main body.</article><article>Other teaser.</article></main>") == "Main body. Other teaser."
+    assert html_text.main_text('<main><h1>T</h1><article>x y<section class="comments"><article>c c</article></section></article></main>') == "T x y"
+    assert html_text.main_text("<article><p>x</p><article class='comment reply'>no</article></article>") == "x"
+    long = "word " * 300_000
+    assert html_text.main_text(f"<article><p>{long}</article>") == long.strip()
+    odd = spark.createDataFrame([(1, "u", "<article>a</article>", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_text.extract(odd).collect()] == [(1, "u", "a", 1)]
+    assert html_text.extract(empty(odd)).count() == 0
+
+
+def test_html_clusters_decide_with_and_without_articles(monkeypatch):
+    menu = "".join(f"<li><a href=/{i}>go {i}</a></li>" for i in range(6))
+    body = "".join(f"<p>{'plain words of the text ' * 12}{i}</p>" for i in range(4))
+    with_article = f"<article>{body}<ul>{menu}</ul></article>"
+    without = f"<div><span>x y</span></div><div>{menu}</div><div><h1>Title</h1>{body}</div>"
+    text = " ".join(f"{'plain words of the text ' * 12}{i}" for i in range(4))
+    assert html_text.main_text(with_article) == text and html_text.main_text(without) == "Title " + text
+    monkeypatch.setattr(html_text, "split_threshold", lambda values: -1.0)
+    assert html_text.main_text(with_article) != text and html_text.main_text(without) != "Title " + text
+
+
+def test_html_of_whole_pages_equals_a_plain_reading(spark):
+    """Given pages: what stands in the article, by regular expressions; and nearly the same once no tag names it."""
+    import html as entities
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = {r.page_id: r.html for r in pages.select("page_id", "html").collect()}
+    block = re.compile(r"</?(?:p|h1|br|div|article|ul|li)\b[^>]*>")
+
+    def plain(h):
+        inner = re.search(r"(?s)<article>(.*?)(?:</article>|<footer>)", h)[1]
+        return " ".join(x for part in block.split(inner) if (x := " ".join(entities.unescape(re.sub(r"<[^>]*>", "", part)).split())))
+
+    expected = {k: plain(h) for k, h in rows.items()}
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == expected
+    nameless = [html_text.main_text(re.sub("<(/?)article>", r"<\1div>", h)) == expected[k] for k, h in rows.items()]
+    assert sum(nameless) >= 0.97 * len(rows)
+
+
 def test_language_of_held_out_documents(spark, odd):
     words = {"en": "the and with house river".split(), "de": "der und mit haus fluss schön".split(), "fr": "le et avec maison rivière été".split()}
     random.seed(8)
