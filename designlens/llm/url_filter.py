@@ -6,47 +6,63 @@ models over the characters of host and path, one of accepted and one of rejected
 addresses: the probability of a character after its last ``k`` characters is
 smoothed towards the one after ``k - 1`` (Witten-Bell), down to single
 characters. An address is blocked if the log-likelihood difference per character
-exceeds a bound that is calibrated on the accepted ones: at most ``FALSE_BLOCKS``
-of them lie above it.
-
-Examples for training are all addresses that no rule covers: rejected ones have
-a stated term in their host, accepted ones have none. Counts come from all of
-them, grouped, in hashed tables of a fixed size (``SLOTS`` rows for each order
-and class at most reach the driver).
+exceeds a bound that is calibrated on held-out accepted ones: at most
+``FALSE_BLOCKS`` of them lie above it.
+
+Labels are the verdicts of the rules on the addresses that they cover, and those
+of further labelled addresses (``examples``), where given: so the models carry
+the stated decisions over to addresses that no rule covers. One labelled address
+in ``HELD_OUT``, by a hash, is kept out of the counts and used for the bound;
+``held_out_error`` reports the models' errors there.
+
+Counts are exact and grow with the input. A character with the ``ORDER`` before
+it is a gram; the grouped table of grams holds the counts of all shorter contexts
+as its sums. The distinct grams get their two probabilities by joins with those
+sums, and the grams of each distinct address are joined to that table and added
+up. All of it is DataFrame functions; nothing of it is collected but two sums of
+each class and the histogram for the bound.
 
 Defined results: a null address or one without "://" has empty host and path,
 fits no rule, has difference 0 and is allowed. Without examples of both classes
-the difference is 0 for every address. Rows are judged one by one.
+the difference is 0 for every address. Of rules of equal length that fit, the
+later one by host and path decides, block before allow for the same host and
+path. Rows are judged one by one, so repeated rows and null keys get results of
+their own; addresses of any length are scored whole; an empty table gives an
+empty one. Only the key and the address are read, so further columns and their
+names have no effect.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The rules (verdict, host, path) of the query, and terms of hosts to reject.
+from designlens.llm.quality import let
+from designlens.shared import materialize
+
+# The rules (verdict, host, path) of the query.
 RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
+    ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-REJECTED_TERMS = ["adult", "ads", "bet", "bets", "bingo", "casino", "cheap", "farm", "loan", "pills", "poker", "porn", "sex", "slots", "spam", "track", "viagra", "warez", "xxx"]
 
-ORDER, SLOTS, FALSE_BLOCKS = 4, 1 << 15, 0.001
+ORDER, FALSE_BLOCKS, HELD_OUT = 4, 0.01, 5
+#: Probability of each character alike, below single characters.
+EVEN = 1 / 256
 #: Steps of the calibration histogram, in nats per character.
 STEP = 0.01
+CLASSES = ("accepted", "rejected")
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
     """Host (A-Z in lower case) and path of the address in column ``url``."""
     text = F.coalesce(F.col(url).cast("string"), F.lit(""))
     at = F.instr(text, "://")
-    rest = F.when(at > 0, F.expr(f"substring(coalesce(cast(`{url}` as string), ''), instr(coalesce(cast(`{url}` as string), ''), '://') + 3)")).otherwise("")
+    rest = F.when(at > 0, text.substr(at + 3, F.length(text))).otherwise("")
     host = F.regexp_extract(rest, r"\A([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"\A[^/?#]*([^?#]*)", 1)
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
@@ -55,110 +71,96 @@ def host_and_path(url: str) -> tuple[Column, Column]:
 def rule_columns(host: str, path: str, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits, as host and path in one string, and its verdict; null where none fits."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for say, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1], r[2])):
+    for say, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1], r[2], r[0])):
         fits = ((F.col(host) == h) | F.col(host).endswith("." + h)) & F.col(path).startswith(p)
         name, verdict = F.when(fits, h + p).otherwise(name), F.when(fits, say).otherwise(verdict)
     return name, verdict
 
 
-def _characters(text: str) -> np.ndarray:
-    """Code points with ORDER marks in front and one at the end."""
-    return np.concatenate((np.zeros(ORDER, np.uint64), np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64), [np.uint64(1)]))
-
-
-def _hashes(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each order the slots of all contexts and of contexts with their next character; characters of each text."""
-    points = [_characters(t) for t in texts]
-    n = np.array([len(p) - ORDER for p in points], np.int64)
-    flat = np.concatenate(points) if points else np.zeros(0, np.uint64)
-    at = np.concatenate([np.arange(k) for k in n]) + np.repeat(np.cumsum(n + ORDER) - n, n) if len(n) else np.zeros(0, np.int64)
-    out, context = [], np.full(len(at), 0x51ED270B, np.uint64)
+def grams(address: Column) -> Column:
+    """Each character of an address and its end, with the ``ORDER`` characters before it."""
+    marked = F.concat(F.lit("\x02" * ORDER), address, F.lit("\x03"))
+    chars = F.filter(F.split(marked, ""), lambda c: c != "")
+    return let(chars, lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - ORDER), lambda i: F.array_join(F.slice(x, i, ORDER + 1), "")))
+
+
+def gram_ratios(addresses: DataFrame) -> DataFrame:
+    """gram and ratio (log-likelihood, rejected less accepted) of every gram of ``addresses`` (address, class; null class: not counted)."""
+    counted = addresses.groupBy("address").agg(*[F.count_if(F.col("class") == c).alias(c) for c in CLASSES])
+    table = counted.select(*CLASSES, F.explode(grams(F.col("address"))).alias("gram")).groupBy("gram").agg(*[F.sum(c).alias(c) for c in CLASSES])
+    table = materialize(table, "url-grams")
+    tail = lambda k: F.substring("gram", ORDER + 1 - k, k + 1)  # noqa: E731  (the character after k others)
+    sums = lambda df: [F.sum(c).alias(c) for c in CLASSES]
+    kinds = [F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in CLASSES]
+    pairs = [materialize(table.groupBy(tail(k).alias("pair")).agg(*sums(table)), "url-pairs") if k < ORDER else table.withColumnRenamed("gram", "pair") for k in range(ORDER + 1)]
+    total = pairs[0].agg(*sums(None), *kinds).first()
+    out = table.select("gram", *[F.lit(EVEN).alias(f"p_{c}") for c in CLASSES])
     for k in range(ORDER + 1):
         if k:
-            context = (context ^ flat[at - k]) * np.uint64(0x9FB21C651E98DF25)
-            context ^= context >> np.uint64(32)
-        pair = (context ^ (flat[at] + np.uint64(0x1000))) * np.uint64(0xD6E8FEB86659FD93)
-        pair ^= pair >> np.uint64(32)
-        out.append(((context % np.uint64(SLOTS)).astype(np.int64), (pair % np.uint64(SLOTS)).astype(np.int64)))
-    return out, n
-
-
-class Markov:
-    """One class's model: counts of contexts, of contexts with a character, and of different characters after a context."""
-
-    def __init__(self) -> None:
-        self.context, self.pair, self.kinds = (np.zeros((ORDER + 1, SLOTS)) for _ in range(3))
-
-    def log_likelihood(self, hashes, n: np.ndarray) -> np.ndarray:
-        p = np.full(int(n.sum()), 1 / 256)
-        for k, (context, pair) in enumerate(hashes):
-            c, t = self.context[k][context], self.kinds[k][context]
-            p = np.where(c > 0, (self.pair[k][pair] + t * p) / np.maximum(c + t, 1), p)
-        ends = np.cumsum(n)
-        total = np.concatenate(([0.0], np.cumsum(np.log(p))))
-        return total[ends] - total[ends - n]
-
-
-def fit(examples: DataFrame) -> dict[str, Markov]:
-    """Models of the classes in ``examples`` (address, class)."""
-
-    def run(batches):
-        for pdf in batches:
-            for label, rows in pdf.groupby("class"):
-                hashes, _ = _hashes(rows["address"].tolist())
-                for k, (context, pair) in enumerate(hashes):
-                    cells, counts = np.unique(context * SLOTS + pair, return_counts=True)
-                    yield pd.DataFrame({"class": label, "k": k, "context": cells // SLOTS, "pair": cells % SLOTS, "n": counts})
-
-    cells = examples.mapInPandas(run, "class string, k int, context int, pair int, n long").groupBy("class", "k", "context", "pair").agg(F.sum("n").alias("n"))
-    contexts = cells.groupBy("class", "k", F.col("context").alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).withColumn("what", F.lit("context"))
-    pairs = cells.groupBy("class", "k", F.col("pair").alias("slot")).agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("kinds")).withColumn("what", F.lit("pair"))
-    models: dict[str, Markov] = {}
-    # at most 2 x 2 x (ORDER + 1) x SLOTS rows
-    for label, rows in contexts.unionByName(pairs).toPandas().groupby("class"):
-        m = models[label] = Markov()
-        for what, table in (("context", m.context), ("pair", m.pair)):
-            x = rows[rows["what"] == what]
-            table[x["k"], x["slot"]] = x["n"]
-            if what == "context":
-                m.kinds[x["k"], x["slot"]] = x["kinds"]
-    return models
-
-
-def score(addresses: list[str], models: dict[str, Markov]) -> np.ndarray:
-    """Log-likelihood difference per character, rejected less accepted."""
-    if len(models) < 2:
-        return np.zeros(len(addresses))
-    hashes, n = _hashes(addresses)
-    d = (models["rejected"].log_likelihood(hashes, n) - models["accepted"].log_likelihood(hashes, n)) / n
-    return np.where(n > 1, d, 0.0)
-
-
-def _scored(df: DataFrame, models: dict[str, Markov], keep: list[str]) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            d = score(batch.column("address").to_pylist(), models) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(d, pa.float64())], [*keep, "ratio"])
-
-    rows = df.select(*keep, "address") if "address" not in keep else df.select(*keep)
-    return rows.mapInArrow(run, rows.select(*keep).withColumn("ratio", F.lit(0.0)).schema)
-
-
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, terms: list[str] = REJECTED_TERMS, url: str = "url", key: str = "page_id") -> DataFrame:
-    """key, host, path, rule, verdict, ratio of each row of ``pages``."""
+            # counts of the k characters before, and how many different characters follow them
+            context = pairs[k].groupBy(F.substring("pair", 1, k).alias("context")).agg(*sums(None), *kinds)
+            context = context.select("context", *[F.col(c).alias(f"c_{c}") for c in CLASSES], *[F.col(f"{c}_kinds").alias(f"t_{c}") for c in CLASSES])
+            out = out.withColumn("context", F.substring("gram", ORDER + 1 - k, k)).join(context, "context").drop("context")
+        else:
+            out = out.withColumns({f"c_{c}": F.lit(total[c] or 0) for c in CLASSES} | {f"t_{c}": F.lit(total[f"{c}_kinds"] or 0) for c in CLASSES})
+        seen = pairs[k].select("pair", *[F.col(c).alias(f"n_{c}") for c in CLASSES])
+        out = out.withColumn("pair", tail(k)).join(seen, "pair").drop("pair")
+        smooth = {f"p_{c}": F.when(F.col(f"c_{c}") > 0, (F.col(f"n_{c}") + F.col(f"t_{c}") * F.col(f"p_{c}")) / (F.col(f"c_{c}") + F.col(f"t_{c}"))).otherwise(F.col(f"p_{c}")) for c in CLASSES}
+        out = out.withColumns(smooth).select("gram", *[f"p_{c}" for c in CLASSES])
+    return out.select("gram", (F.ln("p_rejected") - F.ln("p_accepted")).alias("ratio"))
+
+
+def scored_addresses(labelled: DataFrame) -> DataFrame:
+    """address, class, held_out and ratio per character of each distinct address of ``labelled`` (address, class)."""
+    # an address with both labels says nothing
+    one = F.when(F.count_distinct("class") == 1, F.max("class"))
+    distinct = materialize(labelled.where("address <> ''").groupBy("address").agg(one.alias("class")).withColumn("held_out", F.pmod(F.xxhash64("address"), F.lit(HELD_OUT)) == 0), "url-addresses")
+    ratios = gram_ratios(distinct.select("address", F.when(~F.col("held_out"), F.col("class")).alias("class")))
+    each = distinct.select("address", F.explode(grams(F.col("address"))).alias("gram")).join(ratios, "gram")
+    summed = each.groupBy("address").agg((F.sum("ratio") / F.count("*")).alias("ratio"))
+    return materialize(distinct.join(summed, "address"), "url-scores")
+
+
+def calibrated_bound(scores: DataFrame) -> float | None:
+    """The least difference, at steps of ``STEP`` and 0 at least, that at most ``FALSE_BLOCKS`` of held-out accepted addresses exceed; None without both classes."""
+    steps = scores.where("class is not null").groupBy("class", "held_out", F.floor(F.col("ratio") / STEP).alias("step")).agg(F.count("*").alias("n")).toPandas()
+    if set(steps.loc[~steps["held_out"], "class"]) != set(CLASSES):
+        return None
+    # a table with too few labels for held-out ones takes those of the models
+    held = steps[(steps["class"] == "accepted") & steps["held_out"]]
+    own = (held if len(held) else steps[steps["class"] == "accepted"]).groupby("step")["n"].sum().sort_index()
+    above = own.sum() - own.cumsum()
+    return max(0.0, STEP * (float(own.index[above <= FALSE_BLOCKS * own.sum()][0]) + 1))
+
+
+def _base(pages: DataFrame, rules: list[tuple[str, str, str]], url: str, key: str) -> DataFrame:
     host, path = host_and_path(url)
     base = pages.select(F.col(key), host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns("host", "path", rules)
-    base = base.withColumns({"rule": rule, "said": verdict, "address": F.concat("host", "path")})
-    seen = F.col("host").rlike(r"(?:^|[.\-_0-9])(?:" + "|".join(sorted(terms)) + r")(?:[.\-_0-9]|$)")
-    examples = base.where("rule is null and address <> ''").select("address", F.when(seen, "rejected").otherwise("accepted").alias("class"))
-    models = fit(examples)
-    bound = np.inf
-    if len(models) == 2:
-        # the share of accepted examples above each step of the difference
-        steps = _scored(examples.where("class = 'accepted'"), models, ["class"]).groupBy(F.floor(F.col("ratio") / STEP).alias("step")).agg(F.count("*").alias("n")).toPandas().sort_values("step")
-        above = steps["n"].sum() - steps["n"].cumsum()
-        bound = max(0.0, STEP * (float(steps["step"][above <= FALSE_BLOCKS * steps["n"].sum()].iloc[0]) + 1))
-    out = _scored(base, models, [key, "host", "path", "rule", "said"])
-    judged = F.coalesce("said", F.when(F.col("ratio") > float(bound), "block").otherwise("allow"))
+    return base.withColumns({"rule": rule, "said": verdict, "address": F.concat("host", "path")})
+
+
+def _labelled(base: DataFrame, examples: DataFrame | None) -> DataFrame:
+    labelled = base.select("address", F.when(F.col("said") == "block", "rejected").when(F.col("said") == "allow", "accepted").alias("class"))
+    if examples is not None:
+        host, path = host_and_path("url")
+        labelled = labelled.union(examples.select(F.concat(host, path), F.when(F.col("accepted"), "accepted").when(~F.col("accepted"), "rejected")))
+    return labelled
+
+
+def held_out_error(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, examples: DataFrame | None = None, url: str = "url") -> DataFrame:
+    """class, n and blocked: distinct held-out labelled addresses, and how many of them the models alone would block."""
+    scores = scored_addresses(_labelled(_base(pages, rules, url, url), examples))
+    bound = calibrated_bound(scores)
+    return scores.where("held_out and class is not null").groupBy("class").agg(F.count("*").alias("n"), F.count_if(F.col("ratio") > (np.inf if bound is None else bound)).alias("blocked"))
+
+
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, examples: DataFrame | None = None, url: str = "url", key: str = "page_id") -> DataFrame:
+    """key, host, path, rule, verdict, ratio of each row of ``pages``; ``examples`` (url, accepted) are labelled addresses besides those of the rules."""
+    base = _base(pages, rules, url, key)
+    scores = scored_addresses(_labelled(base, examples))
+    bound = calibrated_bound(scores)
+    ratio = F.lit(0.0) if bound is None else F.coalesce("ratio", F.lit(0.0))
+    out = base.join(scores.select("address", "ratio"), "address", "left").withColumn("ratio", ratio)
+    judged = F.coalesce("said", F.when(F.col("ratio") > float(bound or 0.0), "block").otherwise("allow"))
     return out.select(key, "host", "path", "rule", judged.alias("verdict"), "ratio")

@@ -274,15 +274,70 @@ def test_warc_audit_finds_every_changed_record(spark, tmp_path):
     warc.write_warc(empty(pages), e)
 
 
-def test_url_rules_and_ratio(spark):
-    urls = ["http://a.example.com/en/7?x", "https://Example.NET/de/81", "ftp://x.net/de/", "http://org/es/", "http://notcom/en/1", None, "no scheme", "http://h#f", "http://xexample.com/en/7"]
-    urls += [f"http://good{i % 9}.site.info/page/{i}" for i in range(200)] + [f"http://casino-{i % 5}.site.info/win/{i}" for i in range(60)]
-    out = url_filter.filter_urls(spark.createDataFrame([*enumerate(urls)], "page_id long, url string")).collect()
-    by = {r.page_id: r for r in out}
-    assert [(by[i].host, by[i].rule, by[i].verdict) for i in range(5)] == [("a.example.com", "example.com/en/7", "allow"), ("example.net", "example.net/de/8", "block"), ("x.net", "net/de/", "block"), ("org", "org/es/", "block"), ("notcom", None, "allow")]
-    assert (by[5].host, by[5].path, by[6].host, by[7].host, by[7].path) == ("", "", "", "h", "") and by[8].rule == "com/en/"
-    assert {r.verdict for r in out if r.host.startswith("casino")} == {"block"} and {r.verdict for r in out if r.host.startswith("good")} == {"allow"}
-    assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+URLS = ["http://a.example.com/en/7?x", "https://Example.NET/de/81", "ftp://x.net/de/", "http://org/es/", "http://notcom/en/1", None, "no scheme", "http://h#f", "http://xexample.com/en/7", "http://é.example.com/en/7" + "x" * 20_000]
+
+
+def plain_ratio(text, counts):
+    """Difference per character by plain loops; ``counts``: training addresses by class."""
+    import math
+    from collections import Counter
+
+    def likelihood(train):
+        pair, context, kinds = Counter(), Counter(), {}
+        for a in train:
+            x = "\x02" * 4 + a + "\x03"
+            for i in range(4, len(x)):
+                for k in range(5):
+                    pair[x[i - k : i + 1]] += 1
+                    context[k, x[i - k : i]] += 1
+                    kinds.setdefault((k, x[i - k : i]), set()).add(x[i])
+        x, total = "\x02" * 4 + text + "\x03", 0.0
+        for i in range(4, len(x)):
+            p = 1 / 256
+            for k in range(5):
+                c = context[k, x[i - k : i]]
+                t = len(kinds.get((k, x[i - k : i]), ()))
+                p = (pair[x[i - k : i + 1]] + t * p) / (c + t) if c else p
+            total += math.log(p)
+        return total
+
+    return (likelihood(counts["rejected"]) - likelihood(counts["accepted"])) / (len(text) + 1)
+
+
+def test_url_filter_equals_brute_force(spark):
+    urls = URLS + [f"http://{random.Random(i).choice(['a', 'shop', 'news'])}.example.{random.Random(i).choice(['com', 'net', 'org', 'info'])}/{random.Random(i).choice(['en', 'de', 'es'])}/{i % 97}" for i in range(120)]
+    rows = [*enumerate(urls), (0, urls[0]), (None, urls[1])]
+    pages = spark.createDataFrame([(*r, "h", "v", 1.0) for r in rows], "page_id long, url string, host string, verdict string, ratio double")
+    out = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    by = [out[i] for i in range(10)]
+    assert [(r.host, r.rule, r.verdict) for r in by[:5]] == [("a.example.com", "example.com/en/7", "allow"), ("example.net", "example.net/de/8", "block"), ("x.net", "net/de/", "allow"), ("org", "org/es/", "block"), ("notcom", None, by[4].verdict)]
+    assert (by[5].host, by[5].path, by[6].host, by[7].host, by[7].path) == ("", "", "", "h", "") and by[8].rule == "com/en/" and by[5].verdict == "allow"
+    assert url_filter.filter_urls(pages).count() == len(rows)
+    # the verdicts of rules on distinct addresses, less the held-out ones
+    labels = {r.host + r.path: r.verdict for r in out.values() if r.rule}
+    held = {r.a for r in spark.createDataFrame([(a,) for a in labels], "a string").where("pmod(xxhash64(a), 5) = 0").collect()}
+    train = {c: [a for a, v in labels.items() if v == say and a not in held] for c, say in (("accepted", "allow"), ("rejected", "block"))}
+    for r in out.values():
+        if r.host and len(r.path) < 1000:
+            assert r.ratio == pytest.approx(plain_ratio(r.host + r.path, train), abs=1e-9)
+    accepted = sorted(plain_ratio(a, train) for a in held if labels[a] == "allow" and len(a) < 1000)
+    free = [r for r in out.values() if r.rule is None and r.host]
+    blocked = {r.verdict for r in free if r.ratio > max(0, accepted[-1]) + 0.02}
+    assert accepted and blocked <= {"block"} and {r.verdict for r in free if r.ratio < 0} <= {"allow"} and {r.verdict for r in free} == {"allow", "block"}
+
+
+def test_url_models_carry_labels_over(spark):
+    """Labelled addresses that no rule covers; those of the same kinds are judged alike, the held-out ones too."""
+    good = [f"http://good{i % 9}.site.info/page/{i}" for i in range(300)]
+    bad = [f"http://win-{i % 5}.site.info/prize/{i}" for i in range(200)]
+    examples = spark.createDataFrame([(u, True) for u in good[:200]] + [(u, False) for u in bad[:120]] + [(None, True), ("http://win-0.site.info/prize/1", None)], "url string, accepted boolean")
+    pages = spark.createDataFrame([*enumerate(good[200:] + bad[120:])], "page_id long, url string")
+    out = url_filter.filter_urls(pages, [], examples).collect()
+    assert all(r.verdict == ("allow" if r.host.startswith("good") else "block") for r in out)
+    errors = {r["class"]: r.blocked / r.n for r in url_filter.held_out_error(pages, [], examples).collect()}
+    assert errors["accepted"] <= 0.05 and errors["rejected"] >= 0.95
+    assert {r.verdict for r in url_filter.filter_urls(pages, []).collect()} == {"allow"}
+    assert url_filter.filter_urls(empty(pages)).count() == 0
 
 
 def test_html_main_text(spark):
