@@ -7,15 +7,19 @@ record without unpacking this one. Spark's committed file writer stores them
 
 Audit. Every record of a replica is hashed with its offset and length. Ordered
 offset ranges are hashed into a tree: ``RANGE`` bytes of a shard, ``FANOUT`` of
-those, and so on up to the shard, groups of ``FANOUT`` shards, and the root. Two
-replicas are compared at the root first; only children of nodes that differ are
-joined on the next level, down to the records. So equal branches are never
-looked into, and damage is located by shard and offset. A record whose gzip
-checksum fails, or that isn't there, is the damaged one.
+those, and so on up to the shard, then ``GROUP`` neighbouring shards, ``GROUP`` of
+those groups, and so on up to the root, so no node has more than ``GROUP``
+children. Each level of both replicas is written once, as a small table. The
+roots are compared first; only children of nodes that differ are read on the next
+level, down to the records. So equal branches are never looked into, and damage
+is located by shard and offset. A record whose gzip checksum fails, or that isn't
+there, is the damaged one.
 
 Defined results: null html is an empty payload, a null url is left out of the
 record's header, a null page_id is a record without a number. Repeated pages are
-records of their own. Replicas of an empty table are equal.
+records of their own. Pages of any length are records of one member. Replicas of
+an empty table are equal. Only ``page_id``, ``url`` and ``html`` are read, so
+further columns and their names have no effect.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from designlens.shared import materialize, shared_path
 SHARD_BYTES = 16 << 20
 #: Bytes of the least range of offsets, children of a node, levels of a shard's ranges.
 RANGE, FANOUT, LEVELS = 1 << 18, 16, 3
+#: Shards of a group, as bits of the shard's number: its task and, in the lower 20 bits, its place in the task.
+GROUP_BITS, GROUP_LEVELS = 10, 5
 #: First bytes of a member: gzip, deflate, an extra field of 12 bytes with "sl" of 8 bytes.
 HEAD = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0sl\x08\0"
 
@@ -90,8 +96,8 @@ def _write(blocks: DataFrame, path: str) -> None:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary, shard long").format("binaryFile").option("pathGlobFilter", "part-*")
-    return files.load(path).select("shard", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("long").alias("shard"), "content")
 
 
 def members(content: memoryview):
@@ -130,58 +136,51 @@ def leaves(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tree(found: DataFrame) -> list[DataFrame]:
-    """Levels of the tree above ``leaves``: ranges of a shard, shards, groups of shards, root; columns shard, node, hash.
+    """Levels of the trees above ``found`` (leaves with their ``side``), each written: side, shard, node, hash.
 
-    A node's hash covers the places and hashes of its children in their order.
+    First come ranges of a shard (node: place of the range), then whole shards,
+    then groups of shards (shard: number of the group) up to the root. A node's
+    hash covers the places and hashes of its children in their order.
     """
-    level = found.select("shard", F.col("offset").alias("child"), F.concat_ws(":", "offset", "length", "hash").alias("said"))
-    out = []
-    widths = [RANGE * FANOUT**k for k in range(LEVELS)]
-    for k, width in enumerate(widths):
-        per = width if not k else FANOUT
-        level = _parents(level, F.col("shard"), F.floor(F.col("child") / per))
-        out.append(level)
-        level = level.select("shard", F.col("node").alias("child"), F.concat_ws(":", "node", "hash").alias("said"))
-    level = _parents(level, F.col("shard"), F.lit(0).cast("long"))
-    out.append(level)
-    for per in (1 << 20, None):  # the shards of a writing task, then all tasks
-        group = F.floor(F.col("child") / per) * per if per else F.lit(0)
-        level = _parents(level.select(F.col("shard").alias("child"), F.concat_ws(":", "shard", "hash").alias("said")), group, F.lit(0))
-        out.append(level)
+    level, out = found.select("side", "shard", F.col("offset").alias("child"), F.concat_ws(":", "offset", "length", "hash").alias("said")), []
+    for k in range(LEVELS + 1):
+        node = F.lit(0) if k == LEVELS else F.floor(F.col("child") / (FANOUT if k else RANGE))
+        out.append(materialize(_parents(level, F.col("shard"), node), "warc-level"))
+        level = out[-1].select("side", "shard", F.col("node").alias("child"), F.concat_ws(":", "node", "hash").alias("said"))
+    for _ in range(GROUP_LEVELS):
+        level = out[-1].select("side", F.shiftright("shard", GROUP_BITS).alias("shard"), F.col("shard").alias("child"), F.concat_ws(":", "shard", "hash").alias("said"))
+        out.append(materialize(_parents(level, F.col("shard"), F.lit(0)), "warc-level"))
     return out
 
 
 def _parents(level: DataFrame, shard, node) -> DataFrame:
     ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("child", "said"))), lambda x: x["said"]), "|")
-    return level.groupBy(shard.cast("long").alias("shard"), node.cast("long").alias("node")).agg(F.sha2(ordered, 256).alias("hash"))
+    return level.groupBy("side", shard.cast("long").alias("shard"), node.cast("long").alias("node")).agg(F.sha2(ordered, 256).alias("hash"))
 
 
-def _different(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    x, y = a.withColumnRenamed("hash", "hash_a"), b.withColumnRenamed("hash", "hash_b")
-    return x.join(y, keys, "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select(*keys)
+def _different(level: DataFrame) -> DataFrame:
+    """shard, node of the nodes that are not the same on both sides."""
+    sides = level.groupBy("shard", "node").agg(F.count("*").alias("n"), F.min("hash").alias("a"), F.max("hash").alias("b"))
+    return sides.where("n < 2 or a <> b").select("shard", "node")
 
 
 def audit(spark: SparkSession, path_a: str, path_b: str) -> DataFrame:
     """page_id, shard, offset, length, sound_a, sound_b of each record that differs between two replicas."""
-    sides = [materialize(leaves(spark, p), "warc-leaves") for p in (path_a, path_b)]
-    trees = [tree(x) for x in sides]
-    (root, tasks, shards), ranges = (list(zip(*trees))[k] for k in (-1, -2, -3)), list(zip(*trees))[:LEVELS]
-    bad = _different(*root, ["shard", "node"]).select(F.lit(1).alias("all"))
-    below = lambda side, key, bad: side.join(bad, key, "left_semi")
-    bad = _different(*(below(x.withColumn("all", F.lit(1)), "all", bad).drop("all") for x in tasks), ["shard", "node"])
-    task = (F.floor(F.col("shard") / (1 << 20)) * (1 << 20)).cast("long")
-    bad = bad.select(F.col("shard").alias("task"))
-    bad = materialize(_different(*(below(x.withColumn("task", task), "task", bad).drop("task") for x in shards), ["shard", "node"]).select("shard"), "warc-shards")
-    keys = ["shard"]
-    for k in reversed(range(LEVELS)):
-        sides_k = [x if k == LEVELS - 1 else x.withColumn("parent", F.floor(F.col("node") / FANOUT)) for x in ranges[k]]
-        bad = _different(*(below(x, keys, bad).select("shard", "node", "hash") for x in sides_k), ["shard", "node"])
-        keys, bad = ["shard", "parent"], bad.withColumnRenamed("node", "parent")
-    ranged = [below(x.withColumn("parent", F.floor(F.col("offset") / RANGE)), keys, bad) for x in sides]
-    at = ["shard", "offset"]
-    a, b = (x.select(*at, *[F.col(c).alias(f"{c}_{s}") for c in ("length", "page_id", "sound", "hash")]) for x, s in zip(ranged, "ab"))
-    out = a.join(b, at, "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
-    return out.select(F.coalesce("page_id_a", "page_id_b").alias("page_id"), *at, F.coalesce("length_a", "length_b").alias("length"), F.coalesce("sound_a", F.lit(False)).alias("sound_a"), F.coalesce("sound_b", F.lit(False)).alias("sound_b"))
+    both = leaves(spark, path_a).withColumn("side", F.lit("a")).union(leaves(spark, path_b).withColumn("side", F.lit("b")))
+    found = materialize(both, "warc-leaves")
+    levels = tree(found)
+    bad = _different(levels[-1])
+    for k in reversed(range(len(levels) - 1)):
+        # children of the nodes that differ on the level above
+        shard, node = (F.col("shard"), F.floor(F.col("node") / FANOUT)) if k < LEVELS - 1 else (F.col("shard"), F.lit(0)) if k == LEVELS - 1 else (F.shiftright("shard", GROUP_BITS), F.lit(0))
+        above = bad.select(F.col("shard").alias("above"), F.col("node").alias("above_node"))
+        below = levels[k].withColumns({"above": shard, "above_node": node.cast("long")}).join(above, ["above", "above_node"], "left_semi")
+        bad = materialize(_different(below), "warc-different")
+    ranged = found.withColumn("node", F.floor(F.col("offset") / RANGE)).join(bad, ["shard", "node"], "left_semi")
+    of = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{c}_{side}")
+    out = ranged.groupBy("shard", "offset").agg(*[of(c, s) for c in ("length", "page_id", "sound", "hash") for s in "ab"])
+    out = out.where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+    return out.select(F.coalesce("page_id_a", "page_id_b").alias("page_id"), "shard", "offset", F.coalesce("length_a", "length_b").alias("length"), F.coalesce("sound_a", F.lit(False)).alias("sound_a"), F.coalesce("sound_b", F.lit(False)).alias("sound_b"))
 
 
 #: One record in so many is damaged by ``damaged_copy``, for each kind of damage.

@@ -270,8 +270,29 @@ def test_warc_audit_finds_every_changed_record(spark, tmp_path):
     expected = {(s, o) for s, data in first.items() for o, n in warc.members(memoryview(data)) if second[s][o : o + n] != data[o : o + n]}
     found = warc.audit(spark, a, b).collect()
     assert expected and {(r.shard, r.offset) for r in found} == expected and all(r.sound_a and not r.sound_b for r in found)
-    e = f"file://{tmp_path}/e"
-    warc.write_warc(empty(pages), e)
+    assert warc.audited_pages(empty(pages)).count() == 0
+    found = warc.leaves(spark, a).withColumn("side", F.lit("a"))
+    levels = warc.tree(found)
+    assert levels[-1].count() == 1 and levels[warc.LEVELS].count() == len(first)
+
+
+def test_warc_audit_of_missing_shards_long_pages_and_clashing_columns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SHARD_BYTES", 1 << 12)
+    monkeypatch.setattr(warc, "RANGE", 1 << 8)
+    monkeypatch.setattr(warc, "GROUP_BITS", 2)
+    monkeypatch.setattr(warc, "GROUP_LEVELS", 25)
+    rows = [(i, f"http://x/{i}", random.Random(i).randbytes(150).hex(), i, "h") for i in range(400)] + [(900, "u", "long " * 200_000, 1, "h")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, shard long, hash string").repartition(3)
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    warc.write_warc(pages, a)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    shards = sorted(r.shard for r in warc._files(spark, a).select("shard").distinct().collect())
+    assert len(shards) > 9
+    warc._write(warc._files(spark, a).where(F.col("shard") != shards[4]).select(F.col("content").alias("block"), "shard"), b)
+    lost = {(r.shard, r.offset) for r in warc.leaves(spark, a).where(F.col("shard") == shards[4]).collect()}
+    found = warc.audit(spark, a, b).collect()
+    assert lost and {(r.shard, r.offset) for r in found} == lost and all(r.sound_a and not r.sound_b for r in found)
 
 
 URLS = ["http://a.example.com/en/7?x", "https://Example.NET/de/81", "ftp://x.net/de/", "http://org/es/", "http://notcom/en/1", None, "no scheme", "http://h#f", "http://xexample.com/en/7", "http://é.example.com/en/7" + "x" * 20_000]
