@@ -82,11 +82,13 @@ def test_token_store_equals_the_library(spark, odd):
     more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(["a   b \n c\n\n d", "\n ", " \n \n", "it's 'll 12 3a", "<|endoftext|> b", "Ab.\nCd, ., .a ,b"])], "doc_id long, text string")
     docs = odd.select("doc_id", "text").union(more)
     expected, start = [], 0
-    for doc_id, text in sorted((r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None):
+    # rows without a key come first
+    for doc_id, text in sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
         ids = [*lib.encode(text, add_special_tokens=False).ids, 2]
         expected.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    assert sorted(map(tuple, token_store.stored_documents(docs, path).collect())) == sorted(expected)
+    ordered = lambda rows: sorted(rows, key=lambda x: x[1])
+    assert ordered(map(tuple, token_store.stored_documents(docs.withColumn("shard", F.lit(1)), path).collect())) == ordered(expected)
     store, buckets = token_store.store_tokens(docs, path)
     keys = spark.createDataFrame([(3, 1), (4, 0), (999, 0)], "doc_id long, copy int")
     got = {(r.doc_id, r.copy): r.ids for r in token_store.fetch(spark, store, keys, buckets).collect()}
@@ -94,6 +96,29 @@ def test_token_store_equals_the_library(spark, odd):
     assert token_store.stored_documents(empty(docs), path).count() == 0
 
 
+def test_token_store_reads_only_the_shards_of_its_keys(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    texts = {i: " ".join(random.Random(i).choices(["alpha", "beta", "é", "日本", "x1"], k=i % 40)) for i in range(600)} | {700: "long word " * 100_000}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(None, "k"), (None, "l"), (5, texts[5])], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(token_store, "PART_BYTES", 2000)
+    monkeypatch.setattr(token_store, "BLOCKS", 3)
+    store, buckets = token_store.store_tokens(docs, path)
+    shards = store.entries.select("shard").distinct().count()
+    assert shards > 8 and store.entries.count() == len(texts) + 3
+    keys = spark.createDataFrame([(5, 0), (5, 1), (5, 1), (700, 0), (5, 2), (None, 0)], "doc_id long, copy int")
+    out = token_store.fetch(spark, store, keys, buckets)
+    got = {(r.doc_id, r.copy): r.ids for r in out.collect()}
+    assert set(got) == {(5, 0), (5, 1), (700, 0)} and all(ids == [*lib.encode(texts[d], add_special_tokens=False).ids, 2] for (d, _), ids in got.items())
+    opened = [f for f in out.inputFiles() if "token-shards" in f]
+    assert 1 <= len(opened) <= 3 < shards
+    assert token_store.fetch(spark, store, keys.where("doc_id = 999"), buckets).count() == 0
+    monkeypatch.setattr(token_store, "BROADCAST_KEYS", 1)
+    assert {(r.doc_id, r.copy): r.ids for r in token_store.fetch(spark, store, keys, buckets).collect()} == got
+
+
 def test_perfect_hash_is_minimal():
     h = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     seeds, slot = token_store.perfect_hash(h)
