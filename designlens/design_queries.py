@@ -12,7 +12,7 @@ from designlens.sources.designs import SQL, TARGETS_SQL, designs, targets
 
 
 def _cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = designs(spark, sf_dir).join(F.broadcast(targets(spark)), "group_no").withColumn("preferred", F.col("variant") == "F")
+    each = designs(spark, sf_dir).join(targets(spark), "group_no").withColumn("preferred", F.col("variant") == "F")
     order = [F.col("preferred").desc(), F.pmod(F.col("design") * 7919, F.lit(10007)), F.col("design")]
     return cohort.cohort_topn(each, ["target", "gate_count"], order, 20).select("target", "gate_count", "design", "preferred", "rank")
 
@@ -38,7 +38,7 @@ def source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT g.target, g.gate_count, coalesce(n, 0) AS n FROM (SELECT DISTINCT target, CAST(k AS INT) AS gate_count FROM tg CROSS JOIN range(3, 9) r(k)) g
 LEFT JOIN n ON g.target = n.target AND g.gate_count = n.gate_count""")
 def coverage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = designs(spark, sf_dir).select("topology", "gate_count", "group_no").distinct().join(F.broadcast(targets(spark)), "group_no")
+    known = designs(spark, sf_dir).select("topology", "gate_count", "group_no").distinct().join(targets(spark), "group_no")
     return cohort.coverage(known, targets(spark), list(range(3, 9)), "target", "gate_count", "topology")
 
 
@@ -64,7 +64,7 @@ SELECT d.gate_count, CASE WHEN NOT ok THEN 'family' WHEN variant = 'P' THEN 'var
 FROM d JOIN va ON d.design = va.design JOIN cu ON d.gate_count = cu.gate_count GROUP BY ALL""")
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = designs(spark, sf_dir)
-    cut = d.join(F.broadcast(tiers.tier_thresholds(d, "gate_count", "circuit")), "gate_count")
+    cut = d.join(tiers.tier_thresholds(d, "gate_count", "circuit"), "gate_count")
     rules = {"family": family_valid(F.col("slots")), "variant": F.col("variant") != "P", "score": F.col("circuit") >= F.col("top_25"), "growth": F.col("growth") >= 300}
     return cohort.rejections(cut, rules, ["gate_count"])
 
@@ -101,7 +101,7 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(p AS INT) AS part, coalesce(n_top, 0) AS n_top, coalesce(n_bottom, 0) AS n_bottom, coalesce(n_top + n_bottom, 0) AS total FROM range(1, 26) r(p) LEFT JOIN c ON part = p""")
 def part_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = designs(spark, sf_dir)
-    cut = d.join(F.broadcast(tiers.tier_thresholds(d, "gate_count", "circuit")), "gate_count").where("circuit >= top_05 or circuit <= bot_05")
+    cut = d.join(tiers.tier_thresholds(d, "gate_count", "circuit"), "gate_count").where("circuit >= top_05 or circuit <= bot_05")
     each = cut.select(F.explode("slots").alias("part"), (F.col("circuit") >= F.col("top_05")).alias("top"), (F.col("circuit") <= F.col("bot_05")).alias("bottom"))
     n = each.groupBy("part").agg(F.count_if("top").alias("n_top"), F.count_if("bottom").alias("n_bottom"))
     out = spark.range(1, 26).select(F.col("id").cast("int").alias("part")).join(n, "part", "left").fillna(0)
@@ -148,7 +148,7 @@ FROM mt JOIN (SELECT gate_count, count(*) AS k FROM d GROUP BY gate_count) z ON
 def motif_presence_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = designs(spark, sf_dir).groupBy("gate_count").agg(F.count("*").alias("k"))
     own = _motifs(spark, sf_dir).groupBy("gate_count", "motif").agg(F.sum("n").alias("n"), F.count("*").alias("n_with"))
-    return own.join(F.broadcast(sizes), "gate_count").select("gate_count", "motif", "n", "n_with", F.round(F.col("n_with") / F.col("k"), 6).alias("rate"))
+    return own.join(sizes, "gate_count").select("gate_count", "motif", "n", "n_with", F.round(F.col("n_with") / F.col("k"), 6).alias("rate"))
 
 
 @query(f"""{_MOTIFS}, {_CUTS}, ti AS (SELECT design, d.gate_count, circuit >= top_10 AS is_top, circuit <= bot_10 AS is_bottom FROM d JOIN cu ON d.gate_count = cu.gate_count),
@@ -157,7 +157,7 @@ ow AS (SELECT ti.gate_count, motif, count(*) FILTER (is_top) AS top_with, count(
 SELECT ow.*, n_top, n_bottom, CASE WHEN top_with > 0 AND bottom_with > 0 THEN round(log2((top_with / n_top) / (bottom_with / n_bottom)), 6) END AS log_odds FROM ow JOIN sz ON ow.gate_count = sz.gate_count""")
 def motif_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = designs(spark, sf_dir)
-    cut = d.join(F.broadcast(tiers.tier_thresholds(d, "gate_count", "circuit")), "gate_count")
+    cut = d.join(tiers.tier_thresholds(d, "gate_count", "circuit"), "gate_count")
     tier = cut.select("design", "gate_count", (F.col("circuit") >= F.col("top_10")).alias("is_top"), (F.col("circuit") <= F.col("bot_10")).alias("is_bottom"))
     return motif.tier_log_odds(_motifs(spark, sf_dir).select("design", "motif"), tier, "design", ["gate_count"])
 

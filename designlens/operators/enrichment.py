@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from designlens.operators.ranks import quantiles
+
 
 def with_tails(designs: DataFrame, group: list[str], score: str, top: float = 0.95, bottom: float = 0.05) -> DataFrame:
     """``designs`` with ``is_top`` and ``is_bottom``: inclusive tails of each group by interpolated quantiles.
 
-    Thresholds are a grouped aggregate joined back, so no group is sorted in one task.
+    Thresholds are exact and come from ranges of scores, so no group is held or sorted in one task.
     """
-    cuts = designs.groupBy(*group).agg(F.percentile(score, F.lit(top)).alias("_top"), F.percentile(score, F.lit(bottom)).alias("_bottom"))
+    cuts = quantiles(designs, group, score, {"_top": top, "_bottom": bottom})
     out = designs.join(cuts, group)
     return out.withColumns({"is_top": F.col(score) >= F.col("_top"), "is_bottom": F.col(score) <= F.col("_bottom")})
 
@@ -32,7 +34,7 @@ def slot_tail_log_odds(designs: DataFrame, group: list[str], score: str, parts:
     t = with_tails(designs, group, score).where("is_top or is_bottom")
     long = t.select(*group, "is_top", "is_bottom", F.posexplode("slots").alias("slot", "part"))
     counts = long.groupBy(*group, "slot", "part").agg(F.count_if(F.col("is_top")).alias("n_top"), F.count_if(F.col("is_bottom")).alias("n_bottom"))
-    cells = designs.groupBy(*group).agg(F.max(F.size("slots")).alias("k")).select(*group, F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("slot")).join(F.broadcast(parts))
+    cells = designs.groupBy(*group).agg(F.max(F.size("slots")).alias("k")).select(*group, F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("slot")).crossJoin(parts)
     full = cells.join(counts, [*group, "slot", "part"], "left").fillna(0, ["n_top", "n_bottom"])
     return full.withColumn("log_odds", F.round(F.log((F.col("n_top") + 1) / (F.col("n_bottom") + 1)), 9))
 
@@ -53,11 +55,11 @@ def presence(designs: DataFrame, roles: DataFrame, score: str, parts: DataFrame,
     extra = extra or []
     t = with_tails(designs, ["topology"], score).where("is_top or is_bottom")
     by_role = roles.groupBy("group_no", "role").agg(F.sort_array(F.collect_list("slot")).alias("role_slots"))
-    inside = t.join(F.broadcast(by_role), "group_no")
+    inside = t.join(by_role, "group_no")
     own = F.array_distinct(F.transform(F.col("role_slots"), lambda i: F.element_at("slots", i + 1)))
     counts = inside.select(*extra, "role", "is_top", "is_bottom", F.explode(own).alias("part")).groupBy(*extra, "role", "part").agg(F.count_if(F.col("is_top")).alias("top_part"), F.count_if(F.col("is_bottom")).alias("bottom_part"))
     exposure = inside.groupBy(*extra, "role").agg(F.count_if(F.col("is_top")).alias("top_n"), F.count_if(F.col("is_bottom")).alias("bottom_n"), F.countDistinct("topology").alias("n_topologies"))
-    full = exposure.join(F.broadcast(parts)).join(counts, [*extra, "role", "part"], "left").fillna(0, ["top_part", "bottom_part"])
+    full = exposure.crossJoin(parts).join(counts, [*extra, "role", "part"], "left").fillna(0, ["top_part", "bottom_part"])
     stats = presence_statistics(F.col("top_part"), F.col("bottom_part"), F.col("top_n"), F.col("bottom_n"))
     return full.withColumns(stats).select(*extra, "role", "part", "top_part", "bottom_part", "top_n", "bottom_n", "n_topologies", *stats)
 

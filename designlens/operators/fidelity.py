@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from designlens.operators.ranks import average_rank, cumulative
+
 
 def r_squared(df: DataFrame, group: list[str], actual: str, predicted: str) -> DataFrame:
     """1 - residual / total sum of squares; null where the actual score is constant."""
@@ -15,13 +17,11 @@ def r_squared(df: DataFrame, group: list[str], actual: str, predicted: str) -> D
 def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks of ties; null where a score is constant.
 
-    Ranks come from counts of distinct values, which are far fewer than rows.
+    Ranks come from counts of distinct values in ranges, so no group is sorted in one task.
     """
 
     def ranked(c: str) -> DataFrame:
-        n = df.groupBy(*group, c).agg(F.count("*").alias("k"))
-        upto = F.sum("k").over(Window.partitionBy(*group).orderBy(c))
-        return n.select(*group, c, (upto - F.col("k") + (F.col("k") + 1) / 2).alias(f"rank_{c}"))
+        return cumulative(df, group, c).select(*group, c, average_rank(F.col("n"), F.col("before")).alias(f"rank_{c}"))
 
     both = df.join(ranked(x), [*group, x]).join(ranked(y), [*group, y])
     a, b = f"rank_{x}", f"rank_{y}"

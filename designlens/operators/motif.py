@@ -51,4 +51,4 @@ def tier_log_odds(counts: DataFrame, tiers: DataFrame, key: str, group: list[str
     own = counts.join(tiers.where("is_top or is_bottom"), key).groupBy(*group, "motif").agg(F.count_if("is_top").alias("top_with"), F.count_if("is_bottom").alias("bottom_with"))
     top, bottom = F.col("top_with") / F.col("n_top"), F.col("bottom_with") / F.col("n_bottom")
     odds = F.when((F.col("top_with") > 0) & (F.col("bottom_with") > 0), F.round(F.log2(top / bottom), 6))
-    return own.join(F.broadcast(size), group).select(*group, "motif", "top_with", "bottom_with", "n_top", "n_bottom", odds.alias("log_odds"))
+    return own.join(size, group).select(*group, "motif", "top_with", "bottom_with", "n_top", "n_bottom", odds.alias("log_odds"))

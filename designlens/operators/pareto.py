@@ -59,7 +59,7 @@ def envelope(front: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
 
 def best_per_target(designs: DataFrame, targets: DataFrame, score: str, key: str, n: int = 15) -> DataFrame:
     """The best design of each target, multi-target ones for all of theirs; the n best of those with their rank."""
-    each = designs.join(F.broadcast(targets), "group_no")
+    each = designs.join(targets, "group_no")
     best = each.groupBy("target").agg(F.max_by(F.struct("topology", key, score), F.struct(F.col(score), -F.col(key))).alias("b")).select("target", "b.*")
     rank = F.row_number().over(Window.orderBy(F.col(score).desc(), key, "target"))
     return best.orderBy(F.col(score).desc(), key, "target").limit(n).withColumn("rank", rank)
@@ -69,7 +69,7 @@ def portfolio(front: DataFrame, x: str, y: str, keys: list[str], n: int) -> Data
     """The ``n`` rows of the largest combined score, half from each score over its maximum, with their rank."""
     most = front.agg(F.max(x).alias("_x"), F.max(y).alias("_y"))
     combined = F.round(0.5 * F.col(x) / F.col("_x") + 0.5 * F.col(y) / F.col("_y"), 9)
-    # the one row of maxima has a bound of its own
-    scored = front.join(F.broadcast(most)).select(*keys, combined.alias("combined"))
+    # one row of maxima
+    scored = front.crossJoin(most).select(*keys, combined.alias("combined"))
     best = scored.orderBy(F.col("combined").desc(), keys[-1]).limit(n)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("combined").desc(), keys[-1])))

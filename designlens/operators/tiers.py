@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from designlens.operators.ranks import cumulative, quantiles
+
 TIERS = (1, 5, 10, 25)
 
 
@@ -27,25 +29,20 @@ def histogram_percentiles(hist: DataFrame, group: list[str], low: float, width:
 
 def tier_thresholds(designs: DataFrame, size: str, score: str) -> DataFrame:
     """Exact thresholds of the top and bottom tiers of each size class."""
-    cuts = [F.percentile(score, F.lit((100 - t) / 100)).alias(f"top_{t:02d}") for t in TIERS] + [F.percentile(score, F.lit(t / 100)).alias(f"bot_{t:02d}") for t in TIERS]
-    return designs.groupBy(size).agg(*cuts)
+    return quantiles(designs, [size], score, {f"top_{t:02d}": (100 - t) / 100 for t in TIERS} | {f"bot_{t:02d}": t / 100 for t in TIERS})
 
 
 def tier_counts(designs: DataFrame, size: str, group: str, score: str) -> DataFrame:
     """Designs of each group in each tier of its own size class."""
-    joined = designs.join(F.broadcast(tier_thresholds(designs, size, score)), size)
+    joined = designs.join(tier_thresholds(designs, size, score), size)
     top = [F.count_if(F.col(score) >= F.col(f"top_{t:02d}")).alias(f"n_top_{t:02d}") for t in TIERS]
     bottom = [F.count_if(F.col(score) <= F.col(f"bot_{t:02d}")).alias(f"n_bot_{t:02d}") for t in TIERS]
     return joined.groupBy(size, group).agg(F.count("*").alias("n_designs"), *top, *bottom)
 
 
 def percentile_sweep(designs: DataFrame, group: list[str], score: str, steps: int) -> DataFrame:
-    """group, percent, value: the least score that percent of the rows do not exceed, at ``steps`` + 1 even anchors.
-
-    Works on the counts of distinct scores, which are summed before they meet.
-    """
-    counts = designs.groupBy(*group, F.col(score).alias("value")).agg(F.count("*").alias("n"))
-    upto = counts.withColumns({"upto": F.sum("n").over(Window.partitionBy(*group).orderBy("value")), "total": F.sum("n").over(Window.partitionBy(*group))})
+    """group, percent, value: the least score that percent of the rows do not exceed, at ``steps`` + 1 even anchors."""
+    upto = cumulative(designs, group, score).withColumnRenamed(score, "value").withColumn("upto", F.col("before") + F.col("n"))
     # anchor a asks for the row of rank max(1, ceil(a * total / steps)): those whose rank falls among a value's own rows
     first = F.when(F.col("upto") == F.col("n"), F.lit(0)).otherwise(F.expr(f"(upto - n) * {steps} div total") + 1)
     last = F.expr(f"upto * {steps} div total")
@@ -56,8 +53,11 @@ def percentile_sweep(designs: DataFrame, group: list[str], score: str, steps: in
 
 def percentile_rank(rows: DataFrame, sweep: DataFrame, group: list[str], key: str, score: str, steps: int) -> DataFrame:
     """The percentile of each row's score in the sweep of its group, linear between anchors, 0 below and 100 above all."""
-    met = rows.join(F.broadcast(sweep), group)
-    reached = F.col("value") <= F.col(score)
-    at = met.groupBy(key, score).agg(F.max(F.when(reached, F.col("percent"))).alias("lo"), F.max(F.when(reached, F.col("value"))).alias("vlo"), F.min(F.when(~reached, F.col("value"))).alias("vhi"))
+    # the anchors of a group, steps + 1 of them, in one array: a row meets its group once
+    anchors = sweep.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("value", "percent"))).alias("anchors"))
+    reached = F.filter("anchors", lambda a: a["value"] <= F.col(score))
+    beyond = F.filter("anchors", lambda a: a["value"] > F.col(score))
+    last = F.get(reached, F.size(reached) - 1)
+    at = rows.join(anchors, group).select(key, score, F.array_max(F.transform(reached, lambda a: a["percent"])).alias("lo"), last["value"].alias("vlo"), F.get(beyond, F.lit(0))["value"].alias("vhi"))
     between = F.col("lo") + F.lit(100.0 / steps) * (F.col(score) - F.col("vlo")) / (F.col("vhi") - F.col("vlo"))
     return at.select(key, score, F.round(F.when(F.col("lo").isNull(), 0.0).when(F.col("vhi").isNull(), 100.0).otherwise(between), 6).alias("percent"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from designlens.operators.ranks import quantiles
+
 
 def score_summary(designs: DataFrame, group: list[str], score: str) -> DataFrame:
-    return designs.groupBy(*group).agg(
-        F.count("*").alias("n"), F.min(score).alias("min"), F.max(score).alias("max"), F.round(F.avg(score), 6).alias("mean"), F.median(score).alias("median"), F.round(F.stddev_pop(score), 4).alias("sd_pop")
-    )
+    plain = designs.groupBy(*group).agg(F.count("*").alias("n"), F.min(score).alias("min"), F.max(score).alias("max"), F.round(F.avg(score), 6).alias("mean"), F.round(F.stddev_pop(score), 4).alias("sd_pop"))
+    return plain.join(quantiles(designs, group, score, {"median": 0.5}), group)
 
 
 def _moments(designs: DataFrame, group: list[str], score: str) -> DataFrame:

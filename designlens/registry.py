@@ -67,7 +67,7 @@ def presence_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def presence_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     # tails are a topology's own: they are cut before its designs count for each target
     tails = designs(spark, sf_dir)
-    both = enrichment.presence(tails.join(F.broadcast(targets(spark).groupBy("group_no").agg(F.collect_list("target").alias("targets"))), "group_no"), slot_roles(spark), "circuit", _parts(spark), ["targets"])
+    both = enrichment.presence(tails.join(targets(spark).groupBy("group_no").agg(F.collect_list("target").alias("targets")), "group_no"), slot_roles(spark), "circuit", _parts(spark), ["targets"])
     each = both.select("role", "part", "top_part", "bottom_part", "top_n", "bottom_n", "n_topologies", F.explode("targets").alias("target"))
     summed = each.groupBy("target", "role", "part").agg(*[F.sum(c).alias(c) for c in ("top_part", "bottom_part", "top_n", "bottom_n", "n_topologies")])
     return summed.withColumns(enrichment.presence_statistics(*[F.col(c) for c in ("top_part", "bottom_part", "top_n", "bottom_n")]))
@@ -213,7 +213,7 @@ def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = designs(spark, sf_dir).select("topology", "design", "circuit", "slots")
     long = d.select("topology", "design", "circuit", F.explode("slots").alias("part"))
     means = long.groupBy("part").agg(F.expr("sum(circuit) div count(*)").alias("mean"))
-    return long.join(F.broadcast(means), "part").groupBy("topology", "design", "circuit").agg(F.sum("mean").alias("predicted"))
+    return long.join(means, "part").groupBy("topology", "design", "circuit").agg(F.sum("mean").alias("predicted"))
 
 
 @query(f"{SQL}, {_PRED} SELECT topology, round(1 - sum((CAST(circuit AS DOUBLE) - predicted) ** 2) / (var_pop(circuit) * count(*)), 6) AS r2 FROM pd GROUP BY topology")

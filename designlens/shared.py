@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``.
 
-    Where that setting is missing (tests on one machine) a temporary folder is
-    made and set for the session.
+    Where that setting is missing on one machine (tests, a local master) a
+    temporary folder is made and set for the session; on a cluster it is needed.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/designlens/{name}-{uuid.uuid4().hex[:12]}"
