@@ -64,6 +64,23 @@ def presence(designs: DataFrame, roles: DataFrame, score: str, parts: DataFrame,
     return full.withColumns(stats).select(*extra, "role", "part", "top_part", "bottom_part", "top_n", "bottom_n", "n_topologies", *stats)
 
 
+def occurrence(designs: DataFrame, roles: DataFrame, score: str, parts: DataFrame, sources: DataFrame | None = None, source: str | None = None) -> DataFrame:
+    """Occurrences of every part in each role, by position: a part in two slots of a role counts twice; log2 odds of the tails.
+
+    With ``sources`` (group_no, ``source``) a design counts once for each of its sources.
+    """
+    extra = [source] if source else []
+    t = with_tails(designs, ["topology"], score).where("is_top or is_bottom").select("topology", "group_no", "is_top", "is_bottom", F.posexplode("slots").alias("slot", "part"))
+    inside = t.join(roles, ["group_no", "slot"])
+    # sums by topology are small before they are copied to its sources
+    sums = inside.groupBy("topology", "group_no", "role", "part").agg(F.count_if("is_top").alias("top_n"), F.count_if("is_bottom").alias("bottom_n"))
+    sums = sums.join(sources, "group_no") if sources is not None else sums
+    counts = sums.groupBy(*extra, "role", "part").agg(F.sum("top_n").alias("top_n"), F.sum("bottom_n").alias("bottom_n"))
+    contexts = sums.groupBy(*extra, "role").agg(F.count_distinct("topology").alias("n_topologies"))
+    full = contexts.crossJoin(parts).join(counts, [*extra, "role", "part"], "left").fillna(0, ["top_n", "bottom_n"])
+    return full.select(*extra, "role", "part", "top_n", "bottom_n", "n_topologies", F.round(F.log2((F.col("top_n") + 1) / (F.col("bottom_n") + 1)), 9).alias("log_odds"))
+
+
 def top_rules(table: DataFrame, k: int, effect: str = "log2_ratio", min_topologies: int = 2, min_support: int = 5) -> DataFrame:
     """The k strongest effects with enough support, in a total order, with their direction."""
     enough = table.where((F.col("n_topologies") >= min_topologies) & (F.col("top_part") + F.col("bottom_part") >= min_support))
