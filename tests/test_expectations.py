@@ -21,7 +21,7 @@ def test_bad_counts_are_rejected(spark):
     rules = expectations.count_rules(["top_part"], ["top_n"])
     rows = [(5, 10), (-1, 10), (11, 10), (0, 0), (1, 1 << 54)]
     found = {r.rule: r.violations for r in expectations.report(spark.createDataFrame(rows, "top_part long, top_n long"), rules).collect()}
-    assert found == {"top_part_is_count": 1, "top_n_is_count": 1, "top_n_positive": 1, "top_part_within_top_n": 2}
+    assert found == {"top_part_is_count": 1, "top_n_is_count": 1, "top_n_positive": 1, "top_part_within_top_n": 1}
 
 
 def test_nothing_is_written_of_a_partial_table(spark, tmp_path):
