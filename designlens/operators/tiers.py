@@ -40,6 +40,14 @@ def tier_counts(designs: DataFrame, size: str, group: str, score: str) -> DataFr
     return joined.groupBy(size, group).agg(F.count("*").alias("n_designs"), *top, *bottom)
 
 
+def tier_shares(designs: DataFrame, size: str, score: str) -> DataFrame:
+    """The share of each size class in each of its top tiers, against the nominal one."""
+    joined = designs.join(tier_thresholds(designs, size, score), size)
+    counts = joined.groupBy(size).agg(F.count("*").alias("all"), *[F.count_if(F.col(score) >= F.col(f"top_{t:02d}")).alias(f"n_{t:02d}") for t in TIERS])
+    each = F.explode(F.array(*[F.struct(F.lit(f"{t:02d}").alias("tier"), F.col(f"n_{t:02d}").alias("n"), F.lit(t / 100).alias("nominal")) for t in TIERS]))
+    return counts.select(size, "all", each.alias("t")).select(size, "t.tier", "t.n", F.round(F.col("t.n") / F.col("all"), 6).alias("share"), F.round("t.nominal", 6).alias("nominal"))
+
+
 def percentile_sweep(designs: DataFrame, group: list[str], score: str, steps: int) -> DataFrame:
     """group, percent, value: the least score that percent of the rows do not exceed, at ``steps`` + 1 even anchors."""
     upto = cumulative(designs, group, score).withColumnRenamed(score, "value").withColumn("upto", F.col("before") + F.col("n"))
