@@ -28,10 +28,10 @@ def swaps(designs: DataFrame, key: str, scorer: Scorer, parts: int = 25, familie
     return each.select(key, "slot", "part", F.transform(allowed_parts(F.col("slots"), F.col("slot"), parts, families), change).alias("swaps"))
 
 
-def replacement_contrast(swapped: DataFrame, key: str) -> DataFrame:
-    """phi of each slot: the score less its mean over all allowed parts, the present one included; null if none is allowed."""
+def replacement_contrast(swapped: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """phi of each slot: the score less its mean over all allowed parts, the present one included; null if none is allowed. ``keep``: further columns."""
     total = F.aggregate("swaps", F.lit(0).cast("bigint"), lambda a, s: a + s["delta"])
-    return swapped.select(key, "slot", F.round(-total / F.nullif(F.size("swaps"), F.lit(0)), 6).alias("phi"))
+    return swapped.select(key, "slot", *keep, F.round(-total / F.nullif(F.size("swaps"), F.lit(0)), 6).alias("phi"))
 
 
 def top_swaps(swapped: DataFrame, key: str, n: int) -> DataFrame:
@@ -42,8 +42,8 @@ def top_swaps(swapped: DataFrame, key: str, n: int) -> DataFrame:
     return out.select(key, "slot", (F.col("at") + 1).alias("rank"), F.col("s.to").alias("to_part"), F.col("s.delta").alias("delta"))
 
 
-def fractions(contrast: DataFrame, key: str) -> DataFrame:
+def fractions(contrast: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """phi over the sum of its absolute values in the design; 0 where all are 0."""
     total = contrast.groupBy(key).agg(F.sum(F.abs("phi")).alias("total"))
     share = F.when(F.col("total") > 0, F.round(F.col("phi") / F.col("total"), 6)).otherwise(0.0)
-    return contrast.join(total, key).select(key, "slot", share.alias("fraction"))
+    return contrast.join(total, key).select(key, "slot", *keep, share.alias("fraction"))

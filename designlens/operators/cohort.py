@@ -51,3 +51,10 @@ def rejections(rows: DataFrame, rules: dict[str, Column], group: list[str]) -> D
     for name, passes in reversed(rules.items()):
         reason = F.when(F.coalesce(passes, F.lit(False)), reason).otherwise(name)
     return rows.groupBy(*group, reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def with_any_source(rows: DataFrame, sources: str, wanted: list[str]) -> DataFrame:
+    """Rows whose array of sources holds any of the wanted ones, whatever the case; all rows if none is wanted."""
+    if not wanted:
+        return rows
+    return rows.where(F.arrays_overlap(F.transform(sources, F.lower), F.array(*[F.lit(w.lower()) for w in wanted])))

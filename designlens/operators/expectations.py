@@ -86,3 +86,15 @@ def flagged(rows: DataFrame, known: DataFrame, keys: list[str], name: str) -> Da
 def union_all(tables: list[DataFrame]) -> DataFrame:
     """Shards of one table; columns that some lack are null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def many_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the columns of the one row of ``right`` with its keys; the job fails on keys that ``right`` repeats or lacks.
+
+    The failing tests are part of the plan: nothing is counted beforehand.
+    """
+    others = [c for c in right.columns if c not in keys]
+    once = right.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in others])
+    met = left.join(once, keys, "left")
+    problem = F.when(F.col("_n").isNull(), F.raise_error(F.concat(F.lit("no row for "), F.to_json(F.struct(*keys))))).when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated rows for "), F.to_json(F.struct(*keys)))))
+    return met.where(problem.cast("string").isNull()).drop("_n")

@@ -64,9 +64,19 @@ def graph_sizes(nodes: DataFrame, keep: list[str]) -> DataFrame:
     return nodes.groupBy(*keep).agg(F.count("*").alias("n_nodes"), F.sum("n_in").alias("n_edges"), F.count_if(F.col("type").isin("NOT", "NOR")).alias("energy"))
 
 
+def node_types(nodes: Column, edge: Edge) -> Column:
+    """The type of each node."""
+    return F.transform(_places(nodes), lambda i: node_type(F.size(before(nodes, i, edge)), F.size(after(nodes, i, edge))))
+
+
+def edge_list(nodes: Column, edge: Edge) -> Column:
+    """The edges as structs of places, which count from 0."""
+    return F.flatten(F.transform(_places(nodes), lambda i: F.transform(after(nodes, i, edge), lambda j: F.struct(i.alias("source"), j.alias("target")))))
+
+
 def structural_hash(nodes: Column, edge: Edge, rounds: int) -> Column:
     """A hash that graphs of the same shape share: labels refined ``rounds`` times by those of the neighbours, then sorted."""
-    label = F.transform(_places(nodes), lambda i: node_type(F.size(before(nodes, i, edge)), F.size(after(nodes, i, edge))))
+    label = node_types(nodes, edge)
     joined = lambda labels, places: F.array_join(F.array_sort(F.transform(places, lambda j: F.get(labels, j))), ",")
     refine = lambda labels: F.transform(_places(nodes), lambda i: F.sha2(F.concat_ws("|", F.get(labels, i), joined(labels, before(nodes, i, edge)), joined(labels, after(nodes, i, edge))), 256))
     final = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), label, lambda labels, _: refine(labels))
