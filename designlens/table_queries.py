@@ -11,9 +11,9 @@ from designlens.analysis_queries import _COALITIONS, _occurrence_sql, occurrence
 from designlens.design_queries import _GRAPHS, _SWAPS, _edge, _graphs, _swaps
 from designlens.functions import adjacency, slots, truth
 from designlens.graph_queries import _NODES, _motif_sql, motif_counts_k4
-from designlens.operators import attribution, cohort, expectations, graphs, grids
+from designlens.operators import attribution, cohort, expectations, graphs, grids, ridge
 from designlens.operators.ranks import quantiles
-from designlens.registry import _presence_sql, presence_enrichment, query
+from designlens.registry import QUERIES, _presence_sql, presence_enrichment, query
 from designlens.sources.designs import SQL, designs, targets
 
 PLACES = ["early", "middle", "late", "end"]
@@ -188,3 +188,12 @@ def score_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = designs(spark, sf_dir)
     rest = d.groupBy("topology").agg(F.count("*").alias("n"), F.round(F.avg("circuit"), 2).alias("mean"), F.min("circuit").alias("min"), F.max("circuit").alias("max"), F.round(F.stddev_samp("circuit"), 2).alias("sd"))
     return rest.join(quantiles(d, ["topology"], "circuit", {"median": 0.5}).select("topology", F.round("median", 2).alias("median")), "topology")
+
+
+def additive_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five largest and five least effects of parts in slots on growth, by topology; a fit has no SQL."""
+    rows = designs(spark, sf_dir).select("topology", slots.feature_ids(F.col("slots"), 25).alias("ones"), "growth")
+    return ridge.extremes(ridge.ridge(rows, ["topology"], "ones", "growth"), ["topology"], 5)
+
+
+QUERIES["additive_fit"] = additive_fit
