@@ -357,7 +357,7 @@ def _long(rows: DataFrame) -> DataFrame:
     The audit of a conversation is one value, and so is the hash of its text: that last stream has one task for a
     conversation, which holds its audit and one row at a time. Everything before is dealt by chunks.
     """
-    spread = rows.withColumn("conv", _key()).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "_copy")
+    spread = rows.where("copies > 0").withColumn("conv", _key()).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "_copy")
     turns = placed(spread, "conv", ["turn", "role", F.substring("text", 1, 32)], ["turn", "role", "text"], "repair-rows").drop("total")
     same = F.sha2("text", 256)
     body = F.rtrim("text", F.lit(SPACES))

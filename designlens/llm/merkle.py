@@ -30,7 +30,6 @@ from designlens.shared import materialize
 FAN = 8
 #: Levels of a block: it holds FAN ** DEPTH nodes at most.
 DEPTH = 3
-BLOCK = FAN**DEPTH
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _PATH = "array<struct<left: string, right: string>>"
@@ -55,10 +54,10 @@ def leaf(*values: Column) -> Column:
 # --- one block
 
 
-def levels(nodes: list[str], total: int) -> list[list[str]]:
-    """A block's levels from ``nodes`` up: while the whole layer (of ``total`` nodes) has several, at most ``DEPTH`` times."""
+def levels(nodes: list[str], total: int, depth: int = DEPTH) -> list[list[str]]:
+    """A block's levels from ``nodes`` up: while the whole layer (of ``total`` nodes) has several, at most ``depth`` times."""
     out = [nodes]
-    while total > 1 and len(out) <= DEPTH:
+    while total > 1 and len(out) <= depth:
         nodes = [digest("".join(nodes[i : i + FAN])) for i in range(0, len(nodes), FAN)]
         total = -(-total // FAN)
         out.append(nodes)
@@ -87,15 +86,15 @@ def copied(node: str, steps: list[tuple[str, str]]) -> list[str]:
 # --- layers of blocks
 
 
-def _blocks(nodes: DataFrame, group: str, payload: list[str], name: str) -> DataFrame:
+def _blocks(nodes: DataFrame, group: str, payload: list[str], name: str, depth: int) -> DataFrame:
     """``group``, block, total, nodes (at, node, ``payload``; in order) and root of each aligned block of ``nodes``."""
-    member = F.struct((F.col("place") % BLOCK).cast("int").alias("at"), "node", *payload)
-    grouped = nodes.groupBy(group, F.floor(F.col("place") / BLOCK).alias("block")).agg(F.max("total").alias("total"), F.sort_array(F.collect_list(member)).alias("nodes"))
+    member = F.struct((F.col("place") % FAN**depth).cast("int").alias("at"), "node", *payload)
+    grouped = nodes.groupBy(group, F.floor(F.col("place") / FAN**depth).alias("block")).agg(F.max("total").alias("total"), F.sort_array(F.collect_list(member)).alias("nodes"))
 
     def run(batches):
         for batch in batches:
             roots = [
-                levels([x["node"] for x in nodes], total)[-1][0]
+                levels([x["node"] for x in nodes], total, depth)[-1][0]
                 for nodes, total in zip(batch.column("nodes").to_pylist(), batch.column("total").to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.string())], [*batch.schema.names, "root"])
@@ -103,7 +102,7 @@ def _blocks(nodes: DataFrame, group: str, payload: list[str], name: str) -> Data
     return materialize(arrow_map(grouped, run, StructType([*grouped.schema.fields, StructField("root", StringType())])), name)
 
 
-def _descend(blocks: DataFrame, above: DataFrame, group: str, payload: list[str]) -> DataFrame:
+def _descend(blocks: DataFrame, above: DataFrame, group: str, payload: list[str], depth: int) -> DataFrame:
     """``group``, block (the node's place), ``payload`` and path of each node of ``blocks``; ``above`` has the paths of the blocks."""
     rows = blocks.join(above, [group, "block"])
     kinds = {f.name: f.dataType for f in blocks.schema["nodes"].dataType.elementType.fields}
@@ -114,34 +113,34 @@ def _descend(blocks: DataFrame, above: DataFrame, group: str, payload: list[str]
             out = []
             for row in batch.select([group, "block", "total", "nodes", "path"]).to_pylist():
                 upper = [(s["left"], s["right"]) for s in row["path"]]
-                base = levels([x["node"] for x in row["nodes"]], row["total"])
+                base = levels([x["node"] for x in row["nodes"]], row["total"], depth)
                 for x in row["nodes"]:
                     steps = [{"left": a, "right": b} for a, b in path(base, x["at"]) + upper]
-                    out.append({group: row[group], "block": row["block"] * BLOCK + x["at"], "path": steps} | {p: x[p] for p in payload})
+                    out.append({group: row[group], "block": row["block"] * FAN**depth + x["at"], "path": steps} | {p: x[p] for p in payload})
             yield pa.RecordBatch.from_pylist(out, pa.schema([(group, batch.schema.field(group).type), ("block", pa.int64()), *[(p, batch.schema.field("nodes").type.value_type.field(p).type) for p in payload], ("path", _PATH_TYPE)]))
 
     return arrow_map(rows, run, ", ".join([f"{group} {key.simpleString()}", "block bigint", *[f"{p} {kinds[p].simpleString()}" for p in payload], f"path {_PATH}"]))
 
 
-def _fold(leaves: DataFrame, group: str, payload: list[str], name: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def _fold(leaves: DataFrame, group: str, payload: list[str], name: str, depth: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """The blocks of placed ``leaves``, the top node of each group (``group``, root), and the layers of blocks above."""
-    first = _blocks(leaves, group, payload, f"{name}-blocks")
+    first = _blocks(leaves, group, payload, f"{name}-blocks", depth)
     below, above = first, []
     while True:
-        count = F.ceil(F.col("total") / BLOCK)
+        count = F.ceil(F.col("total") / FAN**depth)
         if not below.where(count > 1).head(1):
             break
         nodes = below.select(group, F.col("block").alias("place"), count.alias("total"), F.col("root").alias("node"))
-        below = _blocks(nodes, group, [], f"{name}-layer")
+        below = _blocks(nodes, group, [], f"{name}-layer", depth)
         above.append(below)
     return first, below.select(group, "root"), above
 
 
-def _paths(tops: DataFrame, above: list[DataFrame], group: str) -> DataFrame:
+def _paths(tops: DataFrame, above: list[DataFrame], group: str, depth: int) -> DataFrame:
     """``group``, block, path of each first block; ``tops`` (``group``, path) has the steps above each group's top node."""
     paths = tops.select(group, F.lit(0).cast("bigint").alias("block"), "path")
     for layer in reversed(above):
-        paths = _descend(layer, paths, group, [])
+        paths = _descend(layer, paths, group, [], depth)
     return paths
 
 
@@ -151,9 +150,10 @@ class Manifest:
 
     blocks: DataFrame  # _group, block, total, nodes (at, node, key, changed), root
     above: DataFrame  # _group, block, path, subroot, top
+    depth: int
 
 
-def build(leaves: DataFrame) -> Manifest:
+def build(leaves: DataFrame, depth: int = DEPTH) -> Manifest:
     """The manifest of ``leaves``: ``part`` (string, may be null), ``key``, ``node`` (hash of the row) and ``changed``.
 
     ``changed`` is the hash of the row as it is found now, null where it was not
@@ -164,15 +164,15 @@ def build(leaves: DataFrame) -> Manifest:
     group = F.coalesce(F.concat(F.lit("="), "part"), F.lit(""))
     rows = materialize(leaves.select(group.alias("_group"), "key", "node", "changed"), "merkle-leaves")
     ordered = placed(rows, "_group", ["key", "node"], ["key", "node"], "merkle-placed")
-    blocks, tops, above = _fold(ordered, "_group", ["key", "changed"], "merkle")
+    blocks, tops, above = _fold(ordered, "_group", ["key", "changed"], "merkle", depth)
     # the subroots are the leaves of one more tree
     upper = tops.select(F.lit("").alias("_all"), F.col("_group").alias("part"), F.col("root").alias("node"))
-    parts, root, over = _fold(placed(upper, "_all", ["part"], ["part"], "merkle-parts"), "_all", ["part"], "merkle-parts")
+    parts, root, over = _fold(placed(upper, "_all", ["part"], ["part"], "merkle-parts"), "_all", ["part"], "merkle-parts", depth)
     empty = F.array().cast(_PATH)
-    steps = _descend(parts, _paths(root.select("_all", empty.alias("path")), over, "_all"), "_all", ["part"])
+    steps = _descend(parts, _paths(root.select("_all", empty.alias("path")), over, "_all", depth), "_all", ["part"], depth)
     steps = steps.join(root.withColumnRenamed("root", "top"), "_all").select(F.col("part").alias("_group"), "path", "top")
     steps = materialize(steps.join(tops.withColumnRenamed("root", "subroot"), "_group"), "merkle-roots")
-    return Manifest(blocks, materialize(_paths(steps, above, "_group").join(steps.drop("path"), "_group"), "merkle-paths"))
+    return Manifest(blocks, materialize(_paths(steps, above, "_group", depth).join(steps.drop("path"), "_group"), "merkle-paths"), depth)
 
 
 def proofs(manifest: Manifest, full: bool = True) -> DataFrame:
@@ -183,6 +183,7 @@ def proofs(manifest: Manifest, full: bool = True) -> DataFrame:
     tampered with), from the leaf to the root. folded_root is that version's
     root, or the root folded from the leaf itself.
     """
+    depth = manifest.depth
     rows = manifest.blocks.select("_group", "block", "total", "nodes").join(manifest.above, ["_group", "block"])
     key = manifest.blocks.schema["nodes"].dataType.elementType["key"].dataType
     schema = f"key {key.simpleString()}, node string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
@@ -194,7 +195,7 @@ def proofs(manifest: Manifest, full: bool = True) -> DataFrame:
                 out = {c: [] for c in ("key", "node", "subroot", "root", "proof_sha256", "folded_root", "verified", "siblings", "copied")}
                 upper = [(s["left"], s["right"]) for s in row["path"]]
                 upper_text = "".join(a + b for a, b in upper)
-                base = levels([x["node"] for x in row["nodes"]], row["total"])
+                base = levels([x["node"] for x in row["nodes"]], row["total"], depth)
                 for x in row["nodes"]:
                     steps = path(base, x["at"])
                     text = "".join(a + b for a, b in steps) + upper_text

@@ -120,9 +120,11 @@ class Cells:
     def bounds(self, to_pivots: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """The highest score that each query (rows) may reach in each cell (columns)."""
         d = to_pivots[:, self.pivot]
-        gap = np.maximum(np.maximum(self.lo - d, d - self.hi), 0)
-        both = norms[:, None] + self.norm
-        return (both - gap * gap) / 2 + SLACK * both + 1
+        with np.errstate(all="ignore"):  # beyond the range of a double nothing is bounded
+            gap = np.maximum(np.maximum(self.lo - d, d - self.hi), 0)
+            both = norms[:, None] + self.norm
+            out = (both - gap * gap) / 2 + SLACK * both + 1
+        return np.where(np.isfinite(out), out, np.inf)
 
 
 class Best:
@@ -308,6 +310,8 @@ def search(index: Index) -> DataFrame:
             for b in batch.to_pylist():
                 home = np.array(b["home"])
                 other = np.flatnonzero(home != b["shard"])
+                if not len(other):
+                    continue
                 q = _unpack(b["vecs"], len(home), dim).astype(np.float64)[other]
                 ids = np.frombuffer(b["ids"], "<i8")
                 best = Best(k, np.array(b["least"])[other])
