@@ -1,4 +1,4 @@
-"""Roles of nodes and structure of many small graphs at once: a row for each graph, its nodes in an array, edges from earlier to later nodes."""
+"""Roles of nodes and structure of many small graphs at once: a row for each graph, its nodes in an array, edges from earlier to later nodes; ``edge_tables`` makes such rows of any tables of nodes and edges."""
 
 from __future__ import annotations
 
@@ -103,18 +103,37 @@ def iso_table(spark: SparkSession, k: int) -> DataFrame:
     return spark.createDataFrame(sorted(iso_classes(k).items()), "raw string, motif string")
 
 
+def connected_sets(graphs: DataFrame, keep: list[str], nodes: str, edge: Edge, k: int, also: list[str] | None = None) -> DataFrame:
+    """``keep``, ``also``, own (places, ascending), raw (edge bits of its pairs): every connected set of k nodes, once.
+
+    A set grows from its first node: of the neighbours that are open to it one joins, those before that one are shut
+    out, and the new node opens those of its neighbours that no member has touched. Only connected sets are made, and
+    no row leaves its task.
+    """
+    x, also = F.col(nodes), also or []
+    succ = F.transform(_places(x), lambda i: after(x, i, edge))
+    rows = graphs.select(*keep, *also, succ.alias("_succ"))
+    both = F.transform("_succ", lambda own, i: F.concat(F.filter(_places(F.col("_succ")), lambda j: F.array_contains(F.get("_succ", j), i)), own))
+    rows = rows.withColumn("_near", both).select("*", F.explode(_places(F.col("_succ"))).alias("_root"))
+    near = F.get("_near", F.col("_root"))
+    rows = rows.select("*", F.array("_root").alias("own"), F.filter(near, lambda u: u > F.col("_root")).alias("_open"), F.array_append(near, F.col("_root")).alias("_seen"))
+    for _ in range(k - 1):
+        rows = rows.select("*", F.posexplode("_open").alias("_at", "_new"))
+        near = F.get("_near", F.col("_new"))
+        fresh = F.filter(near, lambda u: (u > F.col("_root")) & ~F.array_contains("_seen", u))
+        open_ = F.concat(F.slice("_open", F.col("_at") + 2, F.size("_open")), fresh)
+        rows = rows.select(*keep, *also, "_succ", "_near", "_root", F.array_append("own", F.col("_new")).alias("own"), open_.alias("_open"), F.array_union("_seen", near).alias("_seen"))
+    rows = rows.select(*keep, *also, "_succ", F.array_sort("own").alias("own"))
+    bit = lambda a, b: F.when(F.array_contains(F.get("_succ", F.get("own", F.lit(a))), F.get("own", F.lit(b))), "1").otherwise("0")
+    return rows.select(*keep, *also, "own", F.concat(*[bit(a, b) for a, b in combinations(range(k), 2)]).alias("raw"))
+
+
 def motif_counts(graphs: DataFrame, keep: list[str], nodes: str, edge: Edge, k: int) -> DataFrame:
     """``keep``, motif, n, n_raw (patterns of the class that occur): connected induced subgraphs of k nodes, by graph.
 
-    Subsets are made inside the row; patterns are counted before they meet their class.
+    Patterns are counted before they meet their class.
     """
-    x = F.col(nodes)
-    masks = F.filter(F.sequence(F.lit(0), F.pow(F.lit(2), F.size(x)).cast("int") - 1), lambda m: F.bit_count(m) == k)
-    sets = graphs.select(*keep, x.alias("nodes"), F.explode(masks).alias("mask"))
-    own = F.filter("nodes", lambda _, i: F.floor(F.col("mask") / F.pow(F.lit(2), i)) % 2 == 1)
-    sets = sets.select(*keep, own.alias("own"))
-    bit = lambda a, b: F.when(edge(F.get("own", F.lit(a)), F.get("own", F.lit(b))), "1").otherwise("0")
-    raw = sets.select(*keep, F.concat(*[bit(a, b) for a, b in combinations(range(k), 2)]).alias("raw")).groupBy(*keep, "raw").agg(F.count("*").alias("n"))
+    raw = connected_sets(graphs, keep, nodes, edge, k).groupBy(*keep, "raw").agg(F.count("*").alias("n"))
     return raw.join(iso_table(graphs.sparkSession, k), "raw").groupBy(*keep, "motif").agg(F.sum("n").alias("n"), F.count("*").alias("n_raw"))
 
 

@@ -7,7 +7,7 @@ from itertools import combinations, permutations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from designlens.operators.graphs import iso_classes
+from designlens.operators.graphs import connected_sets, iso_classes
 from designlens.operators.motif import Edge
 
 
@@ -31,15 +31,10 @@ def typed_motifs(graphs: DataFrame, keep: list[str], nodes: str, types: str, edg
     """``keep``, motif, typed, n: connected induced subgraphs of k nodes by class and by the types of their nodes.
 
     Types stand in the order of the class's adjacency string; of several such orders the one with the least text counts.
-    Subsets are made inside the row and counted by pattern before they meet their class.
+    Sets are made inside the row and counted by pattern before they meet their class.
     """
-    masks = F.filter(F.sequence(F.lit(0), F.pow(F.lit(2), F.size(nodes)).cast("int") - 1), lambda m: F.bit_count(m) == k)
-    sets = graphs.select(*keep, F.arrays_zip(F.col(nodes).alias("node"), F.col(types).alias("type")).alias("zipped"), F.explode(masks).alias("mask"))
-    own = F.filter("zipped", lambda _, i: F.getbit(F.col("mask"), i) == 1)
-    sets = sets.select(*keep, own.alias("own"))
-    node = lambda i: F.get("own", F.lit(i))["node"]
-    bit = lambda a, b: F.when(edge(node(a), node(b)), "1").otherwise("0")
-    raw = sets.select(*keep, F.concat(*[bit(a, b) for a, b in combinations(range(k), 2)]).alias("raw"), F.transform("own", lambda x: x["type"]).alias("types"))
+    sets = connected_sets(graphs.withColumn("_types", F.col(types)), keep, nodes, edge, k, ["_types"])
+    raw = sets.select(*keep, "raw", F.transform("own", lambda i: F.get("_types", i)).alias("types"))
     counted = raw.groupBy(*keep, "raw", "types").agg(F.count("*").alias("n")).join(order_table(graphs.sparkSession, k), "raw")
     text = F.array_min(F.transform("orders", lambda o: F.array_join(F.transform(o, lambda i: F.get("types", i)), ",")))
     return counted.groupBy(*keep, "motif", text.alias("typed")).agg(F.sum("n").alias("n"))
