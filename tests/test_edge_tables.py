@@ -85,7 +85,7 @@ def test_connected_sets_of_larger_graphs(spark, n, k):
         expected.setdefault(classes[raw], []).append(raw)
     counts = graphs.motif_counts(row, ["graph"], "nodes", edge_tables.linked, k).collect()
     assert {(r.motif, r.n, r.n_raw) for r in counts} == {(m, len(raws), len(set(raws))) for m, raws in expected.items()}
-    assert any(r.n_raw > 1 for r in counts)
+    assert k < 4 or any(r.n_raw > 1 for r in counts)  # three nodes in topological order have one pattern a class
 
 
 def test_relabelled_graphs_share_hash_and_roles(spark):
