@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from math import factorial
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from designlens.operators.attribution import Scorer
@@ -23,11 +23,18 @@ def completion_pool(designs: DataFrame, group: list[str], key: str, n: int) -> D
     return distinct.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("r") <= n).select(*group, F.col("slots").alias("pool_slots"))
 
 
-def hybrids(anchors: DataFrame, pool: DataFrame, group: list[str], key: str, families: int) -> DataFrame:
-    """``key``, n, mask, mixed (slots kept by the mask, the others from the pool), safe: every coalition with every row of the pool."""
+def hybrids(anchors: DataFrame, pool: DataFrame, group: list[str], key: str, families: int, masks: DataFrame | None = None) -> DataFrame:
+    """``key``, n, mask, mixed (slots kept by the mask, the others from the pool), safe: every coalition with every row of the pool.
+
+    With ``masks`` (n, mask) only those coalitions are made; without, all 2^n of them.
+    """
     met = anchors.select(*group, key, "slots").join(pool, group)
     n = F.size("slots")
-    each = met.select(key, "slots", "pool_slots", n.alias("n"), F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), n).cast("int") - 1)).alias("mask"))
+    each = met.select(key, "slots", "pool_slots", n.alias("n"))
+    if masks is None:
+        each = each.select("*", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), n).cast("int") - 1)).alias("mask"))
+    else:
+        each = each.join(masks.select("n", "mask").distinct(), "n")
     kept = F.transform("slots", lambda p, i: F.when(F.floor(F.col("mask") / F.pow(F.lit(2), i)) % 2 == 1, p).otherwise(F.get("pool_slots", i)))
     mixed = each.select(key, "n", "mask", kept.alias("mixed"))
     own = F.transform("mixed", lambda p: p % families)
@@ -80,6 +87,39 @@ def shapley_pair(values: DataFrame, key: str, largest: int = 7) -> DataFrame:
     return rows.select(key, "i", "j", F.aggregate(free, F.lit(0.0), gain).alias("phi"))
 
 
+def orderings(spark: SparkSession, largest: int, samples: int, seed: int) -> DataFrame:
+    """n, sample, back, place, slot, mask: orderings of up to ``largest`` slots and their reverses, step by step.
+
+    Place 0 is the empty coalition, mask the coalition after the step. An ordering is
+    sorted by a hash of seed, sample and slot, so it is the same in every run; many
+    orderings share their prefixes. At most ``largest`` * ``samples`` orderings of n <= 62.
+    """
+    hashed = lambda i: F.struct(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("sample").cast("string"), i.cast("string"))).alias("h"), i.alias("i"))
+    sizes = spark.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(1), F.lit(largest))).alias("n"))
+    order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.col("n") - 1), hashed)), lambda x: x["i"])
+    both = sizes.select("n", "sample", order.alias("order")).select("n", "sample", F.posexplode(F.array("order", F.reverse("order"))).alias("back", "order"))
+    steps = both.select("n", "sample", "back", "order", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("place"))
+    mask = F.aggregate(F.slice("order", 1, F.col("place")), F.lit(0).cast("bigint"), lambda a, i: a + F.pow(F.lit(2), i).cast("bigint"))
+    return steps.select("n", "sample", "back", "place", F.when(F.col("place") > 0, F.get("order", F.col("place") - 1)).alias("slot"), mask.alias("mask"))
+
+
+def shapley_sampled(values: DataFrame, steps: DataFrame, key: str) -> DataFrame:
+    """``key``, slot, phi, error: main values from the orderings ``steps``, and their standard errors.
+
+    A slot's gain is the value after it joins less the one before; an ordering and its
+    reverse count as one draw, whose error is the lesser for it. Values of an ordering
+    add up to v(all) - v(none). Null where a coalition that is needed has no value; the
+    error is null with fewer than two samples.
+    """
+    met = values.withColumn("mask", F.col("mask").cast("bigint")).join(steps, ["n", "mask"])
+    before = F.lag("v").over(Window.partitionBy(key, "sample", "back").orderBy("place"))
+    gains = met.select(key, "sample", "place", "slot", (F.col("v") - before).alias("gain")).where("place > 0")
+    # null gains must not shift the mean of a draw
+    draws = gains.groupBy(key, "slot", "sample").agg(F.when(F.count("gain") == F.count("*"), F.avg("gain")).alias("g"))
+    whole = F.count("g") == F.count("*")
+    return draws.groupBy(key, "slot").agg(F.when(whole, F.avg("g")).alias("phi"), F.when(whole, F.stddev_samp("g") / F.sqrt(F.count("g"))).alias("error"))
+
+
 def validity_by_size(mixed: DataFrame) -> DataFrame:
     """Share of completions that use a family twice, by the number of slots of the design and of those kept."""
     return mixed.groupBy("n", F.bit_count("mask").cast("int").alias("kept")).agg(F.count("*").alias("n_mixed"), F.round(F.avg((~F.col("safe")).cast("double")), 6).alias("unsafe"))
