@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from designlens.operators.ranks import average_rank, cumulative
+from designlens.shared import materialize
 
 
 def r_squared(df: DataFrame, group: list[str], actual: str, predicted: str) -> DataFrame:
@@ -23,6 +24,7 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     def ranked(c: str) -> DataFrame:
         return cumulative(df, group, c).select(*group, c, average_rank(F.col("n"), F.col("before")).alias(f"rank_{c}"))
 
+    df = materialize(df.select(*group, x, y), "scores")  # read three times
     both = df.join(ranked(x), [*group, x]).join(ranked(y), [*group, y])
     a, b = f"rank_{x}", f"rank_{y}"
     return both.groupBy(*group).agg(F.round(F.covar_pop(a, b) / F.nullif(F.sqrt(F.var_pop(a) * F.var_pop(b)), F.lit(0.0)), 6).alias("rho"))

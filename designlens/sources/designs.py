@@ -10,11 +10,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from designlens.shared import exists, shared_path
+
+
+#: Where a session has written the bound designs of a folder of tables.
+_BOUND: dict[tuple[str, str], tuple[str, StructType]] = {}
 
 
 def designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topology, gate_count, group_no, variant, design, slots, circuit, growth.
 
+    The tables are bound once a session and folder, into a Parquet table of the shared
+    folder: operators read designs several times, as they would any stored table of them.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BOUND or not exists(spark, _BOUND[key][0]):
+        path, bound = shared_path(spark, "designs"), bound_designs(spark, sf_dir)
+        bound.write.parquet(path)
+        _BOUND[key] = path, bound.schema
+    path, schema = _BOUND[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def bound_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The designs of ``sf_dir`` from its order tables.
+
     One shuffle of the lines on the order key serves the join with the orders too.
     """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
