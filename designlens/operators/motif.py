@@ -52,3 +52,29 @@ def tier_log_odds(counts: DataFrame, tiers: DataFrame, key: str, group: list[str
     top, bottom = F.col("top_with") / F.col("n_top"), F.col("bottom_with") / F.col("n_bottom")
     odds = F.when((F.col("top_with") > 0) & (F.col("bottom_with") > 0), F.round(F.log2(top / bottom), 6))
     return own.join(size, group).select(*group, "motif", "top_with", "bottom_with", "n_top", "n_bottom", odds.alias("log_odds"))
+
+
+def tier_rates(presence: DataFrame, counts: DataFrame, key: str, group: list[str], tiers: list[str]) -> DataFrame:
+    """``group``, motif, tier, n_graphs, n_with, n_designs, with_motif, rate, tier_graphs: shares of a tier's designs whose graph holds a motif.
+
+    ``counts`` (``key``, ``group``, and a column of designs for each tier) has a row for each graph, ``presence`` (``key``,
+    motif) one for each motif in it. Every motif has a row for each group and tier, zeros included; the rate is null
+    where a tier is empty. n_graphs and n_with count all graphs, tier_graphs those with the motif and a design in the tier.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.coalesce(t, F.lit(0)).cast("bigint").alias("n")) for t in tiers])).alias("t")
+    long = counts.select(key, *group, each).select(key, *group, "t.*")
+    own = presence.select(key, "motif").distinct()
+    totals = long.groupBy(*group, "tier").agg(F.count("*").alias("n_graphs"), F.sum("n").alias("n_designs"))
+    held = long.join(own, key).groupBy(*group, "motif", "tier").agg(F.count("*").alias("n_with"), F.sum("n").alias("with_motif"), F.count_if(F.col("n") > 0).alias("tier_graphs"))
+    # classes of one k by tiers: a small grid
+    grid = totals.crossJoin(own.select("motif").distinct()).join(held, [*group, "motif", "tier"], "left").fillna(0, ["n_with", "with_motif", "tier_graphs"])
+    rate = F.round(F.col("with_motif") / F.nullif(F.col("n_designs"), F.lit(0)), 9)
+    return grid.select(*group, "motif", "tier", "n_graphs", "n_with", "n_designs", "with_motif", rate.alias("rate"), "tier_graphs")
+
+
+def tail_odds(rates: DataFrame, group: list[str], tails: list[str], top: str, bottom: str) -> DataFrame:
+    """``group``, motif and log_odds_.. for each of ``tails``: log2 of a motif's rate in the top tail over that in the bottom one, null unless both are above 0."""
+    at = lambda name: F.max(F.when(F.col("tier") == name, F.col("rate")))
+    wide = rates.groupBy(*group, "motif").agg(*[at(f"{side}_{t}").alias(f"{side}_{t}") for t in tails for side in (top, bottom)])
+    odds = lambda a, b: F.when((F.col(a) > 0) & (F.col(b) > 0), F.round(F.log2(F.col(a) / F.col(b)), 6))
+    return wide.select(*group, "motif", *[odds(f"{top}_{t}", f"{bottom}_{t}").alias(f"log_odds_{t}") for t in tails])

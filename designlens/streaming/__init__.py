@@ -1 +1 @@
-
+"""Counts of streams that add up over batches."""

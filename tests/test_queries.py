@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from designlens import analysis_queries, design_queries, edge_queries, feature_queries, graph_queries, space_queries, table_queries  # noqa: F401
+from designlens import analysis_queries, design_queries, edge_queries, feature_queries, graph_queries, run_queries, space_queries, table_queries  # noqa: F401
 from designlens import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -14,7 +14,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
-    for t in ("lineitem", "part", "orders"):
+    for t in ("lineitem", "part", "orders", "events"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     return con
 
