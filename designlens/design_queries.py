@@ -12,14 +12,14 @@ from designlens.sources.designs import SQL, TARGETS_SQL, designs, targets
 
 
 def _cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = designs(spark, sf_dir).join(targets(spark), "group_no").withColumn("preferred", F.col("variant") == "F")
+    each = designs(spark, sf_dir).join(targets(spark), "group_no").withColumn("preferred", (F.col("variant") == "F") & (F.col("design") % 32 == 0))
     order = [F.col("preferred").desc(), F.pmod(F.col("design") * 7919, F.lit(10007)), F.col("design")]
     return cohort.cohort_topn(each, ["target", "gate_count"], order, 20).select("target", "gate_count", "design", "preferred", "rank")
 
 
 _COHORT = f"""{SQL}, {TARGETS_SQL}, co AS (
-  SELECT target, gate_count, design, variant = 'F' AS preferred,
-         CAST(row_number() OVER (PARTITION BY target, gate_count ORDER BY variant = 'F' DESC, (design * 7919) % 10007, design) AS INT) AS rank
+  SELECT target, gate_count, design, variant = 'F' AND design % 32 = 0 AS preferred,
+         CAST(row_number() OVER (PARTITION BY target, gate_count ORDER BY variant = 'F' AND design % 32 = 0 DESC, (design * 7919) % 10007, design) AS INT) AS rank
   FROM d JOIN tg ON d.group_no = tg.group_no
 )"""
 

@@ -73,12 +73,12 @@ def best_typed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_TYPED_ODDS}, le AS (SELECT *, motif || ':' || typed AS name FROM lo), nf AS (SELECT gate_count, """ + ", ".join(f"count(*) FILTER (n_topologies >= {f}) AS at_{f}" for f in (5, 4, 3, 2, 1)) + """ FROM le GROUP BY gate_count),
-fl AS (SELECT gate_count, CASE WHEN at_5 >= 6 THEN 5 WHEN at_4 >= 6 THEN 4 WHEN at_3 >= 6 THEN 3 WHEN at_2 >= 6 THEN 2 ELSE 1 END AS floor FROM nf)
+fl AS (SELECT gate_count, CASE WHEN at_5 >= 20 THEN 5 WHEN at_4 >= 20 THEN 4 WHEN at_3 >= 20 THEN 3 WHEN at_2 >= 20 THEN 2 ELSE 1 END AS floor FROM nf)
 SELECT le.gate_count, CAST(floor AS INT) AS floor, CAST(row_number() OVER w AS INT) AS rank, name, log_odds, n_topologies FROM le JOIN fl ON le.gate_count = fl.gate_count WHERE n_topologies >= floor
-WINDOW w AS (PARTITION BY le.gate_count ORDER BY abs(log_odds) DESC, name) QUALIFY row_number() OVER w <= 6""")
+WINDOW w AS (PARTITION BY le.gate_count ORDER BY abs(log_odds) DESC, name) QUALIFY row_number() OVER w <= 20""")
 def broad_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = typed_log_odds(spark, sf_dir).withColumn("name", F.concat_ws(":", "motif", "typed"))
-    return typed.top_with_floor(table, ["gate_count"], "log_odds", "name", "n_topologies", [5, 4, 3, 2, 1], 6)
+    return typed.top_with_floor(table, ["gate_count"], "log_odds", "name", "n_topologies", [5, 4, 3, 2, 1], 20)
 
 
 @query(f"""{_odds_sql(_MOTIFS, "mt", "motif")}, su AS (SELECT *, top_with + bottom_with AS support FROM lo WHERE top_with + bottom_with >= 5)

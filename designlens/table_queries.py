@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from designlens import edge_queries
 from designlens.analysis_queries import _COALITIONS, _occurrence_sql, occurrence_log_odds, shapley_pair
 from designlens.design_queries import _GRAPHS, _SWAPS, _edge, _graphs, _swaps
 from designlens.functions import adjacency, slots, truth
-from designlens.graph_queries import _NODES, _motif_sql, motif_counts_k4
+from designlens.graph_queries import _NODES
 from designlens.operators import attribution, cohort, expectations, graphs, grids, ridge
 from designlens.operators.ranks import quantiles
 from designlens.registry import QUERIES, _presence_sql, presence_enrichment, query
@@ -135,16 +136,26 @@ def function_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT motif, n, n_edges, CAST(max_in AS INT) AS max_in, CAST(max_out AS INT) AS max_out, n_edges = 3 AND max_in <= 1 AND max_out <= 1 AS linear FROM (
-  SELECT motif, CAST(sum(n) AS BIGINT) AS n, CAST(length(replace(motif, '0', '')) AS INT) AS n_edges,
+  SELECT motif, n, CAST(length(replace(motif, '0', '')) AS INT) AS n_edges,
          greatest({", ".join("length(replace(substr(motif, " + str(4 * i + 1) + ", 4), '0', ''))" for i in range(4))}) AS max_out,
          greatest({", ".join(" + ".join(f"CAST(substr(motif, {4 * i + j + 1}, 1) AS INT)" for i in range(4)) for j in range(4))}) AS max_in
-  FROM ({_motif_sql(4)}) GROUP BY motif)""")
+  FROM ({edge_queries._motif_sql(4)}))""")
 def motif_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("motif")
-    n = motif_counts_k4(spark, sf_dir).groupBy("motif").agg(F.sum("n").alias("n"))
+    n = edge_queries.edge_table_motifs_k4(spark, sf_dir)
     return n.select("motif", "n", adjacency.edges(key).alias("n_edges"), F.array_max(adjacency.in_degrees(key)).alias("max_in"), F.array_max(adjacency.out_degrees(key)).alias("max_out"), adjacency.linear(key).alias("linear"))
 
 
+@query(f"""WITH mo AS ({edge_queries._motif_sql(4)}), sh AS (SELECT *, length(replace(motif, '0', '')) = 3 AND greatest({", ".join("length(replace(substr(motif, " + str(4 * i + 1) + ", 4), '0', ''))" for i in range(4))}) <= 1
+  AND greatest({", ".join(" + ".join(f"CAST(substr(motif, {4 * i + j + 1}, 1) AS INT)" for i in range(4)) for j in range(4))}) <= 1 AS linear FROM mo)
+SELECT motif, n, CAST(row_number() OVER (ORDER BY n DESC, motif) AS INT) AS rank FROM sh WHERE NOT linear AND n >= 5""")
+def branched_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Motifs of four nodes that are no chain and occur five times or more, by how often they do."""
+    table = edge_queries.edge_table_motifs_k4(spark, sf_dir).where(~adjacency.linear(F.col("motif")) & (F.col("n") >= 5))
+    # a row for each class of four nodes
+    return table.select("motif", "n", F.row_number().over(Window.orderBy(F.desc("n"), "motif")).alias("rank"))
+
+
 @query(f"""{_PLACED} SELECT design, '[' || string_agg(CAST(part AS VARCHAR), ' ' ORDER BY slot) || ']' AS listed, string_agg(CAST(part AS VARCHAR), '-' ORDER BY slot) AS parsed, string_agg(CAST(slot * 25 + part - 1 AS VARCHAR), ' ' ORDER BY slot) AS ones,
   CAST((max(part) FILTER (slot = 0) - 1) * 25 + max(part) FILTER (slot = 1) - 1 AS INT) AS cell, string_agg('p' || part, ' ' ORDER BY slot) AS names, string_agg(CAST(part AS VARCHAR), ' ' ORDER BY dout DESC, slot) AS deepest FROM pl GROUP BY design""")
 def slot_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
