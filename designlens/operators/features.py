@@ -35,6 +35,20 @@ def profile_correlations(cells: DataFrame, item: str, cell: list[str], value: st
     return m.select("a", "b", "n_shared", F.when(scale > 0, F.col("xy") / scale).alias("r"), (F.col("n_shared") < least).alias("low_confidence"))
 
 
+def profile_rank_correlations(cells: DataFrame, item: str, cell: list[str], value: str, least: int) -> DataFrame:
+    """As ``profile_correlations``, of the ranks within each pair's common cells; equal values share their mean rank.
+
+    Ranks change with the pair, so they are taken anew in each; a pair has at most one row a cell.
+    """
+    side = lambda n, v: cells.select(*cell, F.col(item).alias(n), F.col(value).cast("double").alias(v))
+    met = side("a", "x").join(side("b", "y"), cell).where("a < b")
+    rank = lambda v: F.rank().over(Window.partitionBy("a", "b").orderBy(v)) + (F.count("*").over(Window.partitionBy("a", "b", v)) - 1) / 2
+    ranked = met.select("a", "b", rank("x").alias("x"), rank("y").alias("y"))
+    m = ranked.groupBy("a", "b").agg(F.count("*").alias("n_shared"), F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"))
+    scale = F.sqrt(F.col("xx") * F.col("yy"))
+    return m.select("a", "b", "n_shared", F.when(scale > 0, F.col("xy") / scale).alias("r"), (F.col("n_shared") < least).alias("low_confidence"))
+
+
 def symmetric(pairs: DataFrame, a: str, b: str, value: str) -> DataFrame:
     """Both halves of a matrix from one: each pair in either order."""
     return pairs.select(F.explode(F.array(F.struct(F.col(a).alias("row"), F.col(b).alias("column")), F.struct(F.col(b).alias("row"), F.col(a).alias("column")))).alias("p"), value).select("p.*", value)

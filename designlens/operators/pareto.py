@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts of a group that are reduced on their own before the group meets.
-SALTS = 64
+from designlens.shared import materialize
+
+#: Parts of a group that are reduced on their own before the group meets, and rows of a group that one task may sort then.
+SALTS, LARGE = 64, 1_000_000
 
 
 def _front(df: DataFrame, group: list[str], x: str, y: str, key: str) -> DataFrame:
@@ -18,11 +20,30 @@ def _front(df: DataFrame, group: list[str], x: str, y: str, key: str) -> DataFra
 def skyline(df: DataFrame, group: list[str], x: str, y: str, key: str) -> DataFrame:
     """Rows that no row of their group beats in both scores; of exact duplicates the one with the least key.
 
-    Two levels: fronts of salted parts of each group first, then the front of
-    those, so a group of any size is never sorted in one task.
+    Two levels: fronts of salted parts of each group first, which are written once,
+    then the front of those. Where that leaves more than ``LARGE`` rows of a group,
+    the last level goes by ranges of x, so a front of any size is never sorted in
+    one task. Jobs run while the plan is built.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-    return _front(_front(salted, [*group, "_salt"], x, y, key).drop("_salt"), group, x, y, key)
+    parts = materialize(_front(salted, [*group, "_salt"], x, y, key).drop("_salt"), "fronts")
+    if parts.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE).head(1):
+        return _front_by_ranges(parts, group, x, y, key)
+    return _front(parts, group, x, y, key)
+
+
+def _front_by_ranges(df: DataFrame, group: list[str], x: str, y: str, key: str) -> DataFrame:
+    """The same for groups of any size: fronts of ranges of x, less what the largest y of all higher ranges beats."""
+    ranged = materialize(df.repartitionByRange(*group, x).withColumn("_range", F.spark_partition_id()), "ranges")
+    # ranges ascend in x; equal x share a range
+    most = ranged.groupBy(*group, "_range").agg(F.max(y).alias("_most"))
+    above = F.max("_most").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(1, Window.unboundedFollowing))
+    limits = most.select(*[F.col(c).alias(f"_of_{c}") for c in group], F.col("_range").alias("_at"), above.alias("_above"))
+    same = F.col("_range") == F.col("_at")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    kept = ranged.join(limits, same).where(F.col("_above").isNull() | (F.col(y) > F.col("_above")))
+    return _front(kept.select(*df.columns, "_range"), [*group, "_range"], x, y, key).drop("_range")
 
 
 def normalised(front: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
@@ -73,3 +94,20 @@ def portfolio(front: DataFrame, x: str, y: str, keys: list[str], n: int) -> Data
     scored = front.crossJoin(most).select(*keys, combined.alias("combined"))
     best = scored.orderBy(F.col("combined").desc(), keys[-1]).limit(n)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("combined").desc(), keys[-1])))
+
+
+def combined_by_floors(rows: DataFrame, x: str, y: str, x_floor: float, y_floor: float, y_most: float) -> DataFrame:
+    """Rows that reach both floors, with ``combined``: how far x and y are above them, as shares of the best x and of ``y_most``."""
+    fit = rows.where((F.col(x) >= x_floor) & (F.col(y) >= y_floor))
+    most = fit.agg(F.greatest(F.max(x) - x_floor, F.lit(1e-9)).alias("_x"))
+    # one row
+    share = (F.col(x) - x_floor) / F.col("_x") + (F.col(y) - y_floor) / max(y_most - y_floor, 1e-9)
+    return fit.crossJoin(most).withColumn("combined", F.round(share, 9)).drop("_x")
+
+
+def best_knees(rows: DataFrame, targets: DataFrame, group: str, key: str, n: int = 15) -> DataFrame:
+    """target, ``key``, combined, rank: the row of the largest ``combined`` of each target, multi-target ones for all of theirs, and of those the n best."""
+    best = rows.join(targets, group).groupBy("target").agg(F.min(F.struct((-F.col("combined")).alias("by"), F.col(key).alias("key"))).alias("b"))
+    order = [F.desc("combined"), F.col(key), F.col("target")]
+    top = best.select("target", F.col("b.key").alias(key), (-F.col("b.by")).alias("combined")).orderBy(*order).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

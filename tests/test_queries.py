@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from designlens import analysis_queries, design_queries, edge_queries, feature_queries, graph_queries, run_queries, space_queries, table_queries  # noqa: F401
+from designlens import analysis_queries, design_queries, edge_queries, feature_queries, graph_queries, match_queries, run_queries, space_queries, table_queries  # noqa: F401
 from designlens import registry
 
 DIR = "/root/testdata/sf0.001"
