@@ -42,9 +42,10 @@ from pyspark.sql import functions as F
 from designlens.llm.columns import arrow_map, slices
 
 # Element names, and words of class, id and role attributes.
-SILENT = set("audio button canvas datalist embed head iframe input map math noscript object option script select style svg template textarea video".split())
+SILENT = set("audio button canvas datalist embed head iframe input map noscript object option script select style svg annotation annotation-xml template textarea video".split())
 FRAMES = set("aside dialog footer form header menu nav".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= set("math merror mfenced mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SCOPES = {"article", "main"}
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|replies|reply|respond)(?:$|[\s_-])", re.I)
@@ -52,14 +53,22 @@ BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|byline|consent|cookie|cookies|dialog|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promoted|related|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Those that say enough even inside an article.
+PLAIN = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|breadcrumb|breadcrumbs|consent|cookie|cookies|modal|navbar|newsletter|pager|pagination|popup|promo|promoted|sidebar|signup|sponsor|sponsored|subscribe|widget)(?:$|[\s_-])",
+    re.I,
+)
 ROLES = {"banner", "navigation", "complementary", "contentinfo", "search", "form", "dialog", "alert", "menu"}
 #: Paragraphs that a start tag ends.
 ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Elements that hold one line of their container.
 LEAVES = set("blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr li ol p pre table tbody td tfoot th thead tr ul".split())
+#: Elements that an article's own text stands in: there a class or id makes no boilerplate of them.
+TEXTUAL = (LEAVES | INLINE) - {"dl", "ol", "ul"}
 
-#: Link lines in a row that make a menu, and the share of a page's content that makes an element its frame.
-MENU_LINES, FRAME_SHARE = 3, 0.5
+#: Link lines in a row that make a menu if they have so many words or fewer on average (a list of references has more),
+#: and the share of a page's content that makes an element its frame.
+MENU_LINES, MENU_WORDS, FRAME_SHARE = 3, 3, 0.5
 
 
 class Line(NamedTuple):
@@ -81,12 +90,15 @@ class Lines(HTMLParser):
         self.by_class: list[bool] = []
         self.comments: list[bool] = []
         self.around: list[tuple[int, ...]] = []
+        #: Frames inside an article that only a word of their class or id makes: the clusters decide on them.
+        self.doubtful: set[int] = set()
         self._open: list[str] = []
+        self._times: dict[str, int] = {}
         self._silent: list[int] = []
         self._frames: list[tuple[int, int]] = []
         self._scopes: list[tuple[int, int]] = []
         self._containers: list[tuple[int, int]] = [(-1, 0)]
-        self._known: tuple[tuple[int, ...], tuple[int, ...]] = ((), ())
+        self._known: tuple[tuple[int, ...], tuple[int, ...]] | None = ((), ())
         self._text: list[str] = []
         self._tags, self._linked, self._count, self._made = 0, 0, 0, 0
 
@@ -97,11 +109,15 @@ class Lines(HTMLParser):
         if self._text:
             text = " ".join("".join(self._text).split())
             if text and not self._silent:
+                if self._known is None:
+                    self._known = (tuple(i for _, i in self._frames), tuple(i for _, i in self._scopes))
                 self.lines.append(Line(text, self._tags or 1, self._linked, self._containers[-1][1], *self._known))
             self._text = []
         self._tags = self._linked = 0
 
     def _close(self, depth: int) -> None:
+        for tag in self._open[depth:]:
+            self._times[tag] -= 1
         del self._open[depth:]
         changed = False
         for stack in (self._frames, self._scopes, self._containers):
@@ -111,50 +127,62 @@ class Lines(HTMLParser):
         while self._silent and self._silent[-1] >= depth:
             self._silent.pop()
         if changed:
-            self._note()
+            self._known = None
+
+    def _push(self, tag: str) -> None:
+        self._open.append(tag)
+        self._times[tag] = self._times.get(tag, 0) + 1
 
-    def _note(self) -> None:
-        self._known = (tuple(i for _, i in self._frames), tuple(i for _, i in self._scopes))
+    def _last(self, tag: str) -> int:
+        """The depth of the innermost open element ``tag``; -1 if there is none."""
+        if not self._times.get(tag):
+            return -1
+        return next(i for i in range(len(self._open) - 1, -1, -1) if self._open[i] == tag)
 
-    def _frame(self, tag: str, attrs) -> tuple[bool, bool, bool]:
-        """Whether a start tag opens a frame, whether its class or role alone says so, and whether it holds comments."""
-        said = comments = False
+    def _frame(self, tag: str, attrs) -> tuple[bool, bool, bool, bool]:
+        """Whether a start tag opens a frame, whether its class or role alone says so, whether it holds comments, and whether only a word of its class or id says so, which may be the article's own."""
+        said = comments = worded = plain = False
         for k, v in attrs:
             if k in ("class", "id") and v:
                 comments |= COMMENTS.search(v) is not None
-                said |= BOILERPLATE.search(v) is not None
+                worded |= BOILERPLATE.search(v) is not None
+                plain |= PLAIN.search(v) is not None
             elif k == "role" and v:
                 said |= v.lower() in ROLES
             elif k == "hidden" or k == "aria-hidden" and v == "true":
                 said = True
-        return tag in FRAMES or said or comments, tag not in FRAMES, comments
+        if worded and not said and not comments and tag in TEXTUAL and self._scopes:
+            worded = False
+        return tag in FRAMES or said or comments or worded, tag not in FRAMES, comments, worded and not (said or comments or plain or tag in FRAMES)
 
     def handle_starttag(self, tag, attrs) -> None:
         if tag in INLINE:
             self._tags += 1
             if not attrs:
                 if tag not in VOID:
-                    self._open.append(tag)
+                    self._push(tag)
                 return
         else:
             self.cut()
-        if tag in ENDS_P and "p" in self._open:
-            at = len(self._open) - 1 - self._open[::-1].index("p")
+        if tag in ENDS_P and self._times.get("p"):
             # not across an element that holds blocks of its own
-            if not ENDS_P.intersection(self._open[at + 1 :]):
+            at = next(i for i in range(len(self._open) - 1, -1, -1) if self._open[i] in ENDS_P)
+            if self._open[at] == "p":
                 self._close(at)
         if tag in VOID:
             return
         depth = len(self._open)
-        self._open.append(tag)
+        self._push(tag)
         if tag in SILENT:
             self._silent.append(depth)
             return
-        frame, by_class, comments = self._frame(tag, attrs) if attrs or tag in FRAMES else (False, False, False)
+        frame, by_class, comments, worded = self._frame(tag, attrs) if attrs or tag in FRAMES else (False, False, False, False)
         if frame and tag not in ("html", "body") and (tag not in SCOPES or comments):
             if tag in INLINE:
                 self.cut()
             self._frames.append((depth, len(self.around)))
+            if worded and self._scopes:
+                self.doubtful.add(len(self.around))
             self.by_class.append(by_class)
             self.comments.append(comments)
             self.around.append(())
@@ -166,7 +194,7 @@ class Lines(HTMLParser):
         if tag not in INLINE and tag not in LEAVES:
             self._made += 1
             self._containers.append((depth, self._made))
-        self._note()
+        self._known = None
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -177,6 +205,7 @@ class Lines(HTMLParser):
             self._tags += 1
             if self._open and self._open[-1] == tag and not self._frames and not self._silent:
                 self._open.pop()
+                self._times[tag] -= 1
             else:
                 self._end(tag)
             return
@@ -184,8 +213,8 @@ class Lines(HTMLParser):
         self._end(tag)
 
     def _end(self, tag: str) -> None:
-        if tag in self._open:
-            depth = len(self._open) - 1 - self._open[::-1].index(tag)
+        depth = self._last(tag)
+        if depth >= 0:
             if (self._frames and self._frames[-1][0] >= depth) or (self._silent and self._silent[-1] >= depth):
                 self.cut()
             self._close(depth)
@@ -225,6 +254,12 @@ def kept_frames(page: Lines, content: np.ndarray) -> set[int]:
         # all articles are inside such elements: those around them are no boilerplate, of comments only if nothing else is left
         plain = every - {i for x, c in zip(page.around, page.comments) if c for i in x}
         out = {k for k, x in enumerate(page.around) if (plain or every).intersection(x) and not (page.comments[k] and plain)}
+    # an element inside an article that only its class or id speaks against stays if most of its text looks like content
+    text: dict[int, list[int]] = {i: [0, 0] for i in page.doubtful}
+    for line, c in zip(page.lines, content):
+        for i in page.doubtful.intersection(line.frames):
+            text[i][bool(c)] += len(line.text)
+    out |= {i for i, (low, high) in text.items() if high > low}
     weight: dict[int, int] = {}
     total = 0
     for line, c in zip(page.lines, content):
@@ -254,7 +289,7 @@ def main_text(html: str) -> str:
         first = 0
         for i in range(len(lines) + 1):
             if i == len(lines) or not links[i]:
-                if i - first >= MENU_LINES:
+                if i - first >= MENU_LINES and sum(len(x.text.split()) for x in lines[first:i]) <= MENU_WORDS * (i - first):
                     keep[first:i] = [False] * (i - first)
                 first = i + 1
     else:

@@ -312,3 +312,49 @@ def test_query_equals_sql(spark, name):
     rel, df = con.sql(ORACLES[name]), QUERIES[name](spark, sf_dir)
     assert sorted(rel.columns) == sorted(df.columns)
     assert sorted((tuple(r) for r in df.select(*rel.columns).collect()), key=repr) == sorted(rel.fetchall(), key=repr)
+
+
+# --- main texts
+
+PROSE = [f"<p>This is paragraph {i} of an article with a good deal of plain text in it, so that it is content.</p>" for i in range(4)]
+STAYS = [
+    ('<h2 id="related-work">Related work</h2>', "Related work"), ('<p class="market-share">Market share was large.</p>', "Market share was large."), ('<p class="byline">By Somebody</p>', "By Somebody"),
+    ('<section id="social"><p>Social matters are treated here at some length, with words enough to be content.</p></section>', "Social matters are treated here at some length, with words enough to be content."),
+    ('<table class="toolbar-x"><tr><td>One</td><td>Two</td></tr></table>', "One Two"), ("<p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> ends.</p>", "Sum x+1 ends."),
+    ("<ol>" + "".join(f'<li><a href="{i}">A. Writer, Of the {i} things, 19{i}0</a></li>' for i in range(1, 5)) + "</ol>", " ".join(f"A. Writer, Of the {i} things, 19{i}0" for i in range(1, 5))),
+]
+GOES = [
+    '<div class="ad"><a href="x">Buy now</a></div>', '<div class="share-buttons"><a>Tweet</a> <a>Post</a></div>', '<ul class="menu"><li><a>Home</a></li><li><a>About</a></li></ul>', "<nav><a>Next</a></nav>",
+    "<aside><p>Aside of some words, which are many enough to look like content of the page.</p></aside>", "<form><label>Mail</label><input></form>", "<script>var x = 1;</script>", "<style>p {}</style>",
+    '<div class="newsletter"><p>Subscribe to our letter, which comes each week with many good words in it.</p></div>', '<section class="comments"><p>Great article, a long comment with plain text in it for sure.</p></section>',
+]
+TEMPLATES = [
+    "<html><body><nav><a>Home</a></nav><article>{}</article><footer>Imprint</footer></body></html>",
+    "<html><body><div class='top menu'><a>A</a><a>B</a></div><div class='page'><main><section>{}</section></main><aside>Side</aside></div></body></html>",
+    "<html><body><header><h1>Site</h1></header><div id='wrap'><div><article><div class='body'>{}</div></article></div></div><div class='cookie-notice'>We use cookies</div></body></html>",
+]
+
+
+def test_main_texts_of_three_templates():
+    """Headings, tables, notes and lists of an article stay whatever their class; menus, adverts and frames go."""
+    from designlens.llm.html_text import main_text
+
+    words = lambda blocks: " ".join(re.sub("<[^>]*>", "", b) for b in blocks)
+    for template in TEMPLATES:
+        for block, text in STAYS:
+            assert main_text(template.format("".join([*PROSE, block, *PROSE]))) == f"{words(PROSE)} {text} {words(PROSE)}", (template, block)
+        for block in GOES:
+            assert main_text(template.format("".join([*PROSE, block, *PROSE]))) == f"{words(PROSE)} {words(PROSE)}", (template, block)
+
+
+def test_deeply_nested_pages_take_linear_time():
+    import time
+
+    from designlens.llm.html_text import main_text
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert main_text("<article>" + "<div>" * n + "deep" + "</div>" * n + "</article>") == "deep"
+        return time.perf_counter() - began
+
+    assert seconds(80_000) < 12 * max(seconds(20_000), 0.05)
