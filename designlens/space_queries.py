@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from designlens.analysis_queries import _COALITIONS, POOL, _square
 from designlens.functions.slots import family_valid
-from designlens.operators import coalitions, spaces, variance
+from designlens.operators import coalitions, pair_ridge, spaces, variance
 from designlens.registry import query
 from designlens.sources.designs import SQL, designs
 
@@ -99,3 +99,37 @@ SELECT place, array_to_string(list_transform(own, lambda i: parts[i]), '-') AS a
 def assignment_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spaces.sampled_space(spark, _space(spark, sf_dir, SAMPLED_SLOTS), SAMPLED_ROWS)
     return rows.select("place", F.array_join(F.transform("slots", lambda p: p.cast("string")), "-").alias("assignment"))
+
+
+#: Penalty of the ridge fits.
+PENALTY = 3.0
+_DET3 = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+_A = ["aa", "ab", "ac", "ab", "bb", "bc", "ac", "bc", "cc"]
+_B = ["ya", "yb", "yc"]
+
+
+def _cramer(column: int) -> str:
+    own = [_B[i // 3] if i % 3 == column else x for i, x in enumerate(_A)]
+    return f"({_DET3.format(*own)}) / ({_DET3.format(*_A)})"
+
+
+@query(f"""{SQL}, fe AS (
+  SELECT d.topology, CAST(d.growth AS DOUBLE) AS y, max(CASE WHEN slot = 0 THEN part % 2 END)::DOUBLE AS a, max(CASE WHEN slot = 1 THEN part % 2 END)::DOUBLE AS b FROM d JOIN s ON s.design = d.design GROUP BY d.design, d.topology, d.growth
+), ce AS (
+  SELECT topology, y - avg(y) OVER w AS y, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b, a * b - avg(a * b) OVER w AS c FROM fe WINDOW w AS (PARTITION BY topology)
+), mo AS (
+  SELECT topology, count(*) AS n, sum(y * y) AS yy, sum(a * y) AS ya, sum(b * y) AS yb, sum(c * y) AS yc, sum(a * a) + {PENALTY}::DOUBLE AS aa, sum(b * b) + {PENALTY}::DOUBLE AS bb, sum(c * c) + {PENALTY}::DOUBLE AS cc, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * c) AS bc FROM ce GROUP BY topology
+), so AS (
+  SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS ma, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS mb, {_cramer(0)} AS fa, {_cramer(1)} AS fb, {_cramer(2)} AS fc FROM mo
+), ct AS (
+  SELECT ce.topology, sum((ce.y - ma * a - mb * b) ** 2) AS em, sum((ce.y - fa * a - fb * b - fc * c) ** 2) AS ef, max(yy) AS yy, any_value(so.n) AS n FROM ce JOIN so ON ce.topology = so.topology GROUP BY ce.topology
+) SELECT topology, n, 0.0::DOUBLE AS null_r2, round(1 - em / yy, 6) AS main_r2, round(1 - ef / yy, 6) AS full_r2 FROM ct""")
+def ridge_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the growth the parity of two slots' parts explains: nothing, each alone, and with their pair."""
+    odd = lambda i: F.get("slots", F.lit(i)) % 2 == 1
+    rows = designs(spark, sf_dir).select("topology", "growth", odd(0).alias("a"), odd(1).alias("b"))
+    own = F.array(F.when(F.col("a"), 0), F.when(F.col("b"), 1), F.when(F.col("a") & F.col("b"), 2))
+    main = pair_ridge.ridge_by_gradients(rows, ["topology"], F.array_compact(F.slice(own, 1, 2)), "growth", 2, PENALTY)
+    full = pair_ridge.ridge_by_gradients(rows, ["topology"], F.array_compact(own), "growth", 3, PENALTY)
+    both = main.select("topology", "n", F.lit(0.0).alias("null_r2"), F.round("r2", 6).alias("main_r2"))
+    return both.join(full.select("topology", F.round("r2", 6).alias("full_r2")), "topology")
