@@ -7,12 +7,16 @@ that at most ``RARE`` of all documents hold, and in any case those that are at
 most ``FAR`` times as frequent as its median one. The sequences of an item that
 many documents copy are about as frequent as each other, so it keeps all of them,
 also the ones that edited copies keep most; only sequences that are common apart
-from the item go. A second pass
+from the item go. A sequence may be a seed of one item and not of another: what a
+short item made of a common phrase keeps is no seed of longer ones. A second pass
 joins the seeds to the documents' words, gathers hits on neighbouring diagonals
 and aligns the item with the words around them (match +2, mismatch -1, gap -1).
-One hit is enough for an alignment, which alone decides.
+One hit is enough for an alignment, which alone decides; the alignments of a
+slice of documents are computed together, in tables of at most ``CELLS`` cells.
 A document is contaminated by an item if the alignment's score reaches
-``min_score`` of a perfect one.
+``min_score`` of a perfect one and that of ``MIN_WORDS`` words in a row; of an item
+with fewer words, ``WHOLE`` of a perfect one. So short items count by whole or
+nearly whole copies only.
 
 Both passes see whole texts and need no shuffle of them: the benchmark goes to
 the tasks in blocks of at most ``BLOCK_WORDS`` words, each block in passes of
@@ -42,6 +46,10 @@ from pyspark.sql import functions as F
 from designlens.llm.columns import Words, arrow_map, slices
 
 N, MIN_SCORE, RARE, FAR = 3, 0.4, 1e-4, 8
+#: Least evidence: words in a row, or this share of an item with fewer words.
+MIN_WORDS, WHOLE = 6, 0.8
+#: Cells of the tables that alignments are computed in at once (a single alignment may need more).
+CELLS = 1 << 18
 #: Words of the benchmark that are sent to the tasks at once.
 BLOCK_WORDS = 1_000_000
 
@@ -50,19 +58,32 @@ def plain_words(texts: pa.Array) -> Words:
     return Words(pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("")), r"[^\pL\pN]+", " "))
 
 
-def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment of word codes: score, first and last word of ``words`` in reach of it."""
-    steps = np.arange(len(words) + 1)
-    row, best, end = np.zeros(len(words) + 1, np.int64), 0, 0
-    for code in item:
-        diagonal = row[:-1] + np.where((words == code) & (code > 0), 2, -1)
-        above = np.concatenate(([0], np.maximum(np.maximum(diagonal, row[1:] - 1), 0)))
+def needed(length: int, min_score: float = MIN_SCORE) -> float:
+    """Least score that makes a copy of an item of ``length`` words."""
+    return 2 * max(min_score * length, min(MIN_WORDS, WHOLE * length))
+
+
+def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Best local alignment of each item's word codes with its passage: score, and the place after its last word (the first of equal ones)."""
+    longest, widest = max(map(len, items)), max(map(len, passages))
+    # what fills up an item or a passage equals nothing
+    left, right = np.full((len(items), longest), -1), np.full((len(items), widest), -2)
+    for k, (item, passage) in enumerate(zip(items, passages)):
+        left[k, : len(item)], right[k, : len(passage)] = item, passage
+    left[left == 0] = -1
+    steps = np.arange(widest + 1)
+    rows = np.zeros((len(items), widest + 1), np.int64)
+    best, end = np.zeros((2, len(items)), np.int64)
+    for i in range(longest):
+        diagonal = rows[:, :-1] + np.where(left[:, i : i + 1] == right, 2, -1)
+        above = np.maximum(np.maximum(diagonal, rows[:, 1:] - 1), 0)
         # a gap along the words costs 1 a step: a running maximum
-        row = np.maximum.accumulate(above + steps) - steps
-        k = int(np.argmax(row))
-        if row[k] > best:
-            best, end = int(row[k]), k
-    return best, max(0, end - 2 * len(item)), end
+        rows[:, 1:] = np.maximum.accumulate(above + steps[1:], axis=1) - steps[1:]
+        place = rows.argmax(1)
+        top = rows[np.arange(len(rows)), place]
+        end = np.where(top > best, place, end)
+        best = np.maximum(top, best)
+    return best, end
 
 
 class Block:
@@ -84,7 +105,6 @@ class Block:
         self.item_of, self.place_of = items[order], places[order]
         self.keys, starts = np.unique(keys[order], return_index=True)
         self.starts = np.append(starts, len(order))
-        self.seed = np.ones(len(self.keys), bool)
 
     def grams(self, codes: np.ndarray) -> np.ndarray:
         """A key for each n words in a row; negative where a word isn't in the benchmark."""
@@ -120,22 +140,21 @@ class Block:
         return np.bincount(pairs % max(len(self.keys), 1), minlength=len(self.keys))
 
     def choose(self, frequency: np.ndarray, documents: int, rare: float) -> None:
-        """Keep an item's rare sequences, and those that are not far more frequent than its median one."""
-        keep = frequency <= rare * documents
+        """Keep each item's rare sequences, and those that are not far more frequent than its median one."""
         gram = np.repeat(np.arange(len(self.keys)), np.diff(self.starts))
-        order = np.lexsort((frequency[gram], self.item_of))
-        items, grams = self.item_of[order], gram[order]
-        first, last = (np.searchsorted(items, items, side=x) for x in ("left", "right"))
-        median = frequency[grams[(first + last) // 2]] if len(grams) else frequency[:0]
-        keep[grams[frequency[grams] <= FAR * np.maximum(median, 1)]] = True
-        self.seed = keep
+        often = frequency[gram]
+        order = np.lexsort((often, self.item_of))
+        first, last = (np.searchsorted(self.item_of[order], self.item_of, side=x) for x in ("left", "right"))
+        median = often[order][(first + last) // 2] if len(order) else often
+        keep = (often <= rare * documents) | (often <= FAR * np.maximum(median, 1))
+        self.item_of, self.place_of = self.item_of[keep], self.place_of[keep]
+        self.starts = np.concatenate(([0], np.cumsum(keep)))[self.starts]
 
     def matches(self, texts: pa.Array, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
         """Row, item, score as a share of a perfect one, first and last word of the aligned passage."""
         rows, places, k, codes = self.hits(texts)
+        before = None
         bounds = self._bounds
-        use = self.seed[k]
-        rows, places, k = rows[use], places[use], k[use]
         many = np.diff(self.starts)[k]
         at = np.repeat(self.starts[k], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
         row, place, item, own = np.repeat(rows, many), np.repeat(places, many), self.item_of[at], self.place_of[at]
@@ -146,18 +165,26 @@ class Block:
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > length[1:] // 2 + 4)
         starts = np.flatnonzero(new)
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for a, b in zip(starts, np.append(starts[1:], len(row))):
-            r, i = int(row[a]), int(item[a])
-            words = self.items[i]
-            slack = len(words) // 4 + 4
-            lo, hi = max(int(bounds[r]), int(diagonal[a]) - slack), min(int(bounds[r + 1]), int(diagonal[b - 1]) + len(words) + slack)
-            score, first, last = align(words, codes[lo:hi])
-            score /= 2 * len(words)
-            if score >= min_score and score > best.get((r, i), (0,))[0]:
-                best[r, i] = (score, lo - int(bounds[r]) + first, lo - int(bounds[r]) + last)
-        for (r, i), x in sorted(best.items()):
-            yield r, i, *x
+        ends = np.append(starts[1:], len(row))[: len(starts)] - 1
+        row, item, words = row[starts], item[starts], length[starts]
+        slack = words // 4 + 4
+        low = np.maximum(bounds[row], diagonal[starts] - slack)
+        high = np.minimum(bounds[row + 1], diagonal[ends] + words + slack)
+        score, end = np.zeros((2, len(starts)), np.int64)
+        # passages of like lengths together, so that little is filled up
+        order = np.lexsort((high - low, words))
+        at = 0
+        while at < len(order):
+            wide = np.maximum.accumulate((high - low)[order[at : at + CELLS]]) + 1
+            some = order[at : at + max(1, int((wide * np.arange(1, len(wide) + 1) <= CELLS).sum()))]
+            score[some], end[some] = align([self.items[i] for i in item[some]], [codes[a:b] for a, b in zip(low[some], high[some])])
+            at += len(some)
+        found = np.flatnonzero(score >= np.array([needed(len(x), min_score) for x in self.items])[item])
+        found = found[np.lexsort((found, -score[found], item[found], row[found]))]
+        for r, i, x, last, begin, own in zip(*(v[found].tolist() for v in (row, item, score, end, low - bounds[row], words))):
+            if (r, i) != before:
+                yield r, i, x / (2 * own), begin + max(0, last - 2 * own), begin + last
+            before = (r, i)
 
 
 def blocks(benchmark: DataFrame, n: int, block_words: int) -> Iterator[Block]:

@@ -234,7 +234,7 @@ def test_decontamination_finds_edited_copies_of_an_item_that_many_copy(spark):
         rows.append((k, " ".join([word() for _ in range(20)] + copy + [word() for _ in range(20)])))
         places = [i for i in range(14) if copy[i : i + 3] == item[i : i + 3]]
         codes = np.array([item.index(w) + 1 if w in item else 0 for w in copy])
-        if places and decontaminate.align(np.arange(1, 17), codes)[0] >= 0.4 * 32:
+        if places and decontaminate.align([np.arange(1, 17)], [codes])[0][0] >= 0.4 * 32:
             expected.add(k)
     # a sequence of the item that is common apart from it is not a seed, and another item's phrase is not a copy
     rows += [(1000 + k, " ".join([word(), *item[:3], word()])) for k in range(50)]
@@ -262,9 +262,10 @@ def test_decontamination_equals_brute_force(spark):
         for item_id, item in items:
             w = (item or "").split()
             if item_id is not None and own & {tuple(w[i : i + 3]) for i in range(len(w) - 2)}:
-                best = decontaminate.align(np.array([codes[x] for x in w]), np.array([codes[x] for x in words]))[0] / (2 * len(w))
-                if best >= decontaminate.MIN_SCORE:
-                    expected[doc_id, item_id] = max(best, expected.get((doc_id, item_id), 0))
+                best = decontaminate.align([np.array([codes[x] for x in w])], [np.array([codes[x] for x in words])])[0][0]
+                # 0.4 of a perfect score, that of six words in a row, or of fewer words 0.8 of a perfect one
+                if best >= max(0.8 * len(w), min(12, 1.6 * len(w))):
+                    expected[doc_id, item_id] = max(best / (2 * len(w)), expected.get((doc_id, item_id), 0))
     assert len(expected) > 60 and got == pytest.approx(expected)
     left = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), rare=1.0)
     assert left.columns == docs.columns
@@ -272,15 +273,50 @@ def test_decontamination_equals_brute_force(spark):
     assert sorted((r.doc_id, r.text or "") for r in left.collect()) == sorted((d, t or "") for d, t in rows if d not in bad)
 
 
-def test_alignment_equals_the_textbook():
+def test_decontamination_seeds_belong_to_items(monkeypatch):
+    """A short item made of a common phrase makes it no seed of longer items; short items count by whole or nearly whole copies."""
+    random.seed(31)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    items = [" ".join(["what is the", *(word() for _ in range(12))]) for _ in range(2000)]
+    texts = [f"{word()} {word()} what is the {word()} {word()}" for _ in range(19)] + [f"{word()} {items[7]} {word()}"]
+    block = decontaminate.Block([*range(2001)], ["what is the", *items], 3)
+    block.choose(block.count(pa.array(texts)), len(texts), decontaminate.RARE)
+    called, align = [], decontaminate.align
+    monkeypatch.setattr(decontaminate, "align", lambda a, b: called.append(len(a)) or align(a, b))
+    found = {(r, block.ids[i]) for r, i, *_ in block.matches(pa.array(texts), decontaminate.MIN_SCORE)}
+    assert found == {*((r, 0) for r in range(20)), (19, 8)}
+    # an alignment for each document with the phrase, and one for the item that is copied
+    assert sum(called) == 21
+
+
+def test_decontamination_of_short_items(spark):
+    bench = spark.createDataFrame([(1, "what is the capital of the country"), (2, "a red fox")], "item_id long, text string")
+    texts = ["we saw the capital of the old town", "the size of the country matters", "What is the capital of the country?", "so: what is the capital of the land", "no red fox here", "it was a red fox, no dog"]
+    found = decontaminate.contaminated(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(2, 1), (3, 1), (5, 2)}
+
+
+def test_alignments_equal_the_textbook(monkeypatch):
     rng = np.random.default_rng(0)
-    for _ in range(40):
-        a, b = rng.integers(1, 5, rng.integers(1, 12)), rng.integers(1, 5, rng.integers(1, 15))
+    items, passages, scores, ends = [], [], [], []
+    for _ in range(60):
+        a, b = rng.integers(0, 5, rng.integers(1, 12)), rng.integers(0, 5, rng.integers(1, 15))
         h = np.zeros((len(a) + 1, len(b) + 1), int)
+        best = end = 0
         for i in range(len(a)):
             for j in range(len(b)):
-                h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
-        assert decontaminate.align(a, b)[0] == h.max()
+                # 0 is a word that no item holds
+                h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] > 0 else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
+                if h[i + 1, j + 1] > best:
+                    best, end = h[i + 1, j + 1], j + 1
+        items.append(a), passages.append(b), scores.append(best), ends.append(end)
+    got = decontaminate.align(items, passages)
+    assert [x.tolist() for x in got] == [scores, ends]
+    text = ["x y p q r s t u v w z", "p q r s t u", "z " * 40 + "p q r s t u v w", ""]
+    block = decontaminate.Block([1, 2], ["p q r s t u v w", "x y p q r s"], 3)
+    whole = [*block.matches(pa.array(text), 0.4)]
+    monkeypatch.setattr(decontaminate, "CELLS", 1)
+    assert whole == [*block.matches(pa.array(text), 0.4)] and len(whole) == 4
 
 
 def test_warc_audit_finds_every_changed_record(spark, tmp_path):

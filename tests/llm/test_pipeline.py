@@ -103,7 +103,8 @@ def test_pipeline_equals_plain_python(spark, folder):
             own = re.findall(r"[^\W_]+", item.lower())
             codes = {w: i + 1 for i, w in enumerate(dict.fromkeys(own))}
             if {tuple(own[i : i + 3]) for i in range(len(own) - 2)} & {tuple(words[i : i + 3]) for i in range(len(words) - 2)}:
-                if decontaminate.align(np.array([codes[w] for w in own]), np.array([codes.get(w, 0) for w in words]))[0] >= decontaminate.MIN_SCORE * 2 * len(own):
+                score = decontaminate.align([np.array([codes[w] for w in own])], [np.array([codes.get(w, 0) for w in words])])[0][0]
+                if score >= max(0.8 * len(own), min(12, 1.6 * len(own))):
                     return True
         return False
 
