@@ -1,9 +1,11 @@
 """WARC shards, and a Merkle audit of their replicas.
 
-Shards hold WARC/1.1 response records, each a gzip member of its own whose
+Shards hold WARC/1.1 resource records, each a gzip member of its own whose
 header carries the "sl" skip-length field, so that a reader finds the next
-record without unpacking this one. Spark's committed file writer stores them
-(``shard=K/`` folders), so lost executors leave no partial shards.
+record without unpacking this one. Members follow each other without a byte
+between them, so any gzip or WARC reader opens a shard. Spark's committed file
+writer stores them (``shard=K/`` folders), so lost executors leave no partial
+shards.
 
 Audit. Every record of a replica is hashed with its offset and length. Ordered
 offset ranges are hashed into a tree: ``RANGE`` bytes of a shard, ``FANOUT`` of
@@ -15,9 +17,11 @@ level, down to the records. So equal branches are never looked into, and damage
 is located by shard and offset. A record whose gzip checksum fails, or that isn't
 there, is the damaged one.
 
-Defined results: null html is an empty payload, a null url is left out of the
-record's header, a null page_id is a record without a number. Repeated pages are
-records of their own. Pages of any length are records of one member. Replicas of
+Defined results: null html is an empty payload, a null or blank url makes a
+metadata record, which needs no address, a null page_id is a record without a
+Page-ID field. Record ids come from a record's place, so repeated pages are
+records of their own with ids of their own. White space of a url is written as
+%20. Pages of any length are records of one member. Replicas of
 an empty table are equal. Only ``page_id``, ``url`` and ``html`` are read, so
 further columns and their names have no effect.
 """
@@ -26,7 +30,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -63,24 +69,40 @@ def unpack(member: bytes) -> bytes | None:
         return None
 
 
-def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
-    payload = (html or "").encode()
-    head = [b"WARC/1.1", b"WARC-Type: response"]
+def record(page_id: int | None, url: str | None, html: str | None, place: str, date: str) -> bytes:
+    """A WARC record; ``place`` (shard and number in it) gives its id, ``date`` is a UTC time like 2024-01-31T23:59:59Z."""
+    payload, address = (html or "").encode(), "%20".join((url or "").split())
+    head = [b"WARC/1.1", b"WARC-Type: " + (b"resource" if address else b"metadata"), b"WARC-Date: " + date.encode()]
+    head.append(b"WARC-Record-ID: " + uuid.uuid5(uuid.NAMESPACE_URL, f"{place}:{page_id}").urn.join("<>").encode())
+    if address:
+        head.append(b"WARC-Target-URI: " + address.encode())
     if page_id is not None:
-        head.append(b"WARC-Record-ID: <urn:page:%d>" % page_id)
-    if url is not None:
-        head.append(b"WARC-Target-URI: " + " ".join(url.split()).encode())
+        head.append(b"Page-ID: %d" % page_id)
     head += [b"WARC-Payload-Digest: sha256:" + hashlib.sha256(payload).hexdigest().encode(), b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload)]
     return b"\r\n".join(head) + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
-    """Pack ``pages`` (page_id, url, html) into shards below ``path``, without a shuffle."""
+def information(place: str, date: str) -> bytes:
+    """A warcinfo record for what follows it."""
+    fields = b"software: designlens\r\n"
+    head = [b"WARC/1.1", b"WARC-Type: warcinfo", b"WARC-Date: " + date.encode(), b"WARC-Record-ID: " + uuid.uuid5(uuid.NAMESPACE_URL, f"info:{place}").urn.join("<>").encode()]
+    return b"\r\n".join([*head, b"Content-Type: application/warc-fields", b"Content-Length: %d" % len(fields)]) + b"\r\n\r\n" + fields + b"\r\n\r\n"
+
+
+def write_warc(pages: DataFrame, path: str, date: str | None = None) -> None:
+    """Pack ``pages`` (page_id, url, html) into shards below ``path``, without a shuffle; ``date`` of the records is now by default."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
-        shard, size = TaskContext.get().partitionId() << 20, 0
+        task = TaskContext.get().partitionId()
+        shard, size, count = task << 20, 0, 0
         for batch in slices(batches, "html"):
-            block = b"".join(pack(record(*x)) for x in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")))
+            block = b"".join(pack(record(*x, f"{task}:{count + i}", date)) for i, x in enumerate(rows))
+            count += batch.num_rows
+            if block[-1]:
+                # the writer needs a zero at the end: the last member's size has one below 16 MB
+                block += pack(information(f"{task}:{count}", date))
             if size and size + len(block) > SHARD_BYTES:
                 shard, size = shard + 1, 0
             size += len(block)
@@ -91,8 +113,9 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
 
 def _write(blocks: DataFrame, path: str) -> None:
-    # a binary cast to string keeps its bytes; a line feed follows each block
-    blocks.select(F.col("block").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(path)
+    # a binary cast to string keeps its bytes; the writer's separator, a zero, is the last byte of a block (of one with another end it is padding)
+    last = F.length("block") - F.when(F.expr("endswith(block, X'00')"), 1).otherwise(0)
+    blocks.select(F.col("block").substr(F.lit(1), last).cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\0").option("compression", "none").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -127,8 +150,8 @@ def leaves(spark: SparkSession, path: str) -> DataFrame:
                     member = bytes(view[offset : offset + length])
                     text = unpack(member)
                     page = None
-                    if text is not None and b"WARC-Record-ID: <urn:page:" in (head := text[: text.find(b"\r\n\r\n")]):
-                        page = int(head.split(b"WARC-Record-ID: <urn:page:", 1)[1].split(b">", 1)[0])
+                    if text is not None and b"\r\nPage-ID: " in (head := text[: text.find(b"\r\n\r\n")]):
+                        page = int(head.split(b"\r\nPage-ID: ", 1)[1].split(b"\r\n", 1)[0])
                     rows.append((shard, offset, length, page, text is not None, hashlib.sha256(member).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()))], [c.split()[0] for c in LEAVES.split(", ")])
 
@@ -183,6 +206,8 @@ def audit(spark: SparkSession, path_a: str, path_b: str) -> DataFrame:
     return out.select(F.coalesce("page_id_a", "page_id_b").alias("page_id"), "shard", "offset", F.coalesce("length_a", "length_b").alias("length"), F.coalesce("sound_a", F.lit(False)).alias("sound_a"), F.coalesce("sound_b", F.lit(False)).alias("sound_b"))
 
 
+#: The table of pages has no times; a stated one lets runs give the same bytes.
+DATE = "2000-01-01T00:00:00Z"
 #: One record in so many is damaged by ``damaged_copy``, for each kind of damage.
 DAMAGE = 211
 
@@ -212,6 +237,6 @@ def audited_pages(pages: DataFrame) -> DataFrame:
     """Pack ``pages``, copy the shards with faults, and audit the two replicas."""
     spark = pages.sparkSession
     first, second = shared_path(spark, "warc-a"), shared_path(spark, "warc-b")
-    write_warc(pages, first)
+    write_warc(pages, first, DATE)
     damaged_copy(spark, first, second)
     return audit(spark, first, second)

@@ -337,6 +337,42 @@ def test_warc_audit_finds_every_changed_record(spark, tmp_path):
     assert levels[-1].count() == 1 and levels[warc.LEVELS].count() == len(first)
 
 
+def test_warc_shards_open_with_standard_readers(spark, tmp_path):
+    """Shards through gzip as a whole, then read record by record as the format is defined."""
+    import gzip
+    import hashlib
+    import pathlib
+
+    rows = [(i, f"http://x/{i}" if i % 7 else None, None if i % 11 == 0 else f"<p>page {i} é</p>\r\n\r\n" * (i % 50)) for i in range(250)]
+    rows += [(None, "http://x/a b", "h"), (5, "http://x/5", "again"), (5, "http://x/5", "again"), (7000, "", ""), (8000, "http://x/long", "0123456789abcdef" * (9 << 16)), (8001, "http://x/\u2028y", "after")]
+    # blocks of few records, so that shards hold several
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    warc.write_warc(spark.read.parquet(f"{tmp_path}/pages"), f"file://{tmp_path}/a", "2024-01-31T23:59:59Z")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got, ids = [], []
+    for file in sorted(pathlib.Path(f"{tmp_path}/a").rglob("part-*")):
+        packed = file.read_bytes()
+        data, at = gzip.decompress(packed), 0
+        assert len(data) == sum(len(warc.unpack(packed[o : o + n])) for o, n in warc.members(memoryview(packed)))
+        while at < len(data):
+            end = data.index(b"\r\n\r\n", at)
+            version, *lines = data[at:end].decode().split("\r\n")
+            head = dict(line.split(": ", 1) for line in lines)
+            body = data[end + 4 : end + 4 + int(head["Content-Length"])]
+            at = end + 4 + len(body) + 4
+            assert version == "WARC/1.1" and data[at - 4 : at] == b"\r\n\r\n" and head["WARC-Date"] == "2024-01-31T23:59:59Z"
+            assert re.fullmatch("<urn:uuid:[0-9a-f-]{36}>", head["WARC-Record-ID"])
+            ids.append(head["WARC-Record-ID"])
+            if head["WARC-Type"] != "warcinfo":
+                assert (head["WARC-Type"] == "resource") == ("WARC-Target-URI" in head)
+                assert head["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(body).hexdigest()
+                got.append((head.get("Page-ID"), head.get("WARC-Target-URI"), body.decode()))
+    expected = [(None if p is None else str(p), "%20".join((u or "").split()) or None, h or "") for p, u, h in rows]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected)) and len(set(ids)) == len(ids)
+
+
 def test_warc_audit_of_missing_shards_long_pages_and_clashing_columns(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "SHARD_BYTES", 1 << 12)
     monkeypatch.setattr(warc, "RANGE", 1 << 8)
