@@ -22,8 +22,11 @@ The trigram counts come from all documents, by declared language, as a grouped
 table of exact trigrams, so it grows with the corpus. Documents fall into two
 halves by a hash of their text; the text of a document is scored with the counts
 of the other half, so no document, nor an exact copy of it, is judged by a model
-that holds its own label. Languages are the declared ones of at least
-``MIN_DOCUMENTS`` documents, whatever their share. The table goes to the tasks in
+that holds its own label. Languages are all declared ones, however few their
+documents; a half of the documents is judged among those that some document with
+letters of the other half declares, as nothing is known of the trigrams of others.
+More than ``MAX_LANGUAGES`` names are no languages but a wrong column and raise an
+error. The table goes to the tasks in
 blocks of about ``BLOCK_CELLS`` counts; a larger one takes further passes, each
 carrying on the scores of the passages, so what is on the driver and sent to
 tasks at once has a fixed bound and nothing is left out.
@@ -35,7 +38,8 @@ Defined results: null, empty and letterless texts get language "und", posterior
 0 and are rejected; a text that the unknown class fits best gets "und" and the
 posterior of its best language; a null or unknown declared language says nothing; a null
 host takes the suffix's prior (none, then the corpus's); without any declared
-language in the table every document is "und". Of languages with equal scores
+language in the table every document is "und"; a declared language that only the
+document's own half holds says nothing. Of languages with equal scores
 the first by name wins. Rows are judged one by one, so repeated rows get equal
 results. Texts of any length are scored whole. An empty table gives an empty one.
 Further columns are passed through under any name; input columns named
@@ -50,14 +54,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from designlens.llm.columns import Words, arrow_map, run_sums, slices
+from designlens.llm.columns import SLICE_BYTES, Words, arrow_map, run_sums, slices
 from designlens.shared import materialize
 
-MIN_DOCUMENTS = 5
+#: Names that may be declared; all languages of the world have fewer.
+MAX_LANGUAGES = 10_000
 #: Counts of the trigram table that are sent to the tasks at once, and languages that are scored at once in a task.
 BLOCK_CELLS, LANGUAGES_AT_ONCE = 1_000_000, 64
 TRUST, TEMPER, MIN_POSTERIOR, UNKNOWN = 0.9, 0.5, 0.5, 1e-3
 PASSAGE = 16
+#: Log-likelihood of a trigram in a language of which nothing is known: never the best one.
+UNHEARD = -1e6
 #: Weight of the level above, in documents.
 SUFFIX_WEIGHT, HOST_WEIGHT = 50.0, 20.0
 #: A table of host priors goes to all tasks up to this many hosts; a larger one is joined.
@@ -91,9 +98,12 @@ def fold_of(text: Column) -> Column:
 
 
 def languages(docs: DataFrame, declared: str) -> list[tuple[str, int]]:
-    """Declared languages with enough documents, and their documents."""
-    counts = docs.groupBy(F.col(declared).alias("l")).agg(F.count("*").alias("n"))
-    return [(r.l, r.n) for r in counts.where(F.col("l").isNotNull() & (F.col("n") >= MIN_DOCUMENTS)).orderBy("l").collect()]
+    """Declared languages and their documents."""
+    counts = docs.groupBy(F.col(declared).cast("string").alias("l")).agg(F.count("*").alias("n"))
+    found = counts.where(F.col("l").isNotNull()).orderBy("l").limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"{declared} declares more than {MAX_LANGUAGES} languages")
+    return [(r.l, r.n) for r in found]
 
 
 def count_trigrams(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -124,7 +134,8 @@ class TextModel:
 
     The model of a half is smoothed by the number of its distinct trigrams
     (Witten-Bell) towards any of ``kinds`` trigrams alike. Scores of a block are
-    what its trigrams add to those of passages of unseen trigrams.
+    what its trigrams add to those of passages of unseen trigrams. ``heard`` has
+    the languages that the model of each half knows.
     """
 
     def __init__(self, cells: pa.Table, totals: np.ndarray, distinct: np.ndarray, kinds: int, first: bool):
@@ -133,7 +144,7 @@ class TextModel:
         keys, code = np.unique(cells.column("f").to_numpy(), return_inverse=True)
         fold, l, n = (cells.column(c).to_numpy() for c in ("fold", "l", "n"))
         self.keys, self.languages = keys, totals.shape[1]
-        self.models = []
+        self.models, self.heard = [], totals.sum(0) - totals > 0
         for k in range(FOLDS):
             use = fold != k
             own = (totals.sum(0) - totals[k], distinct.sum(0) - distinct[k] + 1)
@@ -141,11 +152,13 @@ class TextModel:
             order = np.lexsort((l[use], code[use]))
             at, lang, count = code[use][order], l[use][order], n[use][order].astype(float)
             more = count / (own[0] + own[1])[lang]
-            mean = (unseen.sum() + np.bincount(at, weights=more, minlength=len(keys))) / self.languages
-            none = 0.5 * unseen.mean() + 0.5 * self.even
+            heard = max(int(self.heard[k].sum()), 1)
+            rest = unseen[self.heard[k]].sum() / heard
+            mean = rest + np.bincount(at, weights=more, minlength=len(keys)) / heard
+            none = 0.5 * rest + 0.5 * self.even
             unknown = np.log((0.5 * mean + 0.5 * self.even) / none)
             add = np.log1p(more / unseen[lang]).astype(np.float32)
-            self.models.append((np.log(np.append(unseen, none)), np.searchsorted(at, np.arange(len(keys) + 1)), lang.astype(np.int32), add, unknown.astype(np.float32)))
+            self.models.append((np.append(np.where(self.heard[k], np.log(unseen), UNHEARD), np.log(none)), np.searchsorted(at, np.arange(len(keys) + 1)), lang.astype(np.int32), add, unknown.astype(np.float32)))
 
     def score(self, texts: pa.Array, folds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Score of each passage in each class, the bounds of each text's passages, and its number of trigrams."""
@@ -208,14 +221,18 @@ class Fusion:
 
     def __init__(self, names: list[str], overall: np.ndarray, trust: float, min_posterior: float):
         self.names, self.place, self.overall = names, {x: i for i, x in enumerate(names)}, overall
-        self.trust, self.wrong, self.min_posterior = trust, (1 - trust) / max(len(names) - 1, 1), min_posterior
+        self.trust, self.min_posterior = trust, min_posterior
 
-    def judge(self, passages: np.ndarray, bounds: np.ndarray, n: np.ndarray, declared: list, of_host: pa.ListArray, of_suffix: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, posterior and whether it is kept, of each text."""
+    def judge(self, passages: np.ndarray, bounds: np.ndarray, n: np.ndarray, heard: np.ndarray, declared: list, of_host: pa.ListArray, of_suffix: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, posterior and whether it is kept, of each text; ``heard`` has the languages that each text's model knows."""
         many = len(self.names)
         text = np.stack([run_sums(x, bounds) for x in passages.T], 1) if len(passages) else np.zeros((len(n), many + 1))
         place = np.array([self.place.get(x, -1) for x in declared], np.int64)
-        said = np.repeat(np.where(place < 0, 0.0, np.log(self.wrong or 1.0))[:, None], many, 1)
+        # a language that the model doesn't know can't be held against others
+        place[~heard[np.arange(len(place)), place]] = -1
+        others = heard.sum(1)
+        wrong = (1 - self.trust) / np.maximum(others - 1, 1)
+        said = np.repeat(np.where(place < 0, 0.0, np.log(np.where(wrong > 0, wrong, 1.0)))[:, None], many, 1)
         own = np.flatnonzero(place >= 0)
         said[own, place[own]] = np.log(self.trust)
         h, s = _counts(of_host, many), _counts(of_suffix, many)
@@ -225,7 +242,7 @@ class Fusion:
         top = post[np.arange(len(post)), best]
         # a text in several languages fits none as a whole: what it gains by a language for each passage is taken from the unknown class
         gain = run_sums(passages[:, :many].max(1) if len(passages) else np.zeros(0), bounds) - text[np.arange(len(text)), best]
-        unknown = TEMPER * text[:, -1] + np.where(place < 0, 0.0, -np.log(many)) + np.log(UNKNOWN) - TEMPER * gain
+        unknown = TEMPER * text[:, -1] + np.where(place < 0, 0.0, -np.log(np.maximum(others, 1))) + np.log(UNKNOWN) - TEMPER * gain
         sure = np.where(n > 0, 1 / (np.exp(np.logaddexp.reduce(post, 1) - top) + np.exp(np.minimum(unknown - top, 700.0))), 0.0)
         name = [self.names[b] if k and u <= t else "und" for b, k, u, t in zip(best, n > 0, unknown, top)]
         return name, sure, (n > 0) & (sure >= self.min_posterior)
@@ -262,13 +279,15 @@ def identify(docs: DataFrame, declared: str = "lang", host: str = "source", text
         model, last = TextModel(cells, totals, distinct, kinds, b == 0), b == blocks - 1
 
         def run(batches, model=model, first=b == 0, last=last):
-            for batch in slices(batches, "text"):
-                passages, bounds, n = model.score(batch.column("text"), batch.column("fold").to_numpy())
+            # scores take a row of numbers a passage, so fewer texts at once with many languages
+            for batch in slices(batches, "text", SLICE_BYTES * LANGUAGES_AT_ONCE // max(LANGUAGES_AT_ONCE, model.languages)):
+                folds = batch.column("fold").to_numpy()
+                passages, bounds, n = model.score(batch.column("text"), folds)
                 if not first:
                     passages = passages + batch.column("passages").flatten().to_numpy(zero_copy_only=False).reshape(passages.shape)
                 kept = [batch.column(c) for c in own]
                 if last:
-                    lang, sure, keep = fusion.judge(passages, bounds, n, batch.column("label").to_pylist(), batch.column("of_host"), batch.column("of_suffix"))
+                    lang, sure, keep = fusion.judge(passages, bounds, n, model.heard[folds], batch.column("label").to_pylist(), batch.column("of_host"), batch.column("of_suffix"))
                     yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(keep, pa.bool_())], [*own, *found])
                 else:
                     ends = pa.array(bounds * passages.shape[1], pa.int32())

@@ -548,6 +548,27 @@ def test_language_rejects_unknown_texts_and_keeps_small_languages(spark, monkeyp
     assert one == two
 
 
+def test_language_of_few_documents(spark, monkeypatch):
+    """Four documents of a language are enough for it; one document of another language alone is judged by the others."""
+    random.seed(14)
+    syllables = {"en": "the and wi th ho use ri ver".split(), "fr": "le et av ec mai son été".split(), "xx": "qu oz ka nju ty bwe".split(), "yy": "ør æg hyl skå".split()}
+    text = lambda l: " ".join("".join(random.choices(syllables[l], k=2)) for _ in range(40))
+    labels = ["en"] * 200 + ["fr"] * 100 + ["xx"] * 4 + ["yy"]
+    rows = [(i, text(l), l) for i, l in enumerate(labels)] + [(900, text("en"), "zz"), (901, text("xx"), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    folds = {r.doc_id: r.fold for r in docs.select("doc_id", language_id.fold_of(F.col("text")).alias("fold")).collect()}
+    assert len({folds[i] for i in range(300, 304)}) == 2
+    got = {r.doc_id: (r.lid_lang, r.lid_kept) for r in language_id.identify(docs).collect()}
+    assert [got[i] for i in range(304)] == [(l, True) for l in labels[:304]]
+    # nothing supports yy but the document itself; the English text is English in spite of its label
+    assert got[304] == ("und", False) and got[900] == ("en", True) and got[901] == ("xx", True)
+    alone = docs.where("doc_id = 304 or doc_id is null")
+    assert [(r.lid_lang, r.lid_kept) for r in language_id.identify(alone).collect()] == [("und", False)]
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 4)
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        language_id.identify(docs)
+
+
 def test_language_of_pages_by_markup_address_and_text(spark):
     """Pages have what documents lack: a markup language and addresses with suffixes. A fifth of them don't say their language."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
@@ -574,32 +595,35 @@ def test_language_by_an_independent_score(spark):
     rows = [(i, " ".join(random.choices(w, k=random.randrange(1, 40))), l, random.choice(["a.x", "b.y", "c", None])) for i, (w, l) in enumerate([("alpha beta gamma".split(), "aa"), ("delta alpha omega".split(), "bb")] * 20)]
     rows += [(100, "alpha omega", None, None), (101, "zzz qqq", "xx", "new.z"), (102, None, "aa", None), (0, *rows[0][1:])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("fold", language_id.fold_of(F.col("text")))
-    names = ["aa", "bb"]
+    names = ["aa", "bb", "xx"]
     folds = {r.text: r.fold for r in docs.collect()}
     grams = lambda t: [[f" {w} "[i : i + 3] for i in range(len(w))] for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
     counts = {(k, l): Counter(g for _, t, x, _ in rows if x == l and folds[t] != k for w in grams(t) for g in w) for k in (0, 1) for l in names}
     kinds = len({g for _, t, x, _ in rows if x in names for w in grams(t) for g in w})
     labelled = Counter(x for _, _, x, _ in rows if x in names)
-    overall = {l: (labelled[l] + 1) / (sum(labelled.values()) + 2) for l in names}
+    overall = {l: (labelled[l] + 1) / (sum(labelled.values()) + 3) for l in names}
     suffix = lambda h: h.rsplit(".", 1)[-1] if h and "." in h else None
     got = {(r.doc_id, r.text): r for r in language_id.identify(docs).collect()}
     for i, t, said, host in rows:
         k, words = folds[t], grams(t)
+        # one document declares xx, so only the other half knows of it
+        heard = [l for l in names if counts[k, l]]
+        assert ("xx" in heard) == (k != folds["zzz qqq"])
         # distinct trigrams are summed over the other halves, one half here
         p = {}
-        for l in names:
+        for l in heard:
             c = counts[k, l]
             d, n = len(c) + 1, sum(c.values())
             p[l] = lambda g, c=c, d=d, n=n: (c[g] + d / kinds) / (n + d)
-        unknown = lambda g: 0.5 * (p["aa"](g) + p["bb"](g)) / 2 + 0.5 / kinds
-        text = {l: sum(math.log(p[l](g)) for w in words for g in w) for l in names}
+        unknown = lambda g: 0.5 * sum(p[l](g) for l in heard) / len(heard) + 0.5 / kinds
+        text = {l: sum(math.log(p[l](g)) for w in words for g in w) for l in heard}
         of_host, of_suffix = (Counter(x for _, _, x, h in rows if x in names and host is not None and f(h) == f(host)) for f in (lambda h: h, suffix))
         s = {l: (of_suffix[l] + 50 * overall[l]) / (sum(of_suffix.values()) + 50) for l in names}
-        post = {l: 0.5 * text[l] + (0 if said not in names else math.log(0.9 if said == l else 0.1)) + math.log((of_host[l] + 20 * s[l]) / (sum(of_host.values()) + 20)) + math.log(1 - 1e-3) for l in names}
-        best = max(names, key=lambda l: post[l])
+        post = {l: 0.5 * text[l] + (0 if said not in heard else math.log(0.9 if said == l else 0.1 / (len(heard) - 1))) + math.log((of_host[l] + 20 * s[l]) / (sum(of_host.values()) + 20)) + math.log(1 - 1e-3) for l in heard}
+        best = max(heard, key=lambda l: post[l])
         passages = [words[a : a + 16] for a in range(0, len(words), 16)]
-        gain = sum(max(sum(math.log(p[l](g)) for w in x for g in w) for l in names) for x in passages) - text[best]
-        u = 0.5 * sum(math.log(unknown(g)) for w in words for g in w) + (math.log(0.5) if said in names else 0) + math.log(1e-3) - 0.5 * gain
+        gain = sum(max(sum(math.log(p[l](g)) for w in x for g in w) for l in heard) for x in passages) - text[best]
+        u = 0.5 * sum(math.log(unknown(g)) for w in words for g in w) + (-math.log(len(heard)) if said in heard else 0) + math.log(1e-3) - 0.5 * gain
         sure = 1 / (sum(math.exp(v - post[best]) for v in post.values()) + math.exp(min(u - post[best], 700))) if words else 0.0
         r = got[i, t]
         if host is None or "." not in host:
