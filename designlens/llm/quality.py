@@ -3,10 +3,11 @@
 A rule is a condition on the measures of a text (``Measures``) under which the
 document fails. ``ordered_rules`` measures a sample of at most ``SAMPLE`` rows
 and takes from it each rule's selectivity (the rows that fail it) and its cost:
-the stated costs of its measures (``COST``, in nanoseconds) for the sample's
-characters, words and lines. Rules are then put in order one by one: next comes
-the rule that rejects most per cost among the sampled rows that the rules before
-it leave, so rules that reject the same rows do not count twice. Costs come from
+the characters, words, lines and comparisons that its measures go through
+(``WORK``), counted for each sampled row. Rules are then put in order one by one:
+next comes the rule that rejects most per cost, both among the sampled rows that
+the rules before it leave, so rules that reject the same rows do not count twice
+and a rule is not charged for long texts that are gone. Costs come from
 counts, not from a clock, so the order of a table is the same in each run.
 
 ``failed_rule`` applies the rules as a short-circuit cascade: one CASE whose
@@ -96,32 +97,30 @@ RULES: dict[str, Rule] = BASE_RULES | {
     "shouting": (lambda m: 10 * m.n_shouts > m.n_words, ("n_shouts",)),
     "capitals": (lambda m: 10 * m.n_capitals > 3 * m.word_chars, ("n_capitals", "word_chars")),
 }
-#: Nanoseconds for a character, for a word, for a word and each doubling of the number of words, and for a line.
-COST = {
-    "n_words": (0, 0, 0, 0),
-    "word_chars": (2, 20, 0, 0),
-    "n_symbols": (8, 0, 0, 0),
-    "n_repeat_words": (0, 600, 150, 0),
-    "lines": (6, 0, 0, 200),
-    "n_shouts": (8, 0, 0, 0),
-    "n_capitals": (10, 0, 0, 0),
+#: What a measure goes through in a text with such counts: characters, words, lines, comparisons of the sort.
+WORK: dict[str, Callable[[dict], float]] = {
+    "n_words": lambda r: 1,
+    "word_chars": lambda r: r["_words"] + r["_word_chars"],
+    "n_symbols": lambda r: r["_chars"],
+    "n_repeat_words": lambda r: 3 * r["_words"] * (1 + math.log2(r["_words"] + 1)),
+    "lines": lambda r: r["_chars"] + r["_lines"],
+    "n_shouts": lambda r: r["_chars"],
+    "n_capitals": lambda r: r["_chars"],
 }
 
 
-def rule_cost(measures: tuple[str, ...], chars: float, words: float, lines: float) -> float:
-    """Stated nanoseconds of a rule for a text of so many characters, words and lines."""
-    size = (chars, words, words * math.log2(words + 2), lines)
-    return 10 + sum(c * x for m in measures for c, x in zip(COST[m], size))
+def greedy_order(costs: list[dict[str, float]], failed: list[dict[str, bool]]) -> list[str]:
+    """Names of the rules that ``costs`` and ``failed`` tell of for each row: most rejections per cost next, among the rows left; by cost, then name where they are equal."""
+    left, order, rest = list(zip(costs, failed)), [], set(costs[0])
+    while rest:
 
+        def key(name: str) -> tuple[float, float, str]:
+            cost = 1 + sum(c[name] for c, _ in left)
+            return -sum(f[name] for _, f in left) / cost, cost, name
 
-def greedy_order(costs: dict[str, float], failed: list[dict[str, bool]]) -> list[str]:
-    """Rule names by rejections per cost, each among the rows that the rules before it leave; by name where they are equal."""
-    left, order, rest = failed, [], set(costs)
-    while rest:
-        name = min(rest, key=lambda n: (-sum(r[n] for r in left) / costs[n], costs[n], n))
-        order.append(name)
-        rest.remove(name)
-        left = [r for r in left if not r[name]]
+        order.append(min(rest, key=key))
+        rest.remove(order[-1])
+        left = [x for x in left if not x[1][order[-1]]]
     return order
 
 
@@ -133,11 +132,10 @@ def ordered_rules(docs: DataFrame, rules: dict[str, Rule] = RULES, text: str = "
     t = F.coalesce(F.col("t"), F.lit(""))
     seen = docs.select(F.col(text).cast("string").alias("t")).sample(SAMPLE_SHARE, 7)
     m = Measures(t, words_of(t))
-    facts = [F.length(t).alias("_chars"), m.n_words.alias("_words"), F.size(m.lines).alias("_lines")]
+    facts = [F.length(t).alias("_chars"), m.n_words.alias("_words"), F.size(m.lines).alias("_lines"), m.word_chars.alias("_word_chars")]
     rows = [r.asDict() for r in seen.select(*facts, *[rule(m).alias(name) for name, (rule, _) in rules.items()]).take(SAMPLE)]
-    n = max(len(rows), 1)
-    chars, words, lines = (sum(r[c] for r in rows) / n for c in ("_chars", "_words", "_lines"))
-    return greedy_order({name: rule_cost(needs, chars, words, lines) for name, (_, needs) in rules.items()}, rows)
+    costs = [{name: sum(WORK[m](r) for m in needs) for name, (_, needs) in rules.items()} for r in rows]
+    return greedy_order(costs, rows) if rows else list(rules)
 
 
 def cascade(order: list[str], rules: dict[str, Rule], measures: Measures) -> Column:

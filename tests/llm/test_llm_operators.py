@@ -50,6 +50,21 @@ def test_quality_measures_equal_brute_force(spark, odd):
     assert [tuple(r) for r in quality.filter_quality(kept).collect()] == [(1, good, 0)]
 
 
+def test_quality_rules_are_ordered_by_rejections_per_cost(spark):
+    # b rejects what a does, so after a it rejects nothing more; c's long text is gone after a
+    costs = [{"a": 1, "b": 1, "c": 1000}, {"a": 1, "b": 1, "c": 1}, {"a": 1, "b": 1, "c": 1}]
+    failed = [{"a": True, "b": True, "c": False}, {"a": True, "b": False, "c": False}, {"a": False, "b": False, "c": True}]
+    assert quality.greedy_order(costs, failed) == ["a", "c", "b"]
+    rows = [(i, "!! " * 30 + " ".join(f"w{j}" for j in range(60))) for i in range(300)] + [(1000 + i, "few words") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = quality.ordered_rules(docs)
+    # a count of words costs next to nothing; no other rule rejects a shouting text
+    assert order[:2] == ["few_words", "shouting"] and sorted(order) == sorted(quality.RULES) and order == quality.ordered_rules(docs)
+    assert quality.ordered_rules(empty(docs)) == list(quality.RULES)
+    judged = quality.judged(docs)
+    assert {(r.failed_rule, r.kept) for r in judged.collect()} == {("shouting", False), ("few_words", False)}
+
+
 def test_unigram_equals_the_library_lattice(spark, odd):
     import sentencepiece as spm
     from sentencepiece import sentencepiece_model_pb2 as pb
