@@ -57,15 +57,19 @@ def representative_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("topology").agg(F.count("*").alias("n_kept"), F.max("circuit").alias("max_circuit"))
 
 
-@query(f"""{SQL}, ob AS (SELECT topology, gate_count, round(avg(circuit), 2) AS mean_circuit FROM d GROUP BY ALL), ex AS (SELECT gate_count, round(0.99 * avg(circuit), 2) AS low, round(1.01 * avg(circuit), 2) AS high FROM d GROUP BY gate_count HAVING gate_count < 7)
-SELECT topology, mean_circuit, low, high, mean_circuit BETWEEN low AND high AS inside FROM ob LEFT JOIN ex ON ob.gate_count = ex.gate_count""")
+@query(f"""{SQL}, {_CUTS}, ob AS (SELECT topology, gate_count, round(avg(circuit), 2) AS mean_circuit FROM d GROUP BY ALL), ex AS (SELECT gate_count, round(0.99 * avg(circuit), 2) AS near_low, round(1.01 * avg(circuit), 2) AS near_high FROM d GROUP BY gate_count)
+SELECT topology, mean_circuit, round(bot_25, 2) AS low, round(top_25, 2) AS high, mean_circuit BETWEEN round(bot_25, 2) AND round(top_25, 2) AS inside, near_low, near_high, mean_circuit BETWEEN near_low AND near_high AS near
+FROM ob JOIN cu ON ob.gate_count = cu.gate_count JOIN ex ON ob.gate_count = ex.gate_count""")
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of topologies against the mean of their size, one hundredth either way; none is stated for the largest size."""
+    """Means of topologies against the quartiles of their size, and against the mean of their size, one hundredth either way; for every size."""
     d = designs(spark, sf_dir)
     observed = d.groupBy("topology", "gate_count").agg(F.round(F.avg("circuit"), 2).alias("mean_circuit"))
+    quartiles = tiers.tier_thresholds(d, "gate_count", "circuit").select("gate_count", F.round("bot_25", 2).alias("low"), F.round("top_25", 2).alias("high"))
     mean = F.avg("circuit")
-    expected = d.where("gate_count < 7").groupBy("gate_count").agg(F.round(0.99 * mean, 2).alias("low"), F.round(1.01 * mean, 2).alias("high"))
-    return qc.calibration(observed, expected, ["gate_count"], "mean_circuit").drop("gate_count")
+    close = d.groupBy("gate_count").agg(F.round(0.99 * mean, 2).alias("low"), F.round(1.01 * mean, 2).alias("high"))
+    wide = qc.calibration(observed, quartiles, ["gate_count"], "mean_circuit")
+    near = qc.calibration(observed, close, ["gate_count"], "mean_circuit").select("topology", F.col("low").alias("near_low"), F.col("high").alias("near_high"), F.col("inside").alias("near"))
+    return wide.join(near, "topology").drop("gate_count")
 
 
 def _occurrence_sql(extra: str, source: str) -> str:
