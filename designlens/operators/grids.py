@@ -53,13 +53,17 @@ def contribution_stack(rows: DataFrame, key: list[str], part: str, phi: str, sho
     return rows.where(F.col(phi) != 0).groupBy(*key, label.alias("label"), F.signum(phi).cast("int").alias("sign")).agg(F.sum(phi).alias("phi"), F.count("*").alias("n"))
 
 
-def contribution_grid(rows: DataFrame, part: str, axes: dict[str, list], value: str, n: int) -> DataFrame:
-    """Mean contribution of the ``n`` most frequent parts in each cell of the stated axes; null where a cell has no row."""
+def contribution_grid(rows: DataFrame, part: str, axes: dict[str, list], value: str, n: int, decimals: int = 6) -> DataFrame:
+    """Mean contribution of the ``n`` most frequent parts in each cell of the stated axes; null where a cell has no row.
+
+    Values have at most ``decimals`` decimals; they are added as such, so a mean does not depend on the order of the rows.
+    """
     top = rows.groupBy(part).agg(F.count("*").alias("total")).orderBy(F.desc("total"), part).limit(n)
     grid = top.select(part)
     for axis, values in axes.items():
         grid = grid.withColumn(axis, F.explode(F.array(*[F.lit(v) for v in values])))
-    means = rows.groupBy(part, *axes).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    total = F.sum(F.col(value).cast(f"decimal({12 + decimals},{decimals})")).cast("double")
+    means = rows.groupBy(part, *axes).agg((total / F.nullif(F.count(value), F.lit(0))).alias("mean"), F.count("*").alias("n"))
     return grid.join(means, [part, *axes], "left").fillna(0, ["n"])
 
 

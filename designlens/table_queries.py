@@ -101,7 +101,7 @@ SELECT tp.part, CAST(g AS INT) AS gate_count, v AS variant, round(mean, 5) AS me
 def contribution_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     phi = attribution.replacement_contrast(_swaps(spark, sf_dir), "design", ("part",))
     rows = attribution.fractions(phi, "design", ("part",)).join(designs(spark, sf_dir).select("design", "gate_count", "variant"), "design")
-    return grids.contribution_grid(rows, "part", {"gate_count": [4, 5, 6, 7], "variant": ["F", "O", "P"]}, "fraction", 10).withColumn("mean", F.round("mean", 5))
+    return grids.contribution_grid(rows, "part", {"gate_count": [4, 5, 6, 7], "variant": ["F", "O", "P"]}, "fraction", 10).withColumn("mean", F.round(F.col("mean") * 100_000) / 100_000)
 
 
 @query(f"""{_COALITIONS}{_PLACED[len(SQL):]}, la AS (SELECT design, slot, topology, 'f' || part % 12 || '@' || dout AS label FROM pl),

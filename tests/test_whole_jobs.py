@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from designlens import analysis_queries
+from designlens.operators import grids
 
 DIR = "/root/testdata/sf0.001"
 
@@ -12,3 +13,10 @@ def test_calibration_states_ranges_of_every_size(spark):
     assert {r.topology[0] for r in rows} == {"4", "5", "6", "7"}
     assert all(r[c] is not None for r in rows for c in ("low", "high", "inside", "near_low", "near_high", "near"))
     assert {r.near for r in rows} == {True, False}
+
+
+def test_grid_means_do_not_depend_on_the_order_of_rows(spark):
+    values = [-0.092905, -0.002894, -0.268466, -0.041635]  # their mean is -0.101475; added as doubles in this order it falls below
+    rows = spark.createDataFrame([(1, 4, v) for v in values], "part int, size int, x double").coalesce(1)
+    grid = grids.contribution_grid(rows, "part", {"size": [4, 5]}, "x", 3)
+    assert sorted((r.size, r.mean, r.n) for r in grid.select("size", "mean", "n").collect()) == [(4, -0.101475, 4), (5, None, 0)]
