@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from designlens.functions.slots import family_valid
 from designlens.operators import attribution, cohort, motif, pareto, tiers
 from designlens.registry import _CUTS, _FRONT, _front, query
-from designlens.sources.designs import SQL, TARGETS_SQL, designs, targets
+from designlens.sources.designs import SQL, TARGETS_SQL, design_graphs, designs, targets
 
 
 def _cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +114,7 @@ def _edge(a, b):
 
 def _graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Designs with the suppliers of their lines as nodes, in slot order."""
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    lines = read("lineitem").join(read("part").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
-    own = lines.groupBy(F.col("l_orderkey").alias("design")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))
-    return own.select("design", F.col("l.l_suppkey").alias("nodes")).join(designs(spark, sf_dir).select("design", "gate_count", "circuit"), "design")
+    return design_graphs(spark, sf_dir).select("design", "nodes", "gate_count", "circuit")
 
 
 _GRAPHS = f"""{SQL}, gn AS (

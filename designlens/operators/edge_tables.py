@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from designlens.shared import materialize
+from designlens.shared import materialize, once
 
 
 def linked(a: Column, b: Column) -> Column:
@@ -19,11 +19,6 @@ def linked(a: Column, b: Column) -> Column:
     return F.array_contains(a["succ"], b["place"])
 
 
-def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
-    """``keep`` and new columns that are computed once for each row, however often later expressions name them."""
-    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
 def packed(nodes: DataFrame, edges: DataFrame, keep: list[str], node: str = "node", source: str = "source", target: str = "target") -> DataFrame:
     """``keep``, nodes (structs node, place, succ in topological order), acyclic: a row for each graph.
 
@@ -38,17 +33,17 @@ def packed(nodes: DataFrame, edges: DataFrame, keep: list[str], node: str = "nod
     rows = listed.unionByName(ends).groupBy(*keep).agg(F.array_sort(F.array_compact(F.array_distinct(F.flatten(F.collect_set("ids"))))).alias("ids"), F.collect_set("edge").alias("own"))
     at = lambda v: F.array_position(F.col("ids"), v).cast("int") - 1
     side = lambda end, other: F.transform("ids", lambda v: F.transform(F.filter("own", lambda e: e[end] == v), lambda e: at(e[other])))
-    rows = _once(rows, [*keep, "ids"], pred=side("t", "s"), succ=side("s", "t"))
+    rows = once(rows, [*keep, "ids"], pred=side("t", "s"), succ=side("s", "t"))
     # the nodes whose predecessors all have a depth get the next one, as often as there are nodes
     peel = lambda done, r: F.transform(done, lambda d, i: F.when(d >= 0, d).when(F.forall(F.get("pred", i), lambda p: F.get(done, p) >= 0), r).otherwise(d))
     depth = F.aggregate(F.sequence(F.lit(0), F.size("ids")), F.transform("ids", lambda _: F.lit(-1)), peel)
-    rows = _once(rows, [*keep, "ids", "succ"], depth=depth)
+    rows = once(rows, [*keep, "ids", "succ"], depth=depth)
     last = F.size("ids")
     order = F.array_sort(F.transform("ids", lambda _, i: F.struct(F.when(F.get("depth", i) < 0, last).otherwise(F.get("depth", i)).alias("depth"), i.alias("i"))))
-    rows = _once(rows, [*keep, "ids", "succ"], acyclic=F.forall("depth", lambda d: d >= 0), order=F.transform(order, lambda o: o["i"]))
+    rows = once(rows, [*keep, "ids", "succ"], acyclic=F.forall("depth", lambda d: d >= 0), order=F.transform(order, lambda o: o["i"]))
     place = lambda i: F.array_position(F.col("order"), i).cast("int") - 1
     own = F.transform("order", lambda i, p: F.struct(F.get("ids", i).alias("node"), p.alias("place"), F.array_sort(F.transform(F.get("succ", i), place)).alias("succ")))
-    return _once(rows, [*keep, "acyclic"], nodes=own).select(*keep, "nodes", "acyclic")
+    return once(rows, [*keep, "acyclic"], nodes=own).select(*keep, "nodes", "acyclic")
 
 
 def levels(nodes: DataFrame, edges: DataFrame, keep: list[str], node: str = "node", source: str = "source", target: str = "target") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from designlens.operators.motif import Edge
+from designlens.shared import once
 
 
 def _places(nodes: Column) -> Column:
@@ -128,6 +129,28 @@ def connected_sets(graphs: DataFrame, keep: list[str], nodes: str, edge: Edge, k
     return rows.select(*keep, *also, "own", F.concat(*[bit(a, b) for a, b in combinations(range(k), 2)]).alias("raw"))
 
 
+def sets_in_row(succ: Column, near: Column, k: int) -> Column:
+    """The sets that ``connected_sets`` makes, as an array in the row of a graph of few nodes: ``succ`` and ``near`` hold the places that each node points to, and is linked with."""
+    wider = lambda s, u: (F.filter(F.get(near, u), lambda v: (v > s["root"]) & ~F.array_contains(s["seen"], v)), F.array_union(s["seen"], F.get(near, u)))
+    state = lambda root, own, open_, seen: F.struct(root.alias("root"), own.alias("own"), open_.alias("open"), seen.alias("seen"))
+
+    def grown(s: Column, u: Column, at: Column) -> Column:
+        fresh, seen = wider(s, u)
+        return state(s["root"], F.array_append(s["own"], u), F.concat(F.slice(s["open"], at + 2, F.size(s["open"])), fresh), seen)
+
+    found = F.transform(_places(succ), lambda r: state(r, F.array(r), F.filter(F.get(near, r), lambda u: u > r), F.array_append(F.get(near, r), r)))
+    for _ in range(k - 2):
+        found = F.flatten(F.transform(found, lambda s: F.transform(s["open"], lambda u, at: grown(s, u, at))))
+    return F.flatten(F.transform(found, lambda s: F.transform(s["open"], lambda u: F.array_sort(F.array_append(s["own"], u)))))
+
+
+def linked_places(graphs: DataFrame, keep: list[str], nodes: str, edge: Edge) -> DataFrame:
+    """``keep``, succ, near: the places that each node points to, and those that it is linked with."""
+    rows = once(graphs, keep, succ=F.transform(_places(F.col(nodes)), lambda i: after(F.col(nodes), i, edge)))
+    both = F.transform("succ", lambda own, i: F.concat(F.filter(_places(F.col("succ")), lambda j: F.array_contains(F.get("succ", j), i)), own))
+    return once(rows, [*keep, "succ"], near=both)
+
+
 def motif_counts(graphs: DataFrame, keep: list[str], nodes: str, edge: Edge, k: int) -> DataFrame:
     """``keep``, motif, n, n_raw (patterns of the class that occur): connected induced subgraphs of k nodes, by graph.
 

@@ -25,6 +25,15 @@ def designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The tables are bound once a session and folder, into a Parquet table of the shared
     folder: operators read designs several times, as they would any stored table of them.
     """
+    return _stored(spark, sf_dir).drop("nodes")
+
+
+def design_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``designs`` with nodes: the suppliers of a design's lines, in slot order."""
+    return _stored(spark, sf_dir)
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BOUND or not exists(spark, _BOUND[key][0]):
         path, bound = shared_path(spark, "designs"), bound_designs(spark, sf_dir)
@@ -35,15 +44,17 @@ def designs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bound_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The designs of ``sf_dir`` from its order tables.
+    """The designs of ``sf_dir`` from its order tables, with the suppliers of their lines as nodes.
 
-    One shuffle of the lines on the order key serves the join with the orders too.
+    One shuffle of the lines on the order key serves the join with the orders too. A part
+    that is listed twice gives a line two slots, but one node.
     """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    part = read("part").select(F.col("p_partkey").alias("l_partkey"), F.substring("p_brand", 7, 3).cast("int").alias("part"))
+    listed = read("part").groupBy(F.col("p_partkey").alias("l_partkey")).agg(F.collect_list(F.struct(F.substring("p_brand", 7, 3).cast("int").alias("part"))).alias("p"))
+    part = listed.select("l_partkey", F.posexplode("p").alias("at", "p")).select("l_partkey", F.col("p.part").alias("part"), (F.col("at") == 0).alias("first"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     discount, tax = (F.round(F.col(c) * 100).cast("bigint") for c in ("l_discount", "l_tax"))
-    lines = read("lineitem").join(part, "l_partkey").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "part").alias("line"), (cents * (100 - discount)).alias("c"), (100 - discount - tax).alias("g"))
+    lines = read("lineitem").join(part, "l_partkey").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "part", "first").alias("line"), (cents * (100 - discount)).alias("c"), (100 - discount - tax).alias("g"))
     grouped = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"), F.sum("c").alias("circuit"), F.sum("g").alias("growth"))
     grouped = grouped.where(F.size("lines").between(4, 7))
     orders = read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_orderstatus")
@@ -52,6 +63,7 @@ def bound_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.join(orders, "l_orderkey").select(
         F.concat_ws("-", count.cast("string"), priority).alias("topology"), count.alias("gate_count"), (count * 5 + priority.cast("int")).alias("group_no"), F.col("o_orderstatus").alias("variant"),
         F.col("l_orderkey").alias("design"), F.col("lines.part").alias("slots"), "circuit", "growth",
+        F.transform(F.filter("lines", lambda x: x["first"]), lambda x: x["l_suppkey"]).alias("nodes"),
     )
 
 

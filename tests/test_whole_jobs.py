@@ -1,9 +1,13 @@
 """Queries that once did less than their whole job, differed from their SQL, or grew faster than their tables."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from designlens import analysis_queries
-from designlens.operators import grids
+from designlens import analysis_queries, feature_queries
+from designlens.operators import grids, typed
+from designlens.sources import designs
 
 DIR = "/root/testdata/sf0.001"
 
@@ -20,3 +24,34 @@ def test_grid_means_do_not_depend_on_the_order_of_rows(spark):
     rows = spark.createDataFrame([(1, 4, v) for v in values], "part int, size int, x double").coalesce(1)
     grid = grids.contribution_grid(rows, "part", {"size": [4, 5]}, "x", 3)
     assert sorted((r.size, r.mean, r.n) for r in grid.select("size", "mean", "n").collect()) == [(4, -0.101475, 4), (5, None, 0)]
+
+
+def shuffles(df):
+    """The exchanges of a plan, as text."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line and "Broadcast" not in line]
+
+
+@pytest.mark.parametrize("k", [3, 4])
+def test_typed_motifs_inside_a_row_equal_those_over_rows(spark, k):
+    random.seed(5)
+    rows = [(i, [random.randrange(30) for _ in range(i % 8)], [random.choice("abc") for _ in range(i % 8)]) for i in range(40)] + [(40, [None, 1, 2, 5], ["a", "b", "c", "a"])]
+    df = spark.createDataFrame(rows, "g int, nodes array<int>, types array<string>")
+    found = lambda f: sorted(tuple(r) for r in f(df, ["g"], "nodes", "types", lambda a, b: (a + b) % 3 == 0, k).collect())
+    assert found(typed.typed_by_row) == found(typed.typed_motifs) != []
+    assert shuffles(typed.typed_by_row(df, ["g"], "nodes", "types", lambda a, b: (a + b) % 3 == 0, k)) == []
+
+
+def test_family_expansions_shuffle_counts_only(spark):
+    own = shuffles(feature_queries.motif_family_expansions(spark, DIR))
+    assert len(own) == 1 and "hashpartitioning(gate_count" in own[0]
+
+
+def test_a_part_that_is_listed_twice_is_one_node(spark, tmp_path):
+    for name in ("lineitem", "orders"):
+        spark.read.parquet(f"{DIR}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    part = spark.read.parquet(f"{DIR}/part.parquet")
+    part.union(part.where("p_partkey % 5 = 0")).write.parquet(f"{tmp_path}/part.parquet")
+    lines = spark.read.parquet(f"{DIR}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("design")).agg(F.expr("transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_suppkey))), x -> x.l_suppkey)").alias("own"))
+    found = designs.design_graphs(spark, str(tmp_path))
+    assert found.where("size(slots) > size(nodes)").count() > 0
+    assert found.join(lines, "design").where("nodes <> own").count() == 0
