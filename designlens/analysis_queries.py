@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from designlens.design_queries import _SWAPS, _score, single_swaps
+from designlens.design_queries import _SWAPS, _score
 from designlens.functions.slots import family_valid
 from designlens.operators import coalitions, enrichment, expectations, qc, tiers
 from designlens.registry import _CUTS, _PRED, _TAILS, _parts, _predicted, _presence_sql, presence_enrichment, query
@@ -199,4 +199,4 @@ ds AS (SELECT a.design, a.slot AS i, b.slot AS j, a.p AS to_i, b.p AS to_j FROM
 SELECT ds.design, i, j, to_i, to_j, CAST(to_i * to_i + i * to_i - x.part * x.part - i * x.part + to_j * to_j + j * to_j - y.part * y.part - j * y.part AS BIGINT) AS delta
 FROM ds JOIN s x ON x.design = ds.design AND x.slot = i JOIN s y ON y.design = ds.design AND y.slot = j""")
 def double_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coalitions.double_swaps(single_swaps(spark, sf_dir), designs(spark, sf_dir), "design", _score, 12)
+    return coalitions.double_swaps(designs(spark, sf_dir).where(family_valid(F.col("slots"))), "design", _score, 3)

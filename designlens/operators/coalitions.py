@@ -12,8 +12,9 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from designlens.operators.attribution import Scorer
+from designlens.operators.attribution import Scorer, candidates, strongest
 from designlens.operators.expectations import report
+from designlens.shared import once
 
 
 def completion_pool(designs: DataFrame, group: list[str], key: str, n: int) -> DataFrame:
@@ -125,14 +126,19 @@ def validity_by_size(mixed: DataFrame) -> DataFrame:
     return mixed.groupBy("n", F.bit_count("mask").cast("int").alias("kept")).agg(F.count("*").alias("n_mixed"), F.round(F.avg((~F.col("safe")).cast("double")), 6).alias("unsafe"))
 
 
-def double_swaps(top: DataFrame, designs: DataFrame, key: str, scorer: Scorer, families: int) -> DataFrame:
-    """``key``, i, j, to_i, to_j, delta: pairs of single swap candidates (``key``, slot, to_part) of two slots that leave no family twice."""
-    side = lambda a, b: top.select(key, F.col("slot").alias(a), F.col("to_part").alias(b))
-    met = side("i", "to_i").join(side("j", "to_j"), key).where("i < j").join(designs.select(key, "slots"), key)
-    new = F.transform("slots", lambda p, k: F.when(k == F.col("i"), F.col("to_i")).when(k == F.col("j"), F.col("to_j")).otherwise(p))
-    mixed = met.withColumn("mixed", new)
-    safe = F.size(F.array_distinct(F.transform("mixed", lambda p: p % families))) == F.size("mixed")
-    return mixed.where(safe).select(key, "i", "j", "to_i", "to_j", (scorer(F.col("mixed")) - scorer(F.col("slots"))).alias("delta"))
+def double_swaps(designs: DataFrame, key: str, scorer: Scorer, n: int, parts: int = 25, families: int = 12) -> DataFrame:
+    """``key``, i, j, to_i, to_j, delta: pairs of the ``n`` strongest single swaps of two slots that use no family twice; ``designs`` use none twice.
+
+    The pairs of a design are made from its row, without a shuffle.
+    """
+    rows = candidates(designs, key, scorer, parts, families)
+    best = F.transform("swaps", lambda s, i: F.transform(strongest(s, F.get("slots", i), n), lambda x: x["to"]))
+    rows = once(rows, [key, "slots", "score"], best=best)
+    first = rows.select("*", F.posexplode("best").alias("i", "own")).select("*", F.explode("own").alias("to_i"))
+    later = first.select("*", F.posexplode(F.slice("best", F.col("i") + 2, F.size("best"))).alias("at", "other")).select("*", F.explode("other").alias("to_j"))
+    fit = later.where(F.col("to_i") % families != F.col("to_j") % families).withColumn("j", F.col("i") + F.col("at") + 1)
+    mixed = F.transform("slots", lambda p, k: F.when(k == F.col("i"), F.col("to_i")).when(k == F.col("j"), F.col("to_j")).otherwise(p))
+    return fit.select(key, "i", "j", "to_i", "to_j", (scorer(mixed) - F.col("score")).alias("delta"))
 
 
 def attribution_rules(main: DataFrame, pairs: DataFrame, totals: DataFrame, key: str, tolerance: float = 1e-6) -> DataFrame:

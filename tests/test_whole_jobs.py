@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from designlens import analysis_queries, feature_queries
-from designlens.operators import grids, typed
+from designlens.operators import coalitions, grids, typed
 from designlens.sources import designs
 
 DIR = "/root/testdata/sf0.001"
@@ -55,3 +55,27 @@ def test_a_part_that_is_listed_twice_is_one_node(spark, tmp_path):
     found = designs.design_graphs(spark, str(tmp_path))
     assert found.where("size(slots) > size(nodes)").count() > 0
     assert found.join(lines, "design").where("nodes <> own").count() == 0
+
+
+def _weighted(slots):
+    return F.aggregate(F.transform(slots, lambda p, i: (p * p + i * p).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+
+def test_double_swaps_come_from_the_row_of_their_design(spark):
+    random.seed(8)
+    rows = [(g, random.sample(range(1, 13), 3 + g % 3)) for g in range(6)] + [(6, []), (7, [5])]
+    found = coalitions.double_swaps(spark.createDataFrame(rows, "design int, slots array<int>"), "design", _weighted, 2, 15, 12)
+    assert shuffles(found) == []
+    score, want = lambda s: sum(p * p + i * p for i, p in enumerate(s)), set()
+    for g, s in rows:
+        put = lambda i, p: [p if k == i else q for k, q in enumerate(s)]  # noqa: B023, E731
+        valid = lambda s: len({p % 12 for p in s}) == len(s)
+        best = [sorted((p for p in range(1, 16) if p != s[i] and valid(put(i, p))), key=lambda p: (-abs(score(put(i, p)) - score(s)), p))[:2] for i in range(len(s))]  # noqa: B023
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                for p in best[i]:
+                    for q in best[j]:
+                        new = [q if k == j else v for k, v in enumerate(put(i, p))]
+                        if valid(new):
+                            want.add((g, i, j, p, q, score(new) - score(s)))
+    assert sorted(map(tuple, found.collect())) == sorted(want) != []
