@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from designlens import analysis_queries, feature_queries
+from designlens import analysis_queries, feature_queries, table_queries
 from designlens.operators import coalitions, grids, typed
 from designlens.sources import designs
 
@@ -79,3 +79,8 @@ def test_double_swaps_come_from_the_row_of_their_design(spark):
                         if valid(new):
                             want.add((g, i, j, p, q, score(new) - score(s)))
     assert sorted(map(tuple, found.collect())) == sorted(want) != []
+
+
+def test_swaps_of_a_slot_are_worked_out_once(spark):
+    plan = table_queries.contribution_stack(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_contains(") == 1
