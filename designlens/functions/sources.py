@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from designlens.shared import once
 from designlens.sources.readers import listed_texts
 
 _BASELINE = "baseline:"
@@ -24,4 +25,11 @@ def primary_source(source: Column) -> Column:
 def with_class(rows: DataFrame, source: str, classes: DataFrame, name: str = "class", unknown: str = "?") -> DataFrame:
     """``rows`` with the class of their primary source; ``classes`` (target, class) may lack some. A target that it repeats takes its least class."""
     one = classes.groupBy(F.col("target").alias("_primary")).agg(F.min("class").alias(name))
-    return rows.withColumn("_primary", primary_source(F.col(source))).join(one, "_primary", "left").fillna(unknown, [name]).drop("_primary")
+    return once(rows, rows.columns, _primary=primary_source(F.col(source))).join(one, "_primary", "left").fillna(unknown, [name]).drop("_primary")
+
+
+def class_counts(rows: DataFrame, source: str, classes: DataFrame) -> DataFrame:
+    """parent, primary, class, n over source texts; each distinct text is read once, however many rows have it."""
+    texts = with_class(rows.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("_n")), "_source", classes)
+    read = once(texts, ["class", "_n"], parent=parent_target(F.col("_source")), primary=primary_source(F.col("_source")))
+    return read.groupBy("parent", "primary", "class").agg(F.sum("_n").alias("n"))

@@ -1,11 +1,13 @@
 """Queries that once did less than their whole job, differed from their SQL, or grew faster than their tables."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from designlens import analysis_queries, feature_queries, table_queries
+from designlens import analysis_queries, feature_queries, match_queries, table_queries
+from designlens.functions import sources
 from designlens.operators import coalitions, grids, typed
 from designlens.sources import designs
 
@@ -84,3 +86,15 @@ def test_double_swaps_come_from_the_row_of_their_design(spark):
 def test_swaps_of_a_slot_are_worked_out_once(spark):
     plan = table_queries.contribution_stack(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_contains(") == 1
+
+
+def test_source_texts_are_counted_with_their_class(spark):
+    rows = spark.createDataFrame([(t,) for t in (["0x17", '["0x47", "0x1B"]', None, "baseline:0x17/3"] * 50)], "source string")
+    classes = spark.createDataFrame([("0x17", "c0"), ("0x47", "c1")], "target string, class string")
+    found = sources.class_counts(rows, "source", classes)
+    assert set(map(tuple, found.collect())) == {("0x17", "0x17", "c0", 100), ('["0x47", "0x1B"]', "0x47", "c1", 50), (None, None, "?", 50)}
+
+
+def test_classes_are_worked_out_once_a_function(spark):
+    plan = match_queries.source_classes(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[f#\d+\], \[f#\d+\]", plan)
