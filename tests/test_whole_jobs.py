@@ -6,9 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from designlens import analysis_queries, feature_queries, match_queries, table_queries
+from designlens import analysis_queries, edge_queries, feature_queries, match_queries, table_queries
 from designlens.functions import sources
-from designlens.operators import coalitions, grids, typed
+from designlens.operators import coalitions, edge_tables, grids, typed
+from designlens.shared import materialize
 from designlens.sources import designs
 
 DIR = "/root/testdata/sf0.001"
@@ -98,3 +99,20 @@ def test_source_texts_are_counted_with_their_class(spark):
 def test_classes_are_worked_out_once_a_function(spark):
     plan = match_queries.source_classes(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[f#\d+\], \[f#\d+\]", plan)
+
+
+def test_levels_by_rounds_and_in_rows_are_the_same(spark):
+    random.seed(4)
+    links = [(g, random.randrange(9), random.randrange(9)) for g in range(30) for _ in range(g)] + [(3, None, 20), (4, 21, None), (5, None, None)]
+    nodes = spark.createDataFrame([(g, v) for g in range(31) for v in range(5)] + [(2, None)], "graph int, node int")
+    edges = spark.createDataFrame([(g, s, t) for g, s, t in links if None in (s, t) or s < t or (g % 3 == 0 and s != t)], "graph int, source int, target int")
+    found = lambda fits: sorted((tuple(r) for r in edge_tables.levels(nodes, edges, ["graph"], fits=fits).collect()), key=repr)
+    assert found(0) == found(10) == found(400)
+    assert any(level is None for _, _, level in found(400)) and (3, 20, 0) in found(400)
+
+
+def test_levels_of_small_graphs_take_one_shuffle_by_graph(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(edge_tables, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    edge_queries.edge_table_levels(spark, DIR)
+    assert written == ["levels"]
