@@ -151,6 +151,18 @@ def linked_places(graphs: DataFrame, keep: list[str], nodes: str, edge: Edge) ->
     return once(rows, [*keep, "succ"], near=both)
 
 
+def shapes(graphs: DataFrame, keep: list[str], nodes: str, edge: Edge, counts: dict[str, Column]) -> DataFrame:
+    """``keep``, nodes (structs place, succ), ``counts``: a row for each set of edges that graphs of ``keep`` have, not for each graph.
+
+    What follows from the edges alone is worked out once a shape; ``edge_tables.linked`` is the edge of its nodes.
+    """
+    x = F.col(nodes)
+    named = [*keep, *[c for c in graphs.columns if c not in keep]]
+    rows = once(graphs, named, _succ=F.transform(_places(x), lambda i: after(x, i, edge)))
+    found = rows.groupBy(*keep, "_succ").agg(*[c.alias(name) for name, c in counts.items()])
+    return found.select(*keep, F.transform("_succ", lambda s, i: F.struct(i.alias("place"), s.alias("succ"))).alias("nodes"), *counts)
+
+
 def motif_counts(graphs: DataFrame, keep: list[str], nodes: str, edge: Edge, k: int) -> DataFrame:
     """``keep``, motif, n, n_raw (patterns of the class that occur): connected induced subgraphs of k nodes, by graph.
 

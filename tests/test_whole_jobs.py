@@ -116,3 +116,7 @@ def test_levels_of_small_graphs_take_one_shuffle_by_graph(spark, monkeypatch):
     monkeypatch.setattr(edge_tables, "materialize", lambda df, name: written.append(name) or materialize(df, name))
     edge_queries.edge_table_levels(spark, DIR)
     assert written == ["levels"]
+
+
+def test_typed_counts_come_from_shapes(spark):
+    assert not [x for x in shuffles(feature_queries.typed_motif_counts(spark, DIR)) if "design" in x or "orderkey" in x]
