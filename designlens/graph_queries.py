@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from designlens.design_queries import _GRAPHS, _MOTIFS, _edge, _graphs, motif_log_odds
 from designlens.operators import compare, graphs, tiers
+from designlens.operators.edge_tables import linked
 from designlens.registry import _CUTS, _PRED, _predicted, query
 from designlens.sources.designs import SQL, designs
 
@@ -58,7 +59,8 @@ def _refined(k: int) -> str:
 
 @query(f"""{_NODES}, {_refined(1)}, {_refined(2)}, {_refined(3)}, hs AS (SELECT design, sha256(string_agg(label, ',' ORDER BY label)) AS shape FROM w3 GROUP BY design) SELECT shape, count(*) AS n FROM hs GROUP BY shape""")
 def structural_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graphs(spark, sf_dir).groupBy(graphs.structural_hash(F.col("nodes"), _edge, 3).alias("shape")).agg(F.count("*").alias("n"))
+    known = graphs.shapes(_graphs(spark, sf_dir), [], "nodes", _edge, {"n": F.count("*")})
+    return known.groupBy(graphs.structural_hash(F.col("nodes"), linked, 3).alias("shape")).agg(F.sum("n").alias("n"))
 
 
 def _motif_sql(k: int) -> str:

@@ -6,9 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from designlens import analysis_queries, edge_queries, feature_queries, match_queries, table_queries
+from designlens import analysis_queries, edge_queries, feature_queries, graph_queries, match_queries, table_queries
 from designlens.functions import sources
-from designlens.operators import coalitions, edge_tables, grids, typed
+from designlens.operators import coalitions, edge_tables, graphs, grids, typed
 from designlens.shared import materialize
 from designlens.sources import designs
 
@@ -120,3 +120,14 @@ def test_levels_of_small_graphs_take_one_shuffle_by_graph(spark, monkeypatch):
 
 def test_typed_counts_come_from_shapes(spark):
     assert not [x for x in shuffles(feature_queries.typed_motif_counts(spark, DIR)) if "design" in x or "orderkey" in x]
+
+
+def test_hashes_of_shapes(spark):
+    random.seed(6)
+    rows = spark.createDataFrame([([random.randrange(9) for _ in range(i % 7)],) for i in range(80)], "nodes array<int>")
+    edge = lambda a, b: (a + b) % 3 == 0
+    each = rows.groupBy(graphs.structural_hash(F.col("nodes"), edge, 3).alias("h")).agg(F.count("*").alias("n"))
+    known = graphs.shapes(rows, [], "nodes", edge, {"n": F.count("*")})
+    once = known.groupBy(graphs.structural_hash(F.col("nodes"), edge_tables.linked, 3).alias("h")).agg(F.sum("n").alias("n"))
+    assert known.count() < 80 and set(map(tuple, each.collect())) == set(map(tuple, once.collect()))
+    assert not [x for x in shuffles(graph_queries.structural_hashes(spark, DIR)) if "design" in x or "orderkey" in x]
