@@ -131,3 +131,7 @@ def test_hashes_of_shapes(spark):
     once = known.groupBy(graphs.structural_hash(F.col("nodes"), edge_tables.linked, 3).alias("h")).agg(F.sum("n").alias("n"))
     assert known.count() < 80 and set(map(tuple, each.collect())) == set(map(tuple, once.collect()))
     assert not [x for x in shuffles(graph_queries.structural_hashes(spark, DIR)) if "design" in x or "orderkey" in x]
+
+
+def test_typed_log_odds_shuffles_nothing_by_design(spark):
+    assert not [x for x in shuffles(feature_queries.typed_log_odds(spark, DIR)) if "design" in x or "orderkey" in x]
