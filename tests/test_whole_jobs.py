@@ -135,3 +135,7 @@ def test_hashes_of_shapes(spark):
 
 def test_typed_log_odds_shuffles_nothing_by_design(spark):
     assert not [x for x in shuffles(feature_queries.typed_log_odds(spark, DIR)) if "design" in x or "orderkey" in x]
+
+
+def test_motif_breadth_shuffles_nothing_by_design(spark):
+    assert not [x for x in shuffles(feature_queries.motif_breadth(spark, DIR)) if "design" in x or "orderkey" in x]
