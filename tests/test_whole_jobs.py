@@ -139,3 +139,7 @@ def test_typed_log_odds_shuffles_nothing_by_design(spark):
 
 def test_motif_breadth_shuffles_nothing_by_design(spark):
     assert not [x for x in shuffles(feature_queries.motif_breadth(spark, DIR)) if "design" in x or "orderkey" in x]
+
+
+def test_best_typed_variants_shuffles_nothing_by_design(spark):
+    assert not [x for x in shuffles(feature_queries.best_typed_variants(spark, DIR)) if "design" in x or "orderkey" in x]
