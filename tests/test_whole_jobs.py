@@ -143,3 +143,7 @@ def test_motif_breadth_shuffles_nothing_by_design(spark):
 
 def test_best_typed_variants_shuffles_nothing_by_design(spark):
     assert not [x for x in shuffles(feature_queries.best_typed_variants(spark, DIR)) if "design" in x or "orderkey" in x]
+
+
+def test_broad_motifs_shuffles_nothing_by_design(spark):
+    assert not [x for x in shuffles(feature_queries.broad_motifs(spark, DIR)) if "design" in x or "orderkey" in x]
