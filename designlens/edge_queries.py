@@ -14,8 +14,8 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     orders = read("orders").select(F.col("o_custkey").alias("graph"), F.col("o_orderkey").alias("node"), F.struct("o_orderdate", "o_orderkey").alias("day"))
     lines = read("lineitem").join(read("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("node"), F.col("p_size").alias("size"))
-    # the shuffle of the join by order serves the distinct sizes of an order too
-    held = lines.join(orders, "node").distinct()
+    # a size that an order holds twice gives an edge twice, and edges are made distinct
+    held = lines.join(orders, "node")
     # orders of one customer meet where they share a size; the rows of a (customer, size) are few
     earlier, later = held.selectExpr("graph", "size", "node as source", "day as d"), held.selectExpr("graph", "size", "node as target", "day as e")
     edges = earlier.join(later, ["graph", "size"]).where("d < e").select("graph", "source", "target").distinct()
