@@ -167,14 +167,17 @@ def graph_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graphs(spark, sf_dir).groupBy("gate_count", motif.depth(F.col("nodes"), _edge).alias("depth")).agg(F.count("*").alias("n"))
 
 
-def _score(slots):
-    return F.aggregate(F.transform(slots, lambda p, i: (p * p + i * p).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
+_score = attribution.Additive(lambda p, i: p * p + i * p)
 
 
 def _swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.swaps(designs(spark, sf_dir).where(family_valid(F.col("slots"))), "design", _score)
 
 
+def _contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.contrast(designs(spark, sf_dir).where(family_valid(F.col("slots"))), "design", _score)
+
+
 _SWAPS = f"""{SQL}, fv AS (SELECT design FROM s GROUP BY design HAVING count(DISTINCT part % 12) = count(*)),
 al AS (
   SELECT s.design, s.slot, s.part, CAST(p AS INT) AS p, CAST(p * p + s.slot * p - s.part * s.part - s.slot * s.part AS BIGINT) AS delta
@@ -185,7 +188,7 @@ al AS (
 
 @query(f"{_SWAPS} SELECT * FROM ph")
 def replacement_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.replacement_contrast(_swaps(spark, sf_dir), "design")
+    return _contrast(spark, sf_dir).drop("part")
 
 
 @query(f"""{_SWAPS} SELECT design, slot, CAST(row_number() OVER w AS INT) AS rank, p AS to_part, delta FROM al WHERE p <> part

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from designlens import edge_queries
 from designlens.analysis_queries import _COALITIONS, _occurrence_sql, occurrence_log_odds, shapley_pair
-from designlens.design_queries import _GRAPHS, _SWAPS, _edge, _graphs, _swaps
+from designlens.design_queries import _GRAPHS, _SWAPS, _contrast, _edge, _graphs
 from designlens.functions import adjacency, slots, truth
 from designlens.graph_queries import _NODES
 from designlens.operators import attribution, cohort, expectations, graphs, grids, ridge
@@ -91,16 +91,14 @@ _PHI = f"{_SWAPS}, pp AS (SELECT ph.design, ph.slot, s.part, s.gate_count, s.var
 
 @query(f"""{_PHI} SELECT design, CASE WHEN part <= 5 THEN CAST(part AS VARCHAR) ELSE 'other' END AS label, CAST(sign(phi) AS INT) AS sign, round(sum(phi), 4) AS phi, count(*) AS n FROM pp WHERE phi <> 0 GROUP BY 1, 2, 3""")
 def contribution_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phi = attribution.replacement_contrast(_swaps(spark, sf_dir), "design", ("part",))
-    return grids.contribution_stack(phi, ["design"], "part", "phi", SHOWN).withColumn("phi", F.round("phi", 4))
+    return grids.contribution_stack(_contrast(spark, sf_dir), ["design"], "part", "phi", SHOWN).withColumn("phi", F.round("phi", 4))
 
 
 @query(f"""{_PHI}, fa AS (SELECT *, CASE WHEN sum(abs(phi)) OVER w > 0 THEN round(phi / sum(abs(phi)) OVER w, 6) ELSE 0.0 END AS fraction FROM pp WINDOW w AS (PARTITION BY design)),
 tp AS (SELECT part, count(*) AS total FROM fa GROUP BY part ORDER BY total DESC, part LIMIT 10), ce AS (SELECT part, gate_count, variant, avg(fraction) AS mean, count(*) AS n FROM fa GROUP BY ALL)
 SELECT tp.part, CAST(g AS INT) AS gate_count, v AS variant, round(mean, 5) AS mean, coalesce(n, 0) AS n FROM tp CROSS JOIN range(4, 8) r(g) CROSS JOIN (VALUES ('F'), ('O'), ('P')) x(v) LEFT JOIN ce ON ce.part = tp.part AND ce.gate_count = g AND ce.variant = v""")
 def contribution_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phi = attribution.replacement_contrast(_swaps(spark, sf_dir), "design", ("part",))
-    rows = attribution.fractions(phi, "design", ("part",)).join(designs(spark, sf_dir).select("design", "gate_count", "variant"), "design")
+    rows = attribution.fractions(_contrast(spark, sf_dir), "design", ("part",)).join(designs(spark, sf_dir).select("design", "gate_count", "variant"), "design")
     return grids.contribution_grid(rows, "part", {"gate_count": [4, 5, 6, 7], "variant": ["F", "O", "P"]}, "fraction", 10).withColumn("mean", F.round(F.col("mean") * 100_000) / 100_000)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from designlens import analysis_queries, edge_queries, feature_queries, graph_queries, match_queries, table_queries
 from designlens.functions import sources
-from designlens.operators import coalitions, edge_tables, graphs, grids, typed
+from designlens.operators import attribution, coalitions, edge_tables, graphs, grids, typed
 from designlens.shared import materialize
 from designlens.sources import designs
 
@@ -89,6 +89,19 @@ def test_swaps_of_a_slot_are_worked_out_once(spark):
     assert plan.count("array_contains(") == 1
 
 
+def test_swaps_of_a_sum_read_no_other_slot(spark):
+    random.seed(9)
+    rows = [(g, [random.randrange(1, 31) for _ in range(g % 8)]) for g in range(60)] + [(60, [None, 3, 4]), (61, [None]), (62, None), (63, list(range(1, 13)))]
+    df, score = spark.createDataFrame(rows, "design int, slots array<int>"), attribution.Additive(lambda p, i: p * p + i * p)
+    found = lambda x: sorted(map(repr, x.select("design", "slot", "part", "phi").collect()))
+    for parts, families in ((25, 12), (3, 12), (15, 1)):
+        want = found(attribution.replacement_contrast(attribution.swaps(df, "design", _weighted, parts, families), "design", ("part",)))
+        assert found(attribution.replacement_contrast(attribution.swaps(df, "design", score, parts, families), "design", ("part",))) == want
+        assert found(attribution.contrast(df, "design", score, parts, families)) == want
+    plan = table_queries.contribution_stack(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "delta" not in plan
+
+
 def test_source_texts_are_counted_with_their_class(spark):
     rows = spark.createDataFrame([(t,) for t in (["0x17", '["0x47", "0x1B"]', None, "baseline:0x17/3"] * 50)], "source string")
     classes = spark.createDataFrame([("0x17", "c0"), ("0x47", "c1")], "target string, class string")
