@@ -8,13 +8,17 @@ thresholds are the same in every engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from designlens.shared import exists, shared_path
 
 
+#: Lines of one partition of the binding's shuffles.
+LINES = 500_000
 #: Where a session has written the bound designs of a folder of tables.
 _BOUND: dict[tuple[str, str], tuple[str, StructType]] = {}
 
@@ -46,20 +50,26 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bound_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The designs of ``sf_dir`` from its order tables, with the suppliers of their lines as nodes.
 
-    One shuffle of the lines on the order key serves the join with the orders too. A part
-    that is listed twice gives a line two slots, but one node.
+    One shuffle of the lines on the order key serves the join with the orders too, and one sort does for that join and for the order of the lines: the
+    first line of an order meets the seven after it, so no more of an order is held. Shuffles have a partition for each ``LINES`` lines, so a task
+    holds no more in larger tables. A part that is listed twice gives a line two slots, but one node.
     """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    listed = read("part").groupBy(F.col("p_partkey").alias("l_partkey")).agg(F.collect_list(F.struct(F.substring("p_brand", 7, 3).cast("int").alias("part"))).alias("p"))
-    part = listed.select("l_partkey", F.posexplode("p").alias("at", "p")).select("l_partkey", F.col("p.part").alias("part"), (F.col("at") == 0).alias("first"))
+    n = max(spark.sparkContext.defaultParallelism, -(-read("lineitem").count() // LINES))
+    named = read("part").select(F.col("p_partkey").alias("l_partkey"), F.substring("p_brand", 7, 3).cast("int").alias("part")).repartition(n, "l_partkey")
+    part = named.withColumn("first", F.row_number().over(Window.partitionBy("l_partkey").orderBy("part")) == 1)
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     discount, tax = (F.round(F.col(c) * 100).cast("bigint") for c in ("l_discount", "l_tax"))
-    lines = read("lineitem").join(part, "l_partkey").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "part", "first").alias("line"), (cents * (100 - discount)).alias("c"), (100 - discount - tax).alias("g"))
-    grouped = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"), F.sum("c").alias("circuit"), F.sum("g").alias("growth"))
-    grouped = grouped.where(F.size("lines").between(4, 7))
+    by = ["l_linenumber", "l_partkey", "l_suppkey", "part", "first"]
+    lines = read("lineitem").join(part, "l_partkey").select("l_orderkey", *by, (cents * (100 - discount)).alias("c"), (100 - discount - tax).alias("g")).where("l_orderkey is not null").repartition(n, "l_orderkey")
+    w, line = Window.partitionBy("l_orderkey").orderBy(*by), F.struct("part", "l_suppkey", "first", "c", "g")
+    met = lines.select("l_orderkey", F.row_number().over(w).alias("at"), line.alias("line_0"), *[F.lead(line, k).over(w).alias(f"line_{k}") for k in range(1, 8)])
+    fit = met.where("at = 1 and line_3 is not null and line_7 is null")
+    own = [F.col(f"line_{k}") for k in range(7)]
+    total = lambda c: F.when(F.coalesce(*[x[c] for x in own]).isNotNull(), reduce(Column.__add__, [F.coalesce(x[c], F.lit(0)) for x in own]))
+    grouped = fit.select("l_orderkey", F.array_compact(F.array(*own)).alias("lines"), total("c").alias("circuit"), total("g").alias("growth"))
     orders = read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_orderstatus")
-    count = F.size("lines")
-    priority = F.substring("o_orderpriority", 1, 1)
+    count, priority = F.size("lines"), F.substring("o_orderpriority", 1, 1)
     return grouped.join(orders, "l_orderkey").select(
         F.concat_ws("-", count.cast("string"), priority).alias("topology"), count.alias("gate_count"), (count * 5 + priority.cast("int")).alias("group_no"), F.col("o_orderstatus").alias("variant"),
         F.col("l_orderkey").alias("design"), F.col("lines.part").alias("slots"), "circuit", "growth",

@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,39 @@ def test_a_part_that_is_listed_twice_is_one_node(spark, tmp_path):
     assert found.join(lines, "design").where("nodes <> own").count() == 0
 
 
+def _odd_tables(spark, path):
+    """Tables with parts that are listed twice, lines of equal number, orders without lines and lines without orders, null keys and prices."""
+    part = spark.read.parquet(f"{DIR}/part.parquet")
+    part.union(part.where("p_partkey % 5 = 0")).write.parquet(f"{path}/part.parquet")
+    line = spark.read.parquet(f"{DIR}/lineitem.parquet")
+    odd = line.withColumns({"l_orderkey": F.when(F.col("l_orderkey") % 50 != 7, F.col("l_orderkey")), "l_linenumber": F.col("l_linenumber") % 3, "l_extendedprice": F.when(F.col("l_orderkey") % 40 != 9, F.col("l_extendedprice"))})
+    hot = line.limit(900).withColumn("l_orderkey", F.lit(10_000).cast("bigint"))
+    odd.unionByName(hot).write.parquet(f"{path}/lineitem.parquet")
+    order = spark.read.parquet(f"{DIR}/orders.parquet")
+    order.where("o_orderkey % 11 <> 3").union(order.limit(1).withColumn("o_orderkey", F.lit(10_000).cast("bigint"))).write.parquet(f"{path}/orders.parquet")
+
+
+@pytest.mark.parametrize("lines", [100, 500_000])
+def test_bound_designs_equal_the_sql_on_odd_tables(spark, tmp_path, monkeypatch, lines):
+    monkeypatch.setattr(designs, "LINES", lines)
+    _odd_tables(spark, tmp_path)
+    con = duckdb.connect()
+    for t in ("lineitem", "part", "orders"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(f"{designs.SQL} SELECT topology, gate_count, group_no, variant, d.design, (SELECT list(part ORDER BY slot) FROM s WHERE s.design = d.design), circuit, growth FROM d").fetchall()
+    found = designs.bound_designs(spark, str(tmp_path)).select("topology", "gate_count", "group_no", "variant", "design", "slots", "circuit", "growth").collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want)) != []
+    assert any(r.circuit is None for r in found)
+
+
+def test_the_binding_has_more_partitions_for_more_lines(spark, monkeypatch):
+    monkeypatch.setattr(designs, "LINES", 100)
+    lines = spark.read.parquet(f"{DIR}/lineitem.parquet").count()
+    own = shuffles(designs.bound_designs(spark, DIR))
+    wide = [x for x in own if f", {-(-lines // 100)})" in x]
+    assert any("l_orderkey" in x for x in wide) and any("l_partkey" in x for x in wide)
+
+
 def _weighted(slots):
     return F.aggregate(F.transform(slots, lambda p, i: (p * p + i * p).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
 
