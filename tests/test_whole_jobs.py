@@ -94,6 +94,10 @@ def test_the_binding_has_more_partitions_for_more_lines(spark, monkeypatch):
     assert any("l_orderkey" in x for x in wide) and any("l_partkey" in x for x in wide)
 
 
+def test_the_binding_collects_no_order(spark):
+    assert "collect_list" not in designs.bound_designs(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _weighted(slots):
     return F.aggregate(F.transform(slots, lambda p, i: (p * p + i * p).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
 
