@@ -473,6 +473,24 @@ def test_url_models_carry_labels_over(spark):
     assert url_filter.filter_urls(empty(pages)).count() == 0
 
 
+def test_url_filter_broadcasts_nothing(spark, monkeypatch):
+    """Small files hold the grams of many addresses: no table that grows may go through the driver, however small its file."""
+    tables, write = [], url_filter.materialize
+
+    def noted(df, name):
+        tables.append((name, df))
+        return write(df, name)
+
+    monkeypatch.setattr(url_filter, "materialize", noted)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    out = url_filter.filter_urls(pages)
+    plans = [(name, df._jdf.queryExecution().executedPlan().toString()) for name, df in [*tables, ("result", out)]]
+    assert {name for name, _ in plans} == {"url-addresses", "url-grams", "url-pairs", "url-scores", "result"}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+    # that of grams and ratios keeps the ratios, once a gram, in memory and lets the grams of all addresses pass
+    assert "ShuffledHashJoin" in dict(plans)["url-scores"] and out.count() == pages.count()
+
+
 def test_html_main_text(spark):
     page = "<html><head><title>x</title></head><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>One <b>two\n</b> three.<br>Four<p>Five<div class='comments'>rude</div><aside>side</aside></article><footer>f</footer>"
     assert html_text.main_text(page) == "A & B One two three. Four Five"
